@@ -4,10 +4,11 @@ A window is ``length`` bytes of one text. Windows are compared where their conte
 
 1. Every window names its anchor, the smallest hash among its ``gram``-byte grams. Windows of equal content have
    equal anchors, and neighbouring windows mostly share one, so about one gram in 37 is an anchor. Anchors are
-   shuffled by hash (a few bytes each); only those that occur twice matter.
-2. The windows of such anchors, cut into blocks that share ``length - BLOCK + 1`` bytes, go to the task that the
-   hash of these shared bytes names, together with just the bytes that they cover. A frequent line surrounded by
-   different text is thereby spread over many tasks, and equal blocks of one task are sent once.
+   shuffled by hash (a few bytes each) with a second hash of all bytes that their windows cover. Anchors that agree in
+   both cover the same bytes: all but the first are repeats. An anchor that meets no other bytes has nothing to match.
+2. What is left, anchors that occur with different bytes around them, is where matches begin and end. Their windows,
+   cut into blocks that share ``length - BLOCK + 1`` bytes, go to the task that the hash of these shared bytes names,
+   with just the bytes that they cover. A frequent line surrounded by different text is thereby spread over many tasks.
 3. There, in order of the corpus, each batch of windows gets its suffix array (depth ``length``), which is
    merge-scanned against the existing levels for full-length matches and then becomes a level itself; levels of
    like size are merged, so there are logarithmically many and a window is merged logarithmically often.
@@ -57,10 +58,17 @@ class GramHasher:
         self.up = np.cumprod(np.full(most + 1, _BASE, _U))
         self.down = np.cumprod(np.full(most + 1, inverse, _U))
 
-    def __call__(self, raw: np.ndarray) -> np.ndarray:
+    def sums(self, raw: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(raw) + 1, _U)
         np.cumsum(_TABLE[raw] * self.up[: len(raw)], out=sums[1:])
-        return _mixed((sums[self.gram :] - sums[: -self.gram]) * self.down[: len(raw) + 1 - self.gram])
+        return sums
+
+    def grams(self, sums: np.ndarray) -> np.ndarray:
+        return _mixed((sums[self.gram :] - sums[: -self.gram]) * self.down[: len(sums) - self.gram])
+
+    def spans(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from ``first`` to before ``end``, their number included."""
+        return _mixed(_mixed((sums[end] - sums[first]) * self.down[first]) + (end - first).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,7 +85,8 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int, gram: int, hasher: GramHasher) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, hash, first window, number of windows, anchor less first window) of each anchor's run of windows.
+    """(text number, hash, first window, number of windows, anchor less first window, hash of all bytes covered) of
+    each anchor's run of windows.
 
     Texts are hashed in chunks; one longer than a chunk is taken in overlapping parts, which splits runs at most.
     """
@@ -88,7 +97,9 @@ def anchors(texts: list[bytes], length: int, gram: int, hasher: GramHasher) -> I
         raw = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
         sizes = np.fromiter((len(p[2]) for p in parts), np.int64, len(parts))
         begin = np.cumsum(sizes) - sizes
-        owner = leftmost_minima(hashes := hasher(raw), length - gram + 1)
+        sums = hasher.sums(raw)
+        hashes = hasher.grams(sums)
+        owner = leftmost_minima(hashes, length - gram + 1)
         part = np.repeat(np.arange(len(parts)), sizes)[: len(owner)]
         inside = np.arange(len(owner)) + length <= (begin + sizes)[part]
         new = np.ones(len(owner), bool)
@@ -99,7 +110,8 @@ def anchors(texts: list[bytes], length: int, gram: int, hasher: GramHasher) -> I
         count = np.minimum(count, (begin + sizes)[part[starts]] - length + 1 - starts)
         base = np.array([p[1] for p in parts], np.int64)[part[starts]] - begin[part[starts]]
         number = np.array([p[0] for p in parts], np.int64)[part[starts]]
-        return number, hashes[owner[starts]].view(np.int64), starts + base, count, owner[starts] - starts
+        full = hasher.spans(sums, starts, starts + count - 1 + length) + (owner[starts] - starts).astype(_U)
+        return number, hashes[owner[starts]].view(np.int64), starts + base, count, owner[starts] - starts, full.view(np.int64)
 
     for k, text in enumerate(texts):
         for a in range(0, len(text) - length + 1, CHUNK_BYTES):
@@ -168,7 +180,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, carried: bool =
     others = [(F.col("text").isNull() if c == "text" else F.col(c)).alias(f"_c{k}") for k, c in enumerate(documents.columns)] if carried else []
     keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"), *others)
     texts = keyed.repartition(n, "_id").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("text")).cast("long"))
-    grams_schema = "kind int, hash long, _id long, _n long, start long, shape long"
+    # kind 0: to be compared; 1: a repeat; 2: to be indexed; 3: as 2, and tells others that the hash occurs with other bytes
+    grams_schema = "kind int, hash long, full long, _id long, _n long, start long, shape long"
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = GramHasher(gram, CHUNK_BYTES + length)
@@ -178,45 +191,64 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, carried: bool =
             found = list(anchors(raw, length, gram, hasher))
             if not found:
                 continue
-            number, hashed, start, count, ahead = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(hashed, kind="stable")
-            ranked = hashed[order]
-            same = ranked[1:] == ranked[:-1]
+            number, hashed, start, count, ahead, full = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((full, hashed))  # stable: the corpus order within equal ones
+            same_hash = hashed[order][1:] == hashed[order][:-1]
+            same = same_hash & (full[order][1:] == full[order][:-1])
+            again = np.zeros(len(order), bool)
+            again[order[1:][same]] = True
+            # of the anchors with several surroundings in this batch, one stands for all in the comparison
+            first = np.flatnonzero(np.append(True, ~same_hash))
+            several = np.add.reduceat(np.append(0, same_hash & ~same), first) > 0
             kind = np.zeros(len(order), np.int32)
-            kind[1:][same] = 2  # known to repeat: needs no comparison
-            kind[:-1][same & (kind[:-1] == 0)] = 3  # the first of them still tells others that the hash occurs
-            order_kind = np.empty_like(kind)
-            order_kind[order] = kind
-            key = np.where(order_kind == 2, (ids[number] * 0x9E3779B97F4A7C1 + start * 0xBF58476D1CE4E5) >> 3, hashed)
-            shape = count << 8 | ahead
-            for a in range(0, len(number), 100_000):
+            kind[order] = np.where(np.repeat(several, np.diff(np.append(first, len(order)))), 2, 0)
+            kind[order[first[several]]] = 3
+            # repeats in a row are one range
+            at = np.flatnonzero(again)
+            joined = (number[at][1:] == number[at][:-1]) & (start[at][1:] == start[at][:-1] + count[at][:-1])
+            head = np.flatnonzero(np.append(True, ~joined)) if len(at) else at
+            total = np.add.reduceat(count[at], head) if len(at) else at
+            keep = np.flatnonzero(~again)
+            head = at[head] if len(at) else at
+            rows = np.append(keep, head)
+            shape = np.append(count[keep] << 8 | ahead[keep], total << 8)
+            kind = np.append(kind[keep], np.ones(len(head), np.int32))
+            spread = (ids[number[rows]] * 0x9E3779B97F4A7C1 + start[rows] * 0xBF58476D1CE4E5) >> 3
+            key = np.where((kind == 1) | (kind == 2), spread, hashed[rows])
+            for a in range(0, len(rows), 100_000):
                 s = slice(a, a + 100_000)
-                yield _batch(dict(kind=pa.array(order_kind[s]), hash=pa.array(key[s]), _id=pa.array(ids[number[s]]), _n=pa.array(ns[number[s]]), start=pa.array(start[s]), shape=pa.array(shape[s])))
-
-    def keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by hash; of each batch the last waits for the next."""
-        held, before = None, None  # the row that waits, the hash before it
+                r = rows[s]
+                yield _batch(dict(kind=pa.array(kind[s].astype(np.int32)), hash=pa.array(key[s]), full=pa.array(full[r]), _id=pa.array(ids[number[r]]), _n=pa.array(ns[number[r]]), start=pa.array(start[r]), shape=pa.array(shape[s])))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by hash, then full, then place; the last hash of a batch waits for the next."""
+
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            h, f, kind = (table.column(c).to_numpy() for c in ("hash", "full", "kind"))
+            known = (kind == 1) | (kind == 2)
+            new_hash = np.append(True, (h[1:] != h[:-1]) | known[1:] | known[:-1])
+            new_full = new_hash | np.append(True, f[1:] != f[:-1])
+            first = np.flatnonzero(new_hash)
+            many = (np.add.reduceat(new_full.astype(np.int64), first) > 1) | (np.add.reduceat((kind == 3).astype(np.int64), first) > 0)
+            many = np.repeat(many, np.diff(np.append(first, len(h))))
+            out = np.where(known, kind, np.where(~new_full, 1, np.where(many, 2, 0))).astype(np.int32)
+            yield from table.set_column(0, "kind", pa.array(out)).filter(pa.array(out > 0)).combine_chunks().to_batches()
+
+        held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            h, kind = table.column("hash").to_numpy(), table.column("kind").to_numpy()
-            same = h[1:] == h[:-1]
-            keep = kind != 0
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= before is not None and before == h[0]
-            if len(h) > 1:
-                before = h[-2]
-            held = table.slice(len(h) - 1)
-            keep_last, keep[-1] = keep[-1], False
-            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
-        if held is not None and keep_last:
-            yield from held.to_batches()
+            table = table if held is None else pa.concat_tables([held, table])
+            h = table.column("hash").to_numpy()
+            edge = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            held = table.slice(edge)
+            if edge:
+                yield from settle(table.slice(0, edge))
+        if held is not None and held.num_rows:
+            yield from settle(held)
 
     found = texts.mapInArrow(find_anchors, grams_schema)
-    repeated = found.repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(keep_repeated, grams_schema)
-    listed = repeated.groupBy("_id").agg(F.collect_list(F.struct("_n", "start", "shape")).alias("items"))
+    settled = found.repartition(n, "hash").sortWithinPartitions("hash", "full", "_id", "_n", "start").mapInArrow(compare, grams_schema)
+    listed = settled.groupBy("_id").agg(F.collect_list(F.struct("_n", "start", "shape", "kind")).alias("items"))
     blocks_schema = "key long, _id long, _n long, start long, windows int, content binary"
 
     def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +258,11 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, carried: bool =
             for _id, text, _n, items in zip(*(batch.column(c).to_pylist() for c in ("_id", "text", "_n", "items"))):
                 raw = text.encode("utf-8", "replace")
                 again: list[tuple[int, int]] = []
-                for start, shape in sorted((x["start"], x["shape"]) for x in items if x["_n"] == _n):
+                for start, shape, kind in sorted((x["start"], x["shape"], x["kind"]) for x in items if x["_n"] == _n):
                     count, ahead = shape >> 8, shape & 255
+                    if kind == 1:
+                        again.append((start, start + count - 1 + length))
+                        continue
                     anchor = start + ahead
                     for b in range((ahead - count + 1) // block, ahead // block + 1):
                         first = max(start, anchor - b * block - block + 1)

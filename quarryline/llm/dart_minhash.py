@@ -188,7 +188,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     ``threshold``; classes are the connected components. Texts without words link to equal texts only; rows without a
     doc_id have no class (null).
 
-    In a first round each bucket's nodes are checked against its smallest node only. Then, in buckets that still hold
+    In a first round each bucket's nodes are checked against its leader only: the node that shares most buckets' places,
+    which in a group of copies is the text that the others were made from, or one like it. Then, in buckets that still hold
     nodes of several components, every pair across components is checked, so no link that matters to a class is lost
     while a group of copies never emits all its pairs.
     """
@@ -196,12 +197,15 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     nodes = banded.groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("node"))
     nodes = stored(nodes.filter("node is not null"))
     members = nodes.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
-    buckets = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").drop("last")
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = stored(members.join(buckets, "key"))  # the buckets of two nodes or more
+    central = shared.groupBy("node").agg(F.sum("size").alias("score"))
+    scored = stored(shared.select("key", "node").join(central, "node"))
+    leaders = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("first"))
     wanted = shared.select("node").distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
     sets = stored(_cells_of(texts))
-    first = shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    first = cut(scored.join(leaders, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = cut(similar_pairs(first, sets, threshold))
     labels = components(links)
     named = cut(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
@@ -209,7 +213,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     open_rows = named.join(mixed_buckets, "key")
     other = open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
     across = open_rows.withColumnRenamed("node", "a").join(other, "key").filter("a < b and label <> label_b").select("a", "b").distinct()
-    more = cut(similar_pairs(across.join(first, ["a", "b"], "left_anti"), sets, threshold))
+    more = cut(similar_pairs(across, sets, threshold))
     labels = components(links.union(more))
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     return banded.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

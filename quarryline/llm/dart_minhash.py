@@ -180,6 +180,23 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return pairs.join(right, "b").join(left, "a").filter(similarity("ca", "cb") >= threshold).select("a", "b")
 
 
+def delta_prefixes(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cell): for each row (a, b) the smallest cells that a's and b's sets don't share, as many as needed.
+
+    Let c fail against b. If x and b have no cell in common in which both differ from c, then x and b share no more than
+    c and b do, and together have no fewer, so x fails against b too. A pair that passes thus meets in a cell in which both
+    differ from c; and as it differs in at most a share (1 - t) / t of either set, both have it, for any order of
+    the cells, among their first ``that share of the set + 1``.
+    """
+
+    @F.pandas_udf("array<long>")
+    def prefix(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(p, q, assume_unique=True)[: int((1 - threshold) / threshold * len(q) + 1e-9) + 1] for p, q in zip(x, y)], dtype=object)
+
+    left, right = sets.select(F.col("node").alias("a"), F.col("cells").alias("ca")), sets.select(F.col("node").alias("b"), F.col("cells").alias("cb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", F.explode(prefix("ca", "cb")).alias("cell"))
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, class_id for every row: the smallest doc_id of its class of near duplicates.
 
@@ -190,8 +207,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
 
     In a first round each bucket's nodes are checked against its leader only: the node that shares most buckets' places,
     which in a group of copies is the text that the others were made from, or one like it. Then, in buckets that still hold
-    nodes of several components, every pair across components is checked, so no link that matters to a class is lost
-    while a group of copies never emits all its pairs.
+    nodes of several components, the pairs across components that can pass at all are checked (:func:`delta_prefixes`),
+    so no link that matters to a class is lost while a group of copies never emits all its pairs.
     """
     banded = stored(_bands_of(documents, bands, rows))
     nodes = banded.groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("node"))
@@ -210,9 +227,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     labels = components(links)
     named = cut(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     mixed_buckets = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_rows = named.join(mixed_buckets, "key")
-    other = open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = open_rows.withColumnRenamed("node", "a").join(other, "key").filter("a < b and label <> label_b").select("a", "b").distinct()
+    open_rows = cut(named.join(mixed_buckets, "key").join(leaders, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), "label").distinct())
+    index = stored(delta_prefixes(open_rows.select("a", "b"), sets, threshold).join(open_rows, ["a", "b"]))
+    meeting = index.groupBy("a", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("a", "cell")
+    met = index.join(meeting, ["a", "cell"]).withColumnRenamed("a", "leader")
+    other = met.select("leader", "cell", F.col("b").alias("a"), F.col("label").alias("label_a"))
+    across = cut(met.join(other, ["leader", "cell"]).filter("a < b and label <> label_a").select("a", "b").distinct())
     more = cut(similar_pairs(across, sets, threshold))
     labels = components(links.union(more))
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))

@@ -2,10 +2,321 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import ENTITIES, clean_text, compact_key, plain_number, slug
+from ..operators import pages, reports, resolve, state
+from ..sources.tables import read_table
+from ..streaming.health import hourly_counts
 
-def oracle_sql() -> dict:
-    return {}
+_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+#: Sample spellings of numbers, for the number normaliser.
+NUMBERS = ["1,050.00", "1,050", "12,345", "1,234,567", "1,5", "0,25", "230,4", "1.050,00", "1.234.567,89", "1.05"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _REGISTRY[name] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _clean(value: str) -> str:
+    out = f"coalesce({value}, '')"
+    for name, sign in ENTITIES.items():
+        out = f"replace({out}, {_quoted(name)}, {_quoted(sign)})"
+    return f"trim(regexp_replace({out}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1)), '^www\\.', '')"
+_BARE = "regexp_replace(trim(coalesce(url, '')), '#.*$', '')"
+_PARAMS = (
+    f"array_to_string(list_sort(list_filter(string_split(regexp_extract({_BARE}, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches("
+    "lower(regexp_extract(p, '^[^=]*')), '^(utm_.*|fbclid|gclid|msclkid|_gl|cachebust|cachebuster|timestamp|ts|ref)$'))), '&')"
+)
+_URL_KEY = f"lower(regexp_extract({_BARE}, '^[^?]*') || CASE WHEN {_PARAMS} <> '' THEN '?' || {_PARAMS} ELSE '' END)"
+_LINKS = f"""
+titles AS (SELECT page_id, {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages),
+anchors AS (SELECT page_id, unnest(a) AS anchor, generate_subscripts(a, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS a FROM pages)),
+links AS (SELECT page_id, CAST(ord AS INTEGER) AS ord, regexp_extract(anchor, 'href="([^"]*)"', 1) AS href, {_clean("regexp_extract(anchor, '>([^<]*)<', 1)")} AS label FROM anchors),
+scores AS (SELECT page_id, ord, href, label, CAST(CASE WHEN label <> '' THEN 10 ELSE 0 END + CASE WHEN label <> '' AND contains(lower(title), lower(label)) THEN 35 ELSE 0 END
+  + least(length(href), 20) AS INTEGER) AS score FROM links JOIN titles USING (page_id))
+"""
+_TOP = """
+once AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, ord) AS n FROM scores),
+ranked AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS INTEGER) AS rank, href, label, score FROM once WHERE n = 1)
+"""
+
+
+@query("page_titles", f"SELECT page_id, {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages")
+def _(spark, d):
+    return pages.page_titles(read_table(spark, d, "pages"))
+
+
+@query("page_hosts", f"SELECT page_id, {_HOST} AS host, {_URL_KEY} AS url_key FROM pages")
+def _(spark, d):
+    return pages.page_hosts(read_table(spark, d, "pages"))
+
+
+@query("page_links", f"WITH {_LINKS} SELECT page_id, ord, href, label FROM links")
+def _(spark, d):
+    return pages.page_links(read_table(spark, d, "pages"))
+
+
+@query("link_scores", f"WITH {_LINKS} SELECT * FROM scores")
+def _(spark, d):
+    return pages.link_scores(read_table(spark, d, "pages"))
+
+
+@query("best_links_per_page", f"WITH {_LINKS}, {_TOP} SELECT * FROM ranked WHERE rank <= 10")
+def _(spark, d):
+    return pages.top_links(read_table(spark, d, "pages"))
+
+
+@query(
+    "dedupe_documents_by_url",
+    f"""WITH k AS (SELECT page_id, {_URL_KEY} AS url_key, length(html) AS size FROM pages)
+    SELECT url_key, min(page_id) AS first_seen, arg_max(page_id, size * 1000000000 - page_id) AS page_id, count(*) AS copies FROM k GROUP BY 1""",
+)
+def _(spark, d):
+    return pages.distinct_urls(read_table(spark, d, "pages"))
+
+
+@query(
+    "source_lookup_two_tier",
+    f"""WITH k AS (SELECT page_id, {_URL_KEY} AS url_key, {_HOST} AS host FROM pages),
+    m AS (SELECT page_id, min(page_id) OVER (PARTITION BY url_key) AS u, min(page_id) OVER (PARTITION BY host) AS h FROM k)
+    SELECT page_id, CASE WHEN u < page_id THEN u ELSE h END AS source_page, CASE WHEN u < page_id THEN 'url' ELSE 'host' END AS tier FROM m""",
+)
+def _(spark, d):
+    return pages.source_lookup(read_table(spark, d, "pages"))
+
+
+@query("clean_text", f"SELECT doc_id, md5({_clean('text')}) AS cleaned FROM documents")
+def _(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", F.md5(clean_text(F.col("text"))).alias("cleaned"))
+
+
+@query("compact_keys", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS compact, substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS slug FROM part")
+def _(spark, d):
+    return read_table(spark, d, "part").select("p_partkey", compact_key(F.col("p_name")).alias("compact"), slug(F.col("p_name")).alias("slug"))
+
+
+@query(
+    "template_fill_urls",
+    "SELECT p_partkey, 'https://catalog.example/' || lower(replace(p_brand, '#', '-')) || '/' || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || '/' || p_partkey AS url FROM part",
+)
+def _(spark, d):
+    filled = F.lit("https://catalog.example/{brandLower}/{partCompact}/{key}")
+    parts = {"{brandLower}": F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("-"))), "{partCompact}": compact_key(F.col("p_name")), "{key}": F.col("p_partkey").cast("string")}
+    for name, value in parts.items():
+        filled = F.replace(filled, F.lit(name), value)
+    return read_table(spark, d, "part").select("p_partkey", filled.alias("url"))
+
+
+@query(
+    "number_separators",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{a}', '{b}')" for a, b in zip(NUMBERS, ["1050.00", "1050", "12345", "1234567", "1.5", "0.25", "230.4", "1050.00", "1234567.89", "1.05"]))
+    + ") AS t(spelled, number)",
+)
+def _(spark, d):
+    return spark.createDataFrame([(n,) for n in NUMBERS], "spelled string").select("spelled", plain_number(F.col("spelled")).alias("number"))
+
+
+@query(
+    "target_health",
+    """SELECT user_id AS host, event_type AS stage, count(*) AS samples, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(value), 4) AS avg_quality,
+    count(*) >= 8 AND (avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) < 0.45 OR avg(value) < 45) AS drift FROM events GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return state.target_health(state.observations(read_table(spark, d, "events")))
+
+
+@query("latest_wins", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def _(spark, d):
+    return state.latest_wins(read_table(spark, d, "events"))
+
+
+@query(
+    "learned_endpoints_topk",
+    """WITH u AS (SELECT user_id, event_type, count(*) AS uses, max(ts) AS last_used FROM events GROUP BY 1, 2)
+    SELECT user_id, CAST(rank AS INTEGER) AS rank, event_type, uses FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY uses DESC, last_used DESC, event_type) AS rank FROM u) WHERE rank <= 3""",
+)
+def _(spark, d):
+    return state.learned_top(read_table(spark, d, "events"))
+
+
+@query("exhausted_ttl_antijoin", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-01-01')")
+def _(spark, d):
+    return state.open_after_ttl(read_table(spark, d, "orders"), read_table(spark, d, "customer"), "1998-01-01")
+
+
+@query(
+    "circuit_breaker_streaks",
+    """WITH r AS (SELECT user_id, ts, event_id, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
+    SELECT user_id, min(event_id) AS first_event, count(*) AS failures FROM r WHERE failed GROUP BY user_id, run HAVING count(*) >= 2""",
+)
+def _(spark, d):
+    return state.failure_streaks(read_table(spark, d, "events"), least=2)
+
+
+@query(
+    "run_recount",
+    """SELECT o_orderpriority AS run, count(*) AS items, count(*) FILTER (o_orderstatus = 'F') AS found, count(*) FILTER (o_orderstatus = 'O') AS open_items,
+    count(*) FILTER (o_orderstatus = 'P') AS partial FROM orders GROUP BY 1""",
+)
+def _(spark, d):
+    return state.recount(read_table(spark, d, "orders"))
+
+
+@query(
+    "resolve_candidates",
+    """WITH c AS (SELECT l_partkey AS item, CASE l_returnflag WHEN 'N' THEN 3 WHEN 'A' THEN 2 ELSE 1 END AS priority, 1 - l_discount AS confidence, l_suppkey AS value, l_orderkey, l_linenumber FROM lineitem),
+    b AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY priority DESC, confidence DESC, l_orderkey, l_linenumber) AS n FROM c),
+    k AS (SELECT item, count(DISTINCT value) - 1 AS conflicts, count(*) AS candidates FROM c GROUP BY 1)
+    SELECT item, value AS resolved, priority, conflicts, candidates FROM b JOIN k USING (item) WHERE n = 1""",
+)
+def _(spark, d):
+    return resolve.resolve_candidates(resolve.lineitem_candidates(read_table(spark, d, "lineitem")))
+
+
+@query(
+    "full_outer_compare",
+    """WITH l AS (SELECT doc_id, quality AS v FROM labels), r AS (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS w FROM documents)
+    SELECT doc_id, CASE WHEN l.v IS NULL THEN 'right_only' WHEN r.w IS NULL THEN 'left_only' WHEN l.v = r.w THEN 'match' ELSE 'mismatch' END AS verdict FROM l FULL OUTER JOIN r USING (doc_id)""",
+)
+def _(spark, d):
+    long = read_table(spark, d, "documents").select("doc_id", (F.col("n_chars") > 500).cast("int").alias("quality"))
+    return resolve.compare_relations(read_table(spark, d, "labels"), long, "doc_id", "quality")
+
+
+@query(
+    "multi_channel_score",
+    """WITH s AS (SELECT p_partkey, string_split(p_type, ' ')[-1] AS kind, 5 AS points FROM part
+      UNION ALL SELECT p_partkey, CASE WHEN p_size < 17 THEN 'small' WHEN p_size < 34 THEN 'medium' ELSE 'large' END, 3 FROM part
+      UNION ALL SELECT p_partkey, string_split(p_type, ' ')[-1], CASE WHEN ends_with(p_brand, '1') THEN 2 ELSE 0 END FROM part),
+    g AS (SELECT p_partkey, kind, CAST(sum(points) AS BIGINT) AS points FROM s GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER w AS n, lead(points, 1, 0) OVER w AS nx FROM g WINDOW w AS (PARTITION BY p_partkey ORDER BY points DESC, kind))
+    SELECT p_partkey, kind, points, points - nx AS margin FROM r WHERE n = 1""",
+)
+def _(spark, d):
+    return resolve.classify_channels(read_table(spark, d, "part"))
+
+
+@query(
+    "quality_grades",
+    """WITH s AS (SELECT doc_id, CAST(CASE WHEN n_chars >= 200 THEN 40 ELSE 0 END + CASE WHEN lang IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN contains(text, chr(10)) THEN 10 ELSE 0 END + coalesce(quality, 0) * 30 AS INTEGER) AS score
+    FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, score, CASE WHEN score >= 90 THEN 'found' WHEN score >= 50 THEN 'partial' ELSE 'failed' END AS grade FROM s""",
+)
+def _(spark, d):
+    return resolve.quality_grades(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+@query("key_containment_join", "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 8")
+def _(spark, d):
+    return resolve.containing_documents(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"))
+
+
+@query(
+    "coverage_ratio",
+    """SELECT n_name, count(c_custkey) AS total, count(*) FILTER (c_acctbal > 0) AS covered, round(count(*) FILTER (c_acctbal > 0) / nullif(count(c_custkey), 0), 4) AS ratio
+    FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1""",
+)
+def _(spark, d):
+    return reports.coverage(read_table(spark, d, "customer"), read_table(spark, d, "nation"))
+
+
+@query(
+    "fill_rate_per_column",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER ({f'trim({c})' if s else c} {"<> ''" if s else 'IS NOT NULL'}) AS filled, count(*) AS total FROM documents"
+        for c, s in (("doc_id", 0), ("text", 1), ("lang", 1), ("source", 1), ("n_chars", 0))
+    ),
+)
+def _(spark, d):
+    return reports.fill_rates(read_table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("duplicate_keys", "SELECT md5(text) AS key_value, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    return reports.duplicate_keys(read_table(spark, d, "documents").select(F.md5("text").alias("text_key")), "text_key")
+
+
+@query("issue_summary", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 10 AS user_group, count(*) AS issues, max(value) AS worst FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+def _(spark, d):
+    return reports.issue_summary(read_table(spark, d, "events"))
+
+
+@query(
+    "review_queue",
+    """SELECT doc_id, source, reason FROM (SELECT doc_id, source, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' WHEN n_chars < 100 THEN 'short' END AS reason
+    FROM documents JOIN labels USING (doc_id)) WHERE reason IS NOT NULL""",
+)
+def _(spark, d):
+    return reports.review_queue(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+@query("primary_per_type", "SELECT p_type, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS n FROM part) WHERE n = 1")
+def _(spark, d):
+    return reports.primary_per_type(read_table(spark, d, "part"))
+
+
+_TYPES = ["view", "signup", "error", "click", "purchase"]
+
+
+@query("spec_matrix", "SELECT user_id, " + ", ".join(f"max(value) FILTER (event_type = '{t}') AS {t}" for t in _TYPES) + " FROM events GROUP BY 1")
+def _(spark, d):
+    return reports.spec_matrix(read_table(spark, d, "events"), _TYPES)
+
+
+@query(
+    "unmapped_label_frequency",
+    """SELECT label, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS label FROM conversations)
+    WHERE label <> '' GROUP BY 1 HAVING count(*) >= 5""",
+)
+def _(spark, d):
+    return reports.label_frequencies(read_table(spark, d, "conversations"))
+
+
+@query(
+    "ordered_distinct_first_wins",
+    """WITH f AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)
+    SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS ord, event_id FROM f WHERE n = 1""",
+)
+def _(spark, d):
+    return reports.first_wins(read_table(spark, d, "events"))
+
+
+@query(
+    "catalog_neighbourhood_windows",
+    """WITH l AS (SELECT doc_id, unnest(s) AS words, generate_subscripts(s, 1) - 1 AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+    g AS (SELECT doc_id, line, CASE WHEN line - lag(line) OVER (PARTITION BY doc_id ORDER BY line) <= 3 THEN 0 ELSE 1 END AS gap FROM l WHERE contains(words, 'License')),
+    r AS (SELECT doc_id, line, sum(gap) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM g)
+    SELECT doc_id, CAST(greatest(min(line) - 1, 0) AS INTEGER) AS first_line, CAST(max(line) + 1 AS INTEGER) AS last_line FROM r GROUP BY doc_id, run""",
+)
+def _(spark, d):
+    return reports.neighbourhoods(read_table(spark, d, "documents"), "License")
+
+
+@query("hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    counts = hourly_counts(read_table(spark, d, "events"))
+    return counts.withColumn("hour", F.col("hour").cast("timestamp_ntz"))

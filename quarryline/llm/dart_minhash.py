@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, stored
@@ -180,6 +180,85 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return pairs.join(right, "b").join(left, "a").filter(similarity("ca", "cb") >= threshold).select("a", "b")
 
 
+def _open(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows of buckets that hold nodes of several components, their number, and the pairs across components in them."""
+    parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    buckets = parts.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within")).filter("size * size > within")
+    kept = cut(rows.join(buckets, "key").select("key", "node", "label", "size", "within"))
+    found = kept.groupBy("key").agg(F.first("size").alias("size"), F.first("within").alias("within")).agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()
+    return kept.select("key", "node", "label"), int(found[0] or 0), int(found[1] or 0)
+
+
+def _possible(rows: DataFrame, leaders: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, label_a, label_b), a < b: the pairs across components of a bucket that can reach ``threshold``.
+
+    Every node was compared with its bucket's leader. Let m be the leader's number of cells, n a node's, ``lost`` the leader's
+    cells that the node lacks and ``new`` its cells that the leader lacks. Two nodes have at most m - max(lost, lost') of the
+    leader's cells in common and need t / (1 + t) (n + n') common cells in all, so at least
+    need = t / (1 + t) (n + n') - m + max(lost, lost') of them are new in both. Where that is positive, the pair is found by
+    joining new cells under the leader, of each node those that a pair of its need can't do without, rare ones first;
+    the few pairs with no such need are found by their sizes. Nothing that could pass is left out.
+    """
+
+    @F.pandas_udf("array<long>")
+    def inserted(cells: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([np.setdiff1d(p, q, assume_unique=True) for p, q in zip(cells, base)], dtype=object)
+
+    led = rows.join(leaders, "key").filter("node <> first").select("first", "node", "label").distinct()
+    base = sets.select(F.col("node").alias("first"), F.col("cells").alias("base"))
+    compared = led.join(base, "first").join(sets, "node")
+    compared = stored(compared.select("first", "node", "label", F.size("cells").alias("n"), F.size("base").alias("m"), inserted("cells", "base").alias("new")))
+    compared = compared.withColumn("lost", F.col("m") - F.col("n") + F.size("new"))
+
+    def second(df: DataFrame, *on: str) -> DataFrame:
+        return df.select(*on, *(F.col(c).alias(f"{c}_b") for c in df.columns if c not in (*on, "m")))
+
+    need = f"ceil({threshold / (1 + threshold)!r}D * (n + n_b) - m + greatest(lost, lost_b) - 1e-6D)"
+    across = f"node < node_b and label <> label_b and least(n, n_b) >= {threshold!r}D * greatest(n, n_b) - 1e-6D"
+    sized = compared.select("first", "node", "label", "n", "m", "lost")
+    by_size = sized.join(second(sized, "first"), "first").filter(f"{across} and {need} <= 0")
+    held = compared.select("first", "node", "label", "n", "m", "lost", F.explode("new").alias("cell"))
+    common = held.groupBy("first", "cell").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("first", "cell", "times")
+    of_node = Window.partitionBy("first", "node")
+    placed = held.join(common, ["first", "cell"]).withColumn("at", F.row_number().over(of_node.orderBy("times", "cell"))).withColumn("all", F.count(F.lit(1)).over(of_node)).drop("times")
+    placed = cut(placed)
+    by_cell = placed.join(second(placed, "first", "cell"), ["first", "cell"]).filter(f"{across} and {need} > 0 and at + {need} <= all + 1 and at_b + {need} <= all_b + 1")
+    ends = [F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("label").alias("label_a"), "label_b"]
+    return by_size.select(*ends).union(by_cell.select(*ends)).distinct()
+
+
+def _merged(named: DataFrame, leaders: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """(node, label): which components, named by their labels, are one once every bucket's pairs are settled.
+
+    ``named`` has key, node, label. In each round every bucket with several components draws a pivot by hash, and all its
+    nodes of other components are checked against it: as many checks as rows, and what links to any pivot joins its
+    component. Once a round no longer halves the pairs that are left across components, or they are as few as a round's
+    checks, those that can pass are all checked.
+    """
+    rows, size, pairs = _open(named)
+    found, turn, before = None, 0, 0
+    while pairs:
+        last = pairs <= size or (turn > 0 and 2 * pairs > before)
+        if last:
+            checks = cut(_possible(rows, leaders, sets, threshold))
+        else:
+            order = F.xxhash64("node", "key", F.lit(turn)).alias("order")
+            pivots = rows.groupBy("key").agg(F.max(F.struct(order, F.col("node").alias("pivot"), "label")).alias("top"))
+            met = rows.join(pivots.select("key", "top.pivot", F.col("top.label").alias("label_b")), "key").filter("label <> label_b")
+            forth = F.col("node") < F.col("pivot")
+            ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.when(forth, F.col("label")).otherwise(F.col("label_b")).alias("label_a"), F.when(forth, F.col("label_b")).otherwise(F.col("label")).alias("label_b")]
+            checks = cut(met.select(*ends).distinct())
+        passed = checks.join(similar_pairs(checks.select("a", "b"), sets, threshold), ["a", "b"])
+        links = cut(passed.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+        found = links if found is None else found.union(links)
+        if last:
+            break
+        now = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
+        before, turn = pairs, turn + 1
+        rows, size, pairs = _open(rows.join(now, "label", "left").select("key", "node", F.coalesce("new", "label").alias("label")))
+    return None if found is None else components(found)
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, class_id for every row: the smallest doc_id of its class of near duplicates.
 
@@ -189,9 +268,9 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     doc_id have no class (null).
 
     In a first round each bucket's nodes are checked against its leader only: the node that shares most buckets' places,
-    which in a group of copies is the text that the others were made from, or one like it. Then, in buckets that still hold
-    nodes of several components, every pair across components is checked, so no link that matters to a class is lost
-    while a group of copies never emits all its pairs.
+    which in a group of copies is the text that the others were made from, or one like it. Buckets that still hold nodes
+    of several components go on to :func:`_merged`, so no link that matters to a class is lost while a group of copies
+    never emits all its pairs.
     """
     banded = stored(_bands_of(documents, bands, rows))
     nodes = banded.groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("node"))
@@ -209,11 +288,10 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     links = cut(similar_pairs(first, sets, threshold))
     labels = components(links)
     named = cut(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    mixed_buckets = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_rows = named.join(mixed_buckets, "key")
-    other = open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = open_rows.withColumnRenamed("node", "a").join(other, "key").filter("a < b and label <> label_b").select("a", "b").distinct()
-    more = cut(similar_pairs(across, sets, threshold))
-    labels = components(links.union(more))
-    classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
+    merged = _merged(named, leaders, sets, threshold)
+    named_nodes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    if merged is not None:
+        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        named_nodes = named_nodes.join(merged, "label", "left").select("digest", F.coalesce("new", "label").alias("label"))
+    classes = named_nodes.select("digest", F.col("label").alias("class_id"))
     return banded.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

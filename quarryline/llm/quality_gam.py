@@ -65,7 +65,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, train: Column, rows: in
         return texts.map(features)
 
     sample = labelled_sample(documents, labels, "quality", train, rows)
-    got = sample.select("doc_id", "label", vector("text").alias("x")).orderBy("doc_id").toPandas()  # at most `rows` short vectors
+    got = sample.select("doc_id", "label", vector("text").alias("x")).toPandas().sort_values("doc_id")  # at most `rows` short vectors
     return AdditiveTables.fit(np.array(got["x"].tolist(), float).reshape(-1, len(NAMES)), got["label"].to_numpy(float))
 
 

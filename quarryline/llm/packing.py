@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,8 +29,10 @@ CAPACITY = 2048
 GROUPS = 64
 #: Lengths above this share of the capacity are "large".
 LARGE_SHARE = 0.45
-#: Entries of a worker's cache of tokenised words; a full cache is emptied.
-CACHE_WORDS = 250_000
+#: Entries of a worker's cache of tokenised words; a full one keeps only the words of the texts at hand.
+CACHE_WORDS = 600_000
+#: Texts are tokenised together until they hold this many words.
+BLOCK_WORDS = 400_000
 #: White space of the tokenizer's own splitting rule (Unicode White_Space); a cut before it never splits a token.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -49,17 +52,27 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            chunks = _CHUNK.findall(text or "")
-            new = list(set(chunks).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known.clear()
-                    new = list(set(chunks))
-                for chunk, found in zip(new, self.encoder.encode_batch(new, add_special_tokens=False)):
-                    self.known[chunk] = np.asarray(found.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, chunks))
+        """Little-endian unsigned 32-bit ids of each text; the new words of many texts are encoded together."""
+        held, size = [], 0
+        for k, text in enumerate(texts, 1):
+            held.append(_CHUNK.findall(text or ""))
+            size += len(held[-1])
+            if size > BLOCK_WORDS or k == len(texts):
+                yield from self._joined(held)
+                held, size = [], 0
+
+    def _joined(self, texts: list[list[str]]) -> Iterator[bytes]:
+        wanted: set[str] = set().union(*texts)
+        if len(self.known) + len(wanted) > CACHE_WORDS:
+            self.known = {w: self.known[w] for w in wanted if w in self.known}
+        new = list(wanted.difference(self.known))
+        for chunk, found in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[chunk] = array("I", found.ids).tobytes()
+        find = self.known.__getitem__
+        for chunks in texts:
+            yield b"".join(map(find, chunks))
+
+
 
 
 PIECES = T.StructType(

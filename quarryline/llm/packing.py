@@ -30,9 +30,9 @@ GROUPS = 64
 #: Lengths above this share of the capacity are "large".
 LARGE_SHARE = 0.45
 #: Entries of a worker's cache of tokenised words; a full one keeps only the words of the texts at hand.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Texts are tokenised together until they hold this many words.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 200_000
 #: White space of the tokenizer's own splitting rule (Unicode White_Space); a cut before it never splits a token.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -97,7 +97,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer, end = WordTokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
             rows: list[tuple] = []
             names = batch.column(0).to_pylist()
             for doc_id, ids in zip(names, tokenizer.encode(batch.column(1).to_pylist())):

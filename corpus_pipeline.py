@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import remainder, shared_dir, table
-from quarryline.llm.dart_minhash import near_duplicates
+from quarryline.llm.dart_minhash import near_classes, text_digest
 from quarryline.llm.packing import pack_documents
 from quarryline.llm.quality_gam import fit_quality, quality_score
 from quarryline.llm.queries import tokenizer_file
@@ -34,10 +34,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near duplicates, and rows without a doc_id."""
-    dropped = near_duplicates(docs).filter("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """Keeps one row of each class of near duplicates: the smallest doc_id (null comes last), then the smallest digest of the text.
+
+    Rows that share a doc_id with different texts are different documents here, and rows without a doc_id are compared like
+    others. Of rows with equal doc_id and text, the smallest in its columns stays.
+    """
+    digest = text_digest().alias("digest")
+    placed = docs.select(F.col("doc_id"), digest).join(near_classes(docs), "digest")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    best = placed.groupBy("class").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
+    rows = docs.select("*", digest)
+    kept = rows.join(best, (rows["digest"] == best["best_digest"]) & rows["doc_id"].eqNullSafe(best["best_id"]))
+    return kept.groupBy("best_digest", "best_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

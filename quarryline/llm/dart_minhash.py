@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, stored
@@ -129,6 +129,11 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def text_digest() -> Column:
+    """The md5 of the text; null counts as empty."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def _bands_of(documents: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, digest (of the whole text), keys (of its bands; null without words)."""
 
@@ -143,7 +148,7 @@ def _bands_of(documents: DataFrame, bands: int, rows: int) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     text = F.coalesce("text", F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), keys(text).alias("keys"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), keys(text).alias("keys"))
 
 
 def _cells_of(texts: DataFrame) -> DataFrame:
@@ -259,13 +264,12 @@ def _merged(named: DataFrame, leaders: DataFrame, sets: DataFrame, threshold: fl
     return None if found is None else components(found)
 
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id for every row: the smallest doc_id of its class of near duplicates.
+def near_classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """digest, class for every distinct text: the md5 of the text (null counts as empty) and the number of its class of near duplicates.
 
-    Equal texts (null counts as empty) are one node, named by its smallest doc_id; a doc_id that repeats with other
-    texts names one node too. Nodes are linked where they share a band and their exact similarity is at least
-    ``threshold``; classes are the connected components. Texts without words link to equal texts only; rows without a
-    doc_id have no class (null).
+    Each distinct text is one node, whatever ids its rows have; its number is given once, when the nodes are stored. Nodes are
+    linked where they share a band and their exact similarity is at least ``threshold``; classes are the connected components.
+    Texts without words link to equal texts only.
 
     In a first round each bucket's nodes are checked against its leader only: the node that shares most buckets' places,
     which in a group of copies is the text that the others were made from, or one like it. Buckets that still hold nodes
@@ -273,16 +277,18 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     never emits all its pairs.
     """
     banded = stored(_bands_of(documents, bands, rows))
-    nodes = banded.groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("node"))
-    nodes = stored(nodes.filter("node is not null"))
+    nodes = banded.groupBy("digest").agg(F.min_by("keys", F.coalesce("doc_id", F.lit(0))).alias("keys"), F.min("doc_id").alias("least"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = stored(members.join(buckets, "key"))  # the buckets of two nodes or more
     central = shared.groupBy("node").agg(F.sum("size").alias("score"))
     scored = stored(shared.select("key", "node").join(central, "node"))
     leaders = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("first"))
-    wanted = shared.select("node").distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
+    # a node's text is read from the rows of its smallest id, so that of a group of copies one travels
+    wanted = nodes.join(shared.select("node").distinct(), "node").select("node", "digest", "least")
+    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text")
+    texts = read.join(wanted, (read["digest"] == wanted["digest"]) & read["doc_id"].eqNullSafe(wanted["least"])).groupBy("node").agg(F.min("text").alias("text"))
     sets = stored(_cells_of(texts))
     first = cut(scored.join(leaders, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = cut(similar_pairs(first, sets, threshold))
@@ -293,5 +299,18 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     if merged is not None:
         merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
         named_nodes = named_nodes.join(merged, "label", "left").select("digest", F.coalesce("new", "label").alias("label"))
-    classes = named_nodes.select("digest", F.col("label").alias("class_id"))
-    return banded.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    return stored(named_nodes.select("digest", F.col("label").alias("class")))
+
+
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """doc_id, class_id for every row: the smallest doc_id of the class of near duplicates of the row's text.
+
+    Classes are those of :func:`near_classes`, so rows that share a doc_id are each compared by their own text, and rows
+    without one are compared like others. ``class_id`` is null where no row of the class has a doc_id; where one doc_id has
+    several texts, two classes can have the same smallest one.
+    """
+    classes = near_classes(documents, threshold, bands, rows)
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
+    placed = stored(ids.join(classes, "digest"))
+    named = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return placed.join(named, "class").select("doc_id", "class_id")

@@ -254,3 +254,17 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.toxic for r in toxic]) > 0.9
     langs = identify_languages(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.lang_pred == r.lang for r in langs]) > 0.95
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (None, c), (None, c), (None, c + " more"), (None, d), (4, d + " more"), (5, None), (None, "")]
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in near_duplicates(frame).collect())
+    assert got == sorted([("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), *[("None", "None")] * 3, ("None", "4"), ("4", "4"), ("5", "5"), ("None", "5")])
+    kept = Counter(r.text for r in corpus_pipeline.near_dedup(spark, frame, SF).collect())
+    one_of_c = min(c, c + " more", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert kept == Counter([a, b, one_of_c, d + " more", None])

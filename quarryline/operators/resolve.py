@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import compact_key
+
 
 def resolve_candidates(candidates: DataFrame) -> DataFrame:
     """item -> the value of the best candidate, and the number of other values.
@@ -55,19 +57,67 @@ def quality_grades(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return graded.withColumn("grade", F.when(F.col("score") >= 90, "found").when(F.col("score") >= 50, "partial").otherwise("failed"))
 
 
+#: Lengths of the ends by which needles are looked up.
+ENDS = (1, 2, 4, 8, 16, 32)
+
+
+def _confirmed(pairs: DataFrame, needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (item_id, doc_id) of which a text contains a needle; the texts are fetched here."""
+    wanted, held = needles.select(F.col("item_id").alias("_item"), "needle"), texts.select(F.col("doc_id").alias("_doc"), "text")
+    met = pairs.distinct().join(wanted, F.col("item_id").eqNullSafe(F.col("_item"))).join(held, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return met.filter(F.contains("text", F.col("needle"))).select("item_id", "doc_id").distinct()
+
+
+def substring_pairs(needles: DataFrame, texts: DataFrame, block: int = 256) -> DataFrame:
+    """(item_id, doc_id) of the texts (doc_id, text) that contain a needle (item_id, needle; not empty) anywhere.
+
+    A needle is looked up by its last characters, as many as the longest of ``ENDS`` that it has: they meet the texts' stretches
+    of that length in an equi-join on their hash. Texts are read in overlapping blocks, as finding a character takes steps.
+    """
+    length = F.length("needle")
+    end = F.greatest(*[F.when(length >= q, q) for q in ENDS])
+    wanted = needles.filter(length > 0).select("item_id", "needle", end.alias("q")).withColumn("h", F.xxhash64(F.right("needle", F.col("q"))))
+    sizes = [r["q"] for r in wanted.select("q").distinct().collect()]  # at most as many as ENDS
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(block))).alias("at")
+    pieces = texts.select("doc_id", "text", starts).select("doc_id", F.substr("text", F.col("at"), F.lit(block + ENDS[-1] - 1)).alias("piece"))
+
+    def stretches(q: int):
+        last = F.least(F.length("piece") - q + 1, F.lit(block))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substr("piece", i, F.lit(q))))).otherwise(F.array().cast("array<bigint>"))
+
+    found = F.concat(F.array().cast("array<bigint>"), *[stretches(q) for q in sizes])
+    pairs = pieces.select("doc_id", F.explode(F.array_distinct(found)).alias("h")).join(wanted.select("item_id", "h"), "h").select("item_id", "doc_id")
+    return _confirmed(pairs, wanted, texts)
+
+
 def containing_documents(passages: DataFrame, documents: DataFrame, words: int = 6) -> DataFrame:
-    """(item_id, doc_id) of documents that contain a passage whole.
+    """(item_id, doc_id) of documents that contain a passage whole, whatever its length; an empty passage isn't searched for.
 
-    A containing document has the passage's first inner words in a row as well: these meet in an equi-join on their
-    hash, and only such pairs are compared. Passages of fewer than ``words`` + 2 words aren't searched for.
+    A document that contains a passage of ``words`` + 2 words or more has the passage's first inner words in a row as well:
+    these meet in an equi-join on their hash, and only such pairs are compared. Shorter passages, which may begin and
+    end inside a word, are looked up by :func:`substring_pairs`.
     """
     def shingles(rows: DataFrame, key: str, all_of_them: bool) -> DataFrame:
-        split = rows.select(key, "text", F.split("text", " ").alias("w"))
+        split = rows.select(key, F.split("text", " ").alias("w"))
         last = F.size("w") - words + 1 if all_of_them else F.lit(2)
         starts = F.sequence(F.lit(2) if not all_of_them else F.lit(1), last)
         made = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-        return split.filter(F.size("w") >= words + (0 if all_of_them else 2)).select(key, "text", F.explode(F.array_distinct(made)).alias("h"))
+        return split.filter(F.size("w") >= words + (0 if all_of_them else 2)).select(key, F.explode(F.array_distinct(made)).alias("h"))
+
+    needles, n_words = passages.select("item_id", F.col("text").alias("needle")), F.size(F.split("needle", " "))
+    pairs = shingles(documents.select("doc_id", "text"), "doc_id", True).join(shingles(passages.select("item_id", "text"), "item_id", False), "h")
+    long = _confirmed(pairs.select("item_id", "doc_id"), needles.filter(n_words >= words + 2), documents)
+    return long.union(substring_pairs(needles.filter(n_words < words + 2), documents.select("doc_id", "text"))).distinct()
 
-    wanted = shingles(passages.select("item_id", "text"), "item_id", False).withColumnRenamed("text", "passage")
-    pairs = shingles(documents.select("doc_id", "text"), "doc_id", True).join(wanted, "h")
-    return pairs.filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
+
+def catalog_matches(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of documents that name an item: its text, or what follows its last colon, without regard to case.
+
+    From 4 letters and digits on separators don't count either. Such needles are searched for in compact form only, as a text
+    that contains a needle contains its compact form too; those with fewer are searched for in lower case.
+    """
+    candidates = items.select("item_id", F.explode(F.array("text", F.element_at(F.split("text", ":"), -1))).alias("needle")).select("item_id", F.trim("needle").alias("needle")).filter("needle <> ''").distinct()
+    compact = compact_key(F.col("needle"))
+    by_compact = substring_pairs(candidates.filter(F.length(compact) >= 4).select("item_id", compact.alias("needle")), documents.select("doc_id", compact_key(F.col("text")).alias("text")))
+    by_lower = substring_pairs(candidates.filter(F.length(compact) < 4).select("item_id", F.lower("needle").alias("needle")), documents.select("doc_id", F.lower("text").alias("text")))
+    return by_compact.union(by_lower).distinct()

@@ -235,6 +235,20 @@ def _(spark, d):
     return resolve.containing_documents(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"))
 
 
+_COMPACT = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query(
+    "catalog_text_matches",
+    f"""WITH c AS (SELECT item_id, trim(unnest([text, string_split(text, ':')[-1]])) AS needle FROM benchmark),
+    n AS (SELECT item_id, lower(needle) AS low, {_COMPACT.format("needle")} AS compact FROM c WHERE needle <> ''),
+    d AS (SELECT doc_id, lower(text) AS low, {_COMPACT.format("text")} AS compact FROM documents)
+    SELECT DISTINCT item_id, doc_id FROM n JOIN d ON contains(d.low, n.low) OR length(n.compact) >= 4 AND contains(d.compact, n.compact)""",
+)
+def _(spark, d):
+    return resolve.catalog_matches(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"))
+
+
 @query(
     "coverage_ratio",
     """SELECT n_name, count(c_custkey) AS total, count(*) FILTER (c_acctbal > 0) AS covered, round(count(*) FILTER (c_acctbal > 0) / nullif(count(c_custkey), 0), 4) AS ratio

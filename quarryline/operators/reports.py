@@ -51,8 +51,8 @@ def spec_matrix(events: DataFrame, columns: list[str]) -> DataFrame:
     return events.groupBy("user_id").pivot("event_type", columns).agg(F.max("value"))
 
 
-def label_frequencies(conversations: DataFrame, least: int = 5) -> DataFrame:
-    """Words of all turns with their number of occurrences and of conversations."""
+def label_frequencies(conversations: DataFrame, least: int = 1) -> DataFrame:
+    """Words of all turns with their number of occurrences and of conversations; ``least`` is for queries whose SQL has a bound."""
     words = conversations.select("conv_id", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("label")).filter("label <> ''")
     return words.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations")).filter(F.col("n") >= least)
 

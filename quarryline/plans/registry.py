@@ -306,6 +306,15 @@ def _(spark, d):
     """SELECT label, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS label FROM conversations)
     WHERE label <> '' GROUP BY 1 HAVING count(*) >= 5""",
 )
+def _(spark, d):
+    return reports.label_frequencies(read_table(spark, d, "conversations"), least=5)
+
+
+@query(
+    "label_frequency",
+    """SELECT label, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS label FROM conversations)
+    WHERE label <> '' GROUP BY 1""",
+)
 def _(spark, d):
     return reports.label_frequencies(read_table(spark, d, "conversations"))
 

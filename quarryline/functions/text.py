@@ -32,14 +32,28 @@ def slug(value: Column, most: int = 48) -> Column:
     return F.substring(dashed, 1, most)
 
 
-def plain_number(value: Column) -> Column:
-    """Numbers without thousands separators and with a decimal point: ``1.050,00`` and ``1,050.00`` become ``1050.00``."""
-    european = value.rlike(r"^\d{1,3}(\.\d{3})+,\d+$") | value.rlike(r"^\d{1,3}(\.\d{3}){2,}$")
-    thousands = value.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$") & ~value.rlike(r"^0,")
-    comma = value.rlike(r"^\d+,\d+$")
+def plain_number(token: Column) -> Column:
+    """One number without thousands separators and with a decimal point: ``1.050,00`` and ``1,050.00`` become ``1050.00``.
+
+    With both separators the last one is the decimal point (of several, what follows the second is dropped, as in the
+    original). Of one kind, groups of three digits after a first one without leading zero are thousands; a single point
+    stays, other commas become points.
+    """
+    comma, dot = F.contains(token, F.lit(",")), F.contains(token, F.lit("."))
+
+    def both(decimal: str, grouping: str) -> Column:
+        parts = F.split(token, f"[{decimal}]")
+        return F.concat(F.replace(F.get(parts, F.lit(0)), F.lit(grouping), F.lit("")), F.lit("."), F.get(parts, F.lit(1)))
+
     return (
-        F.when(european, F.replace(F.replace(value, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(thousands, F.replace(value, F.lit(","), F.lit("")))
-        .when(comma, F.replace(value, F.lit(","), F.lit(".")))
-        .otherwise(value)
+        F.when(comma & dot, F.when(token.rlike(r",[^.]*$"), both(",", ".")).otherwise(both(".", ",")))
+        .when(comma, F.when(token.rlike(r"^[1-9]\d{0,2}(,\d{3})+$"), F.replace(token, F.lit(","), F.lit(""))).otherwise(F.replace(token, F.lit(","), F.lit("."))))
+        .when(token.rlike(r"^[1-9]\d{0,2}(\.\d{3}){2,}$"), F.replace(token, F.lit("."), F.lit("")))
+        .otherwise(token)
     )
+
+
+def plain_numbers(text: Column) -> Column:
+    """The text with each of its numbers as :func:`plain_number` writes it; the rest stays."""
+    tokens = F.regexp_extract_all(text, F.lit(r"([^0-9]+|[0-9]([0-9.,]*[0-9])?)"), F.lit(1))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]"), plain_number(t)).otherwise(t)), "")

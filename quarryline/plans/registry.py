@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ENTITIES, clean_text, compact_key, plain_number, slug
+from ..functions.text import ENTITIES, clean_text, compact_key, plain_numbers, slug
 from ..operators import pages, reports, resolve, state
 from ..sources.tables import read_table
 from ..streaming.health import hourly_counts
@@ -138,7 +138,19 @@ def _(spark, d):
     + ") AS t(spelled, number)",
 )
 def _(spark, d):
-    return spark.createDataFrame([(n,) for n in NUMBERS], "spelled string").select("spelled", plain_number(F.col("spelled")).alias("number"))
+    return spark.createDataFrame([(n,) for n in NUMBERS], "spelled string").select("spelled", plain_numbers(F.col("spelled")).alias("number"))
+
+
+_NUMBER = r"""CASE WHEN NOT regexp_matches(t, '^[0-9]') THEN t
+    WHEN contains(t, ',') AND contains(t, '.') AND regexp_matches(t, ',[^.]*$') THEN replace(string_split(t, ',')[1], '.', '') || '.' || string_split(t, ',')[2]
+    WHEN contains(t, ',') AND contains(t, '.') THEN replace(string_split(t, '.')[1], ',', '') || '.' || string_split(t, '.')[2]
+    WHEN regexp_matches(t, '^[1-9][0-9]{0,2}(,[0-9]{3})+$') THEN replace(t, ',', '') WHEN contains(t, ',') THEN replace(t, ',', '.')
+    WHEN regexp_matches(t, '^[1-9][0-9]{0,2}([.][0-9]{3}){2,}$') THEN replace(t, '.', '') ELSE t END"""
+
+
+@query("number_separators_in_texts", f"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[^0-9]+|[0-9]([0-9.,]*[0-9])?'), lambda t: {_NUMBER}), '')) AS plain FROM documents")
+def _(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", F.md5(plain_numbers(F.col("text"))).alias("plain"))
 
 
 @query(

@@ -18,13 +18,22 @@ def page_hosts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host_of(F.col("url")).alias("host"), canonical_url_key(F.col("url")).alias("url_key"))
 
 
+#: An attribute with its value in either quoting or none.
+_ATTRIBUTE = r"""[^\s>=/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
+#: An anchor: its attributes (group 1) and what it holds (group 2) up to its end, the next anchor or the end of the page.
+_ANCHOR = rf"""(?is)<a(?=[\s/])((?:{_ATTRIBUTE}|[\s/]++|=)*+)>(.*?)(?:</a\s*>|(?=<a[\s/>])|\z)"""
+_TAG = r"""(?s)<!--.*?-->|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """One row per anchor in page order: page_id, ord, href, label."""
-    found = F.regexp_extract_all("html", F.lit(r"(<a href=\"[^\"]*\">[^<]*</a>)"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(found).alias("ord", "anchor"))
-    return rows.select(
-        "page_id", "ord", F.regexp_extract("anchor", r"href=\"([^\"]*)\"", 1).alias("href"), clean_text(F.regexp_extract("anchor", r">([^<]*)<", 1)).alias("label")
-    )
+    """One row per anchor with an href in page order: page_id, ord, href, label (the text in it without tags)."""
+    heads, bodies = (F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(k)) for k in (1, 2))
+    anchors = F.transform(F.arrays_zip(heads.alias("head"), bodies.alias("body")), lambda x: F.struct(
+        F.get(F.filter(F.regexp_extract_all(x["head"], F.lit(f"({_ATTRIBUTE})"), F.lit(1)), lambda t: t.rlike(r"(?i)^href\s*=")), F.lit(0)).alias("href"), x["body"].alias("body")))
+    rows = pages.select("page_id", F.posexplode(F.filter(anchors, lambda x: x["href"].isNotNull())).alias("ord", "anchor"))
+    value = F.regexp_replace("anchor.href", r"(?is)^href\s*=\s*", "")
+    href = F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return rows.select("page_id", "ord", href.alias("href"), clean_text(F.regexp_replace("anchor.body", _TAG, "")).alias("label"))
 
 
 def link_scores(pages: DataFrame) -> DataFrame:

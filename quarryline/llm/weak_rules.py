@@ -44,6 +44,18 @@ def covered_by_repeats(words: list[str], window: int = 5) -> int:
     return int((edge.cumsum()[:-1] > 0).sum())
 
 
+#: Longest block in which distinct words are counted: their share falls with the length of a text, so blocks keep it comparable.
+VARIETY_WORDS = 5000
+
+
+def repeated_share(words: list[str], most: int = VARIETY_WORDS) -> float:
+    """Share of words that are not the first of their kind in their block; the list is cut into equal blocks of at most ``most`` words."""
+    n = len(words)
+    blocks = -(-n // most)
+    edges = [n * k // blocks for k in range(blocks + 1)] if n else [0]
+    return 1 - sum(len(set(words[a:b])) for a, b in zip(edges, edges[1:])) / max(1, n)
+
+
 def measure(text: str | None) -> dict[str, float]:
     t = text or ""
     words = _WORD.findall(t)
@@ -63,6 +75,7 @@ def measure(text: str | None) -> dict[str, float]:
         "n_repeat_words": covered_by_repeats(words),
         "n_lines": lines,
         "n_distinct": len(set(words)),
+        "same_share": repeated_share(words),
         "n_same": sum(a == b for a, b in zip(words, words[1:])),
         "n_upper": sum(len(w) > 2 and w.isupper() for w in words),
         "n_exclaimed": sum(w[-1] == "!" for w in words),
@@ -85,7 +98,7 @@ RULES: list[tuple[str, Callable[[dict, int], int]]] = [
     ("repeated_sequences", lambda m, n: _band(m["n_repeat_words"] / n, 0.05, 0.2) if n >= 10 else 0),
     ("word_length", lambda m, n: 1 if 3 <= m["word_chars"] / n <= 10 else -1 if not 2 <= m["word_chars"] / n <= 16 else 0),
     ("enough_words", lambda m, n: 1 if n >= 40 else 0),
-    ("variety", lambda m, n: _band(1 - m["n_distinct"] / n, 0.55, 0.8) if 20 <= n <= 5000 else 0),
+    ("variety", lambda m, n: _band(m["same_share"], 0.55, 0.8) if n >= 20 else 0),
     ("capitals", lambda m, n: _band(m["n_upper"] / n, 0.02, 0.3) if n >= 5 else 0),
     ("stutter", lambda m, n: _band(m["n_same"] / n, 0.03, 0.2) if n >= 5 else 0),
     ("exclamation", lambda m, n: _band(m["n_exclaimed"] / n, 0.02, 0.2) if n >= 5 else 0),

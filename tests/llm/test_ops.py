@@ -21,7 +21,7 @@ from quarryline.llm.suffix_index import remove_repeats, without_repeats
 from quarryline.llm.toxicity import score_toxicity
 from quarryline.llm.unigram import UnigramModel, encode_documents
 from quarryline.llm.url_filter import judge_urls
-from quarryline.llm.weak_rules import covered_by_repeats, fit_posteriors, judge_quality
+from quarryline.llm.weak_rules import RULES, covered_by_repeats, fit_posteriors, judge_quality, measure, votes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, cells string, ranges string"
@@ -268,3 +268,13 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     kept = Counter(r.text for r in corpus_pipeline.near_dedup(spark, frame, SF).collect())
     one_of_c = min(c, c + " more", key=lambda t: hashlib.md5(t.encode()).hexdigest())
     assert kept == Counter([a, b, one_of_c, d + " more", None])
+
+
+def test_variety_of_long_texts():
+    rng = random.Random(6)
+    rule = dict(RULES)["variety"]
+    few, many = ([rng.choice(words) for _ in range(12_001)] for words in ([f"w{k}" for k in range(100)], [f"w{k}" for k in range(50_000)]))
+    for words, vote in ((few, -1), (many, 1)):
+        for n in (5000, 5001, 6000, 12_001):
+            assert rule(measure(" ".join(words[:n])), n) == vote
+    assert measure("a b a")["same_share"] == pytest.approx(1 / 3) and measure("")["same_share"] == 1.0 and votes(measure("")) >= 0

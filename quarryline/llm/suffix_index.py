@@ -19,7 +19,9 @@ Texts are shuffled once, by id; all steps that need them read that exchange.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ BLOCK = 24
 #: Bytes hashed at once, windows of a batch of the index, and entries of the table of blocks that a task has sent.
 CHUNK_BYTES = 1 << 20
 BATCH_WINDOWS = 1 << 16
+#: Distinct windows (100 bytes each) that a task's index holds in memory; what is over goes to its temporary folder.
+MEMORY_WINDOWS = 1_000_000
 SENT_BLOCKS = 200_000
 NO_ID = -(1 << 63)
 
@@ -126,11 +130,18 @@ def anchors(texts: list[bytes], length: int, gram: int, hasher: GramHasher) -> I
 
 
 class SuffixLevels:
-    """Sorted arrays of distinct windows; levels of like size merge, so sizes grow geometrically."""
+    """Sorted arrays of distinct windows; levels of like size merge, so sizes grow geometrically.
 
-    def __init__(self, length: int):
-        self.kind = f"S{length}"
+    At most ``most`` windows and one batch are held in memory: beyond that the levels go to one sorted file of a temporary
+    folder, where files of like size merge too. All are searched, so no window is forgotten.
+    """
+
+    def __init__(self, length: int, most: int = MEMORY_WINDOWS):
+        self.kind, self.most = f"S{length}", most
         self.levels: list[np.ndarray] = []
+        self.files: list[np.ndarray] = []
+        self.folder: tempfile.TemporaryDirectory | None = None
+        self.written = 0
 
     def add(self, windows: np.ndarray) -> np.ndarray:
         """Flags the windows found in a level or earlier in this batch; the others become a level."""
@@ -138,7 +149,7 @@ class SuffixLevels:
         ranked = windows[order]
         again = np.zeros(len(windows), bool)
         again[1:] = ranked[1:] == ranked[:-1]
-        for level in self.levels:  # merge-scan: both sides are sorted
+        for level in (*self.files, *self.levels):  # merge-scan: both sides are sorted
             place = np.searchsorted(level, ranked)
             again |= level[np.minimum(place, len(level) - 1)] == ranked
         found = np.zeros(len(windows), bool)
@@ -150,8 +161,51 @@ class SuffixLevels:
                 merged = np.concatenate([self.levels.pop(), self.levels.pop()])
                 merged.sort(kind="stable")
                 self.levels.append(merged)
+            if sum(map(len, self.levels)) > self.most:
+                self._spill()
         return found
 
+    def _spill(self) -> None:
+        whole = np.concatenate(self.levels)
+        self.levels = []
+        whole.sort(kind="stable")
+        self.files.append(self._file([whole]))
+        del whole
+        while len(self.files) > 1 and len(self.files[-2]) <= 2 * len(self.files[-1]):
+            right, left = self.files.pop(), self.files.pop()
+            self.files.append(self._file(self._merged(left, right)))
+            for old in (left, right):
+                os.unlink(old.filename)
+
+    def _file(self, parts: Iterable[np.ndarray]) -> np.memmap:
+        self.folder = self.folder or tempfile.TemporaryDirectory(prefix="levels-")
+        self.written += 1
+        path = os.path.join(self.folder.name, str(self.written))
+        with open(path, "wb") as out:
+            for part in parts:
+                part.tofile(out)
+        return np.memmap(path, self.kind, "r")
+
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+        """Two sorted arrays as one, in parts of at most ``most`` windows."""
+        step, i, j = max(1, self.most // 2), 0, 0
+        while i < len(a) and j < len(b):
+            x, y = a[i : i + step], b[j : j + step]
+            edge = min(x[-1], y[-1])
+            x, y = x[: np.searchsorted(x, edge, "right")], y[: np.searchsorted(y, edge, "right")]
+            part = np.concatenate([x, y])
+            part.sort(kind="stable")
+            yield part
+            i, j = i + len(x), j + len(y)
+        for rest, k in ((a, i), (b, j)):
+            for at in range(k, len(rest), step):
+                yield rest[at : at + step]
+
+    def close(self) -> None:
+        self.levels, self.files = [], []
+        if self.folder is not None:
+            self.folder.cleanup()
+
 
 def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -294,6 +348,12 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, carried: bool =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SuffixLevels(length)
+        try:
+            yield from scanned(batches, index)
+        finally:
+            index.close()
+
+    def scanned(batches: Iterator[pa.RecordBatch], index: SuffixLevels) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
 
         def ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, on small tables and odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ from quarryline.llm.langid_gru import ByteGru, identify_languages, padded
 from quarryline.llm.packing import pack_documents, plan_packing
 from quarryline.llm.quality_gam import score_quality
 from quarryline.llm.simhash import fingerprint_documents
-from quarryline.llm.suffix_index import remove_repeats, without_repeats
+from quarryline.llm.suffix_index import SuffixLevels, remove_repeats, without_repeats
 from quarryline.llm.toxicity import score_toxicity
 from quarryline.llm.unigram import UnigramModel, encode_documents
 from quarryline.llm.url_filter import judge_urls
@@ -278,3 +279,19 @@ def test_variety_of_long_texts():
         for n in (5000, 5001, 6000, 12_001):
             assert rule(measure(" ".join(words[:n])), n) == vote
     assert measure("a b a")["same_share"] == pytest.approx(1 / 3) and measure("")["same_share"] == 1.0 and votes(measure("")) >= 0
+
+
+def test_suffix_levels_go_to_disk():
+    rng = random.Random(9)
+    index, seen = SuffixLevels(3, most=50), set()
+    for _ in range(60):
+        windows = ["".join(rng.choices("abcdefgh", k=3)).encode() for _ in range(40)]
+        found = index.add(np.array(windows, "S3"))
+        for w, f in zip(windows, found):
+            assert f == (w in seen)
+            seen.add(w)
+        assert sum(map(len, index.levels)) <= 50
+    assert sum(map(len, index.files)) + sum(map(len, index.levels)) == len(seen) and len(index.files) < 8
+    folder = index.folder.name
+    index.close()
+    assert not os.path.exists(folder)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 32 bands of 5 coordinates: a pair at 0.8 is missed with a chance of 3e-6, and one at 0.9 with 1e-12.
 BANDS, BAND_ROWS = 32, 5
-#: Words handled at once inside a task.
-CHUNK_WORDS = 400_000
+#: Words and darts handled at once inside a task; a dart takes about 100 bytes while it is thrown.
+CHUNK_UNITS = 250_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
@@ -117,16 +118,15 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of about CHUNK_WORDS words (six bytes a word)."""
-    begin = held = 0
-    for k, t in enumerate(texts):
-        held += len(t or "")
-        if held > 6 * CHUNK_WORDS:
-            yield begin, k + 1
-            begin, held = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _chunks(texts: pa.Array, darts: int = 0) -> Iterator[tuple[int, list[str | None]]]:
+    """Stretches of texts, as (first row, texts), of about CHUNK_UNITS words (six bytes each) and ``darts`` a text; at least one text."""
+    begin, units = 0, 0
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for k, size in enumerate(sizes, 1):
+        units += size // 6 + darts
+        if units > CHUNK_UNITS or k == len(sizes):
+            yield begin, texts.slice(begin, k - begin).to_pylist()
+            begin, units = k, 0
 
 
 def text_digest() -> Column:
@@ -136,19 +136,20 @@ def text_digest() -> Column:
 
 def _bands_of(documents: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, digest (of the whole text), keys (of its bands; null without words)."""
+    k = bands * rows
+    darts = int(k * np.log(k) + 2 * k)
 
-    @F.pandas_udf("array<long>")
-    def keys(texts: pd.Series) -> pd.Series:
-        listed, out = texts.tolist(), []
-        for a, b in _chunks(listed):
-            cell, owner = cells(listed[a:b])
-            found = band_keys(dart_signatures(cell, owner, b - a, bands * rows), bands, rows).view(np.int64)
-            some = np.bincount(owner, minlength=b - a) > 0
-            out += [found[i] if some[i] else None for i in range(b - a)]
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in _chunks(batch.column(2), darts):
+                cell, owner = cells(texts)
+                found = band_keys(dart_signatures(cell, owner, len(texts), k), bands, rows).view(np.int64)
+                none = np.bincount(owner, minlength=len(texts)) == 0
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(found.reshape(-1)), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), batch.column(1).slice(begin, len(texts)), lists], names=["doc_id", "digest", "keys"])
 
     text = F.coalesce("text", F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), keys(text).alias("keys"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), text.alias("text")).mapInArrow(run, "doc_id long, digest string, keys array<long>")
 
 
 def _cells_of(texts: DataFrame) -> DataFrame:
@@ -156,13 +157,12 @@ def _cells_of(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column(1).to_pylist()
-            for a, b in _chunks(listed):
-                cell, owner = cells(listed[a:b])
+            for begin, listed in _chunks(batch.column(1)):
+                cell, owner = cells(listed)
                 order = np.lexsort((cell, owner))
-                edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))]).astype(np.int32)
+                edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(listed)))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(cell[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["node", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(listed)), lists], names=["node", "cells"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, cells array<long>")
 

@@ -21,14 +21,26 @@ from quarryline.llm.suffix_index import without_repeats
 from quarryline.llm.toxicity import fit_toxicity, toxicity_score
 
 
+#: Texts of an Arrow batch where whole rows wait beside it for a score. Spark's default of 10,000 keeps that many texts several
+#: times (rows, Arrow, Python) for each task; the passage stage finds repeats within a batch and keeps the default.
+SCORED_ROWS, PASSAGE_ROWS = 1000, 10_000
+
+
+def _batches_of(spark: SparkSession, rows: int) -> None:
+    """Sets the session's Arrow batches, from here on, as the stage's result is computed after its function has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is 0.7 or more; the model never reads the held-out fold's labels."""
+    _batches_of(spark, SCORED_ROWS)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
     return docs.filter(quality_score(model, docs)("text") >= 0.7)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose toxicity score is below 0.5; the model never reads the held-out fold's labels."""
+    _batches_of(spark, SCORED_ROWS)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
     return docs.filter(toxicity_score(model, docs)("text") < 0.5)
 
@@ -39,6 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id with different texts are different documents here, and rows without a doc_id are compared like
     others. Of rows with equal doc_id and text, the smallest in its columns stays.
     """
+    _batches_of(spark, SCORED_ROWS)
     digest = text_digest().alias("digest")
     placed = docs.select(F.col("doc_id"), digest).join(near_classes(docs), "digest")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
@@ -50,11 +63,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 100 bytes or more that occur earlier; documents of which nothing is left go."""
+    _batches_of(spark, PASSAGE_ROWS)
     return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of at most 2048 tokens."""
+    _batches_of(spark, SCORED_ROWS)
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 

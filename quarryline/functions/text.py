@@ -5,21 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The named entities that cleaning decodes; the ampersand comes last.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&deg;": "°", "&plusmn;": "±", "&micro;": "µ", "&middot;": "·", "&copy;": "©", "&amp;": "&",
-}
+#: White space of the rules below: ASCII, no-break and the other Unicode spaces, and the byte-order mark.
+SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: Named entities in the order in which they are decoded, in any case; the ampersand comes second, so ``&amp;lt;`` ends as ``<``.
+ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&apos;|&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&deg;", "°"), ("&sup2;", "²"), ("&micro;", "µ")]
+#: UTF-8 read as CP1252, and what it stood for.
+MOJIBAKE = [("â€¦", "..."), ("â€“|â€”", "-"), ("Â°", "°"), ("Â²", "²")]
+
+
+def _code_points(value: Column, pattern: str, digits: str, base: int) -> Column:
+    """Numeric entities of one base as characters; one beyond Unicode stays as it is, a surrogate becomes the replacement character."""
+    tokens = F.regexp_extract_all(value, F.lit(f"(?i)({pattern}|&|[^&]+)"), F.lit(1))
+
+    def decoded(token: Column) -> Column:
+        number = F.regexp_extract(token, f"(?i)^&#x?0*({digits}{{1,7}});$", 1)
+        point = F.conv(F.when(number != "", number), base, 10).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.when(token.rlike(f"(?i)^{pattern}$") & (point <= 0x10FFFF), char).otherwise(token)
+
+    return F.array_join(F.transform(tokens, decoded), "")
 
 
 def decode_entities(value: Column) -> Column:
-    for name, sign in ENTITIES.items():
-        value = F.replace(value, F.lit(name), F.lit(sign))
-    return value
+    """Hexadecimal, then decimal, then named entities; what one step makes, a later one may decode."""
+    numeric = _code_points(_code_points(value, "&#x[0-9a-f]+;", "[0-9a-f]", 16), "&#[0-9]+;", "[0-9]", 10)
+    value = F.when(F.contains(value, F.lit("&#")), numeric).otherwise(value)
+    named = value
+    for name, sign in ENTITIES:
+        named = F.regexp_replace(named, f"(?i){name}", sign)
+    return F.when(F.contains(value, F.lit("&")), named).otherwise(value)
+
+
+def collapse(value: Column) -> Column:
+    """White space runs as one space, none at the ends; null becomes the empty text."""
+    return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), f"[{SPACE}]+", " "))
+
+
+def collapse_or_null(value: Column) -> Column:
+    return F.nullif(collapse(value), F.lit(""))
 
 
 def clean_text(value: Column) -> Column:
-    """Decoded entities, white space runs as one space, trimmed; null becomes the empty text."""
-    return F.trim(F.regexp_replace(decode_entities(F.coalesce(value, F.lit(""))), r"[\s\x{00A0}]+", " "))
+    """Decoded entities, repaired mojibake, collapsed white space; null becomes the empty text."""
+    value = decode_entities(F.coalesce(value, F.lit("")))
+    for broken, sign in MOJIBAKE:
+        value = F.regexp_replace(value, broken, sign)
+    return collapse(value)
+
+
+def unique_strings(values: Column, normalize: str = "none", keep_empty: bool = False, ignore_case: bool = False) -> Column:
+    """An array's distinct strings in order of first appearance, as first written; null counts as empty."""
+    how = {"none": lambda x: x, "trim": lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", ""), "clean": clean_text}[normalize]
+    made = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: how(F.coalesce(x, F.lit(""))))
+    if not keep_empty:
+        made = F.filter(made, lambda x: x != "")
+    if not ignore_case:
+        return F.array_distinct(made)
+    folded = F.transform(made, lambda x: F.lower(x))
+    return F.filter(made, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+
+def truncated(value: Column, most: int = 32_000) -> Column:
+    return F.when(F.length(value) > most, F.substring(value, 1, most)).otherwise(value)
+
+
+def split_name_value(text: Column) -> Column:
+    """(name, value) of a ``label: value`` or ``label = value`` line, else null; a label of 2 to 80 characters that is no value itself."""
+    cleaned = clean_text(text)
+    colon, equal = r"^([^:]{2,80}):\s*(.+)$", r"^([^=]{2,80})=\s*(.+)$"
+
+    def part(k: int) -> Column:
+        return F.when(cleaned.rlike(colon), F.regexp_extract(cleaned, colon, k)).otherwise(F.regexp_extract(cleaned, equal, k))
+
+    name = F.trim(part(1))
+    return F.when((cleaned.rlike(colon) | cleaned.rlike(equal)) & ~is_value_fragment(name), F.struct(name.alias("name"), F.trim(part(2)).alias("value")))
+
+
+def is_value_fragment(name: Column) -> Column:
+    """A would-be label that is a measurement, a unit in brackets, a bare number or nothing."""
+    t = F.trim(name)
+    return (t == "") | t.rlike(r"^\([^)]*\d[^)]*\)$") | t.rlike(r"^[+-]?\d+(?:[.,]\d+)?$") | t.rlike(r"(?i)^[+-]?\d+(?:[.,]\d+)?\s*[a-zµΩ°%/().²³]+$")
 
 
 def compact_key(value: Column) -> Column:

@@ -14,10 +14,9 @@ def resolve_candidates(candidates: DataFrame) -> DataFrame:
 
     ``candidates``: item, priority, confidence, value, ord. Higher priority wins, then confidence, then order.
     """
-    order = Window.partitionBy("item").orderBy(F.desc("priority"), F.desc("confidence"), "ord")
-    best = candidates.withColumn("n", F.row_number().over(order)).filter("n = 1").select("item", F.col("value").alias("resolved"), "priority")
-    counts = candidates.groupBy("item").agg((F.countDistinct("value") - 1).alias("conflicts"), F.count(F.lit(1)).alias("candidates"))
-    return best.join(counts, "item")
+    best = F.min_by(F.struct("value", "priority"), F.struct(-F.col("priority"), -F.col("confidence"), "ord")).alias("best")
+    grouped = candidates.groupBy("item").agg(best, (F.count_distinct("value") - 1).alias("conflicts"), F.count(F.lit(1)).alias("candidates"))
+    return grouped.select("item", F.col("best.value").alias("resolved"), "best.priority", "conflicts", "candidates")
 
 
 def lineitem_candidates(lineitem: DataFrame) -> DataFrame:
@@ -30,11 +29,13 @@ def lineitem_candidates(lineitem: DataFrame) -> DataFrame:
 
 
 def compare_relations(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """Full outer comparison: match, mismatch, left_only or right_only for each key."""
-    joined = left.select(key, F.col(value).alias("left_value")).join(right.select(key, F.col(value).alias("right_value")), key, "full_outer")
-    verdict = (
-        F.when(F.col("left_value").isNull(), "right_only").when(F.col("right_value").isNull(), "left_only").when(F.col("left_value") == F.col("right_value"), "match").otherwise("mismatch")
-    )
+    """Full outer comparison: match, mismatch, left_only or right_only for each key.
+
+    A row whose value is null is there: two nulls match, a null and a value don't. Keys that repeat are compared pair by pair;
+    a null key meets none.
+    """
+    joined = left.select(key, F.col(value).alias("left_value"), F.lit(True).alias("here")).join(right.select(key, F.col(value).alias("right_value"), F.lit(True).alias("there")), key, "full_outer")
+    verdict = F.when(F.col("here").isNull(), "right_only").when(F.col("there").isNull(), "left_only").when(F.col("left_value").eqNullSafe(F.col("right_value")), "match").otherwise("mismatch")
     return joined.select(key, verdict.alias("verdict"))
 
 

@@ -11,27 +11,15 @@ from ..functions.text import ENTITIES, clean_text, compact_key, plain_numbers, s
 from ..operators import pages, reports, resolve, state
 from ..sources.tables import read_table
 from ..streaming.health import hourly_counts
-
-_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-#: Sample spellings of numbers, for the number normaliser.
-NUMBERS = ["1,050.00", "1,050", "12,345", "1,234,567", "1,5", "0,25", "230,4", "1.050,00", "1.234.567,89", "1.05"]
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        _REGISTRY[name] = (f, sql)
-        return f
-
-    return add
-
+from . import product_queries, state_queries  # noqa: F401  (they register their queries)
+from .base import REGISTRY, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _REGISTRY.items()}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
 def _quoted(text: str) -> str:
@@ -39,29 +27,43 @@ def _quoted(text: str) -> str:
 
 
 def _clean(value: str) -> str:
+    """Entities by number, then by name, mojibake, white space."""
     out = f"coalesce({value}, '')"
-    for name, sign in ENTITIES.items():
-        out = f"replace({out}, {_quoted(name)}, {_quoted(sign)})"
-    return f"trim(regexp_replace({out}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+    for entity, digits in (("&#[xX][0-9a-fA-F]+;", "x0*([0-9a-fA-F]{1,6})"), ("&#[0-9]+;", "0*([0-9]{1,7})")):
+        number = f"regexp_extract(t, '^&#{digits.replace('x0', '[xX]0')};$', 1)"
+        point = f"CAST('0x' || {number} AS INTEGER)" if "x" in digits else f"CAST({number} AS INTEGER)"
+        char = f"CASE WHEN regexp_matches(t, '^{entity}$') AND {number} <> '' THEN CASE WHEN {point} <= 1114111 THEN chr({point}) ELSE t END ELSE t END"
+        out = f"array_to_string(list_transform(regexp_extract_all({out}, '{entity}|&|[^&]+'), lambda t: {char}), '')"
+    for name, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&apos;|&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&deg;", "°"), ("&sup2;", "²"), ("&micro;", "µ")):
+        out = f"regexp_replace({out}, '{name}', '{sign}', 'gi')"
+    for broken, sign in (("â€¦", "..."), ("â€“", "-"), ("â€”", "-"), ("Â°", "°"), ("Â²", "²")):
+        out = f"replace({out}, '{broken}', '{sign}')"
+    return f"trim(regexp_replace({out}, '[\\s\\x0B\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g'))"
 
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1)), '^www\\.', '')"
 _BARE = "regexp_replace(trim(coalesce(url, '')), '#.*$', '')"
 _PARAMS = (
-    f"array_to_string(list_sort(list_filter(string_split(regexp_extract({_BARE}, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches("
-    "lower(regexp_extract(p, '^[^=]*')), '^(utm_.*|fbclid|gclid|msclkid|_gl|cachebust|cachebuster|timestamp|ts|ref)$'))), '&')"
+    f"array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(regexp_extract({_BARE}, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches("
+    "lower(regexp_extract(p, '^[^=]*')), '^(utm_.*|fbclid|gclid|msclkid|_gl|cachebust|cachebuster|timestamp|ts)$')), lambda p, i: {'k': lower(regexp_extract(p, '^[^=]*')), 'i': i, 'p': p})), lambda x: x.p), '&')"
 )
 _URL_KEY = f"lower(regexp_extract({_BARE}, '^[^?]*') || CASE WHEN {_PARAMS} <> '' THEN '?' || {_PARAMS} ELSE '' END)"
-_LINKS = f"""
-titles AS (SELECT page_id, {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages),
-anchors AS (SELECT page_id, unnest(a) AS anchor, generate_subscripts(a, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS a FROM pages)),
-links AS (SELECT page_id, CAST(ord AS INTEGER) AS ord, regexp_extract(anchor, 'href="([^"]*)"', 1) AS href, {_clean("regexp_extract(anchor, '>([^<]*)<', 1)")} AS label FROM anchors),
-scores AS (SELECT page_id, ord, href, label, CAST(CASE WHEN label <> '' THEN 10 ELSE 0 END + CASE WHEN label <> '' AND contains(lower(title), lower(label)) THEN 35 ELSE 0 END
-  + least(length(href), 20) AS INTEGER) AS score FROM links JOIN titles USING (page_id))
+_LINKS = rf"""
+anchors AS (SELECT page_id, url, {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, unnest(a) AS anchor, generate_subscripts(a, 1) - 1 AS ord FROM (SELECT *, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS a FROM pages)),
+links AS (SELECT page_id, url, title, CAST(ord AS INTEGER) AS ord, regexp_extract(anchor, 'href="([^"]*)"', 1) AS href, {_clean("regexp_extract(anchor, '>([^<]*)<', 1)")} AS label FROM anchors),
+keyed AS (SELECT *, first_value(label) OVER (PARTITION BY page_id, url ORDER BY ord) AS catalogue_number, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')) || href AS target FROM links),
+tests AS (SELECT *, lower(target || ' ' || label) AS hay, lower(target) AS low, regexp_replace(lower(target || ' ' || label), '[^a-z0-9]', '', 'g') AS chay, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS clow,
+  lower(trim(catalogue_number)) AS n, regexp_replace(lower(catalogue_number), '[^a-z0-9]', '', 'g') AS c, list_transform(string_split(href, '/'), lambda s: regexp_replace(lower(s), '[^a-z0-9]', '', 'g')) AS parts FROM keyed),
+flags AS (SELECT *, n <> '' AND (contains(hay, n) OR length(c) >= 4 AND contains(chay, c)) AS named, n <> '' AND (contains(low, n) OR length(c) >= 4 AND contains(clow, c)) AS in_url, list_contains(parts, c) AS segment FROM tests),
+scores AS (SELECT page_id, ord, target AS url, label, CAST(CASE WHEN named THEN 55 ELSE 0 END + CASE WHEN in_url THEN 25 ELSE 0 END + CASE WHEN segment THEN 50 ELSE 0 END
+  + CASE WHEN regexp_matches(low, '\b(product|products|sku|catalog|detail|details|pdp|partnumber_info|skupage)\b|/p/|/item/') THEN 25 ELSE 0 END + CASE WHEN regexp_matches(lower(label), '\b(view|details?|product|catalog|part number|sku)\b') THEN 10 ELSE 0 END
+  - CASE WHEN regexp_matches(low, '[?&](q|query|search|s|term)=') THEN 15 ELSE 0 END - CASE WHEN regexp_matches(low, '\b(cart|login|account|support|contact|news|blog|privacy|terms|download|pdf|image|thumbnail)\b') THEN 35 ELSE 0 END
+  - CASE WHEN regexp_matches(low, '\.(pdf|zip|dwg|dxf|stp|step|png|jpe?g|webp)([?#]|$)') THEN 50 ELSE 0 END AS INTEGER) AS score, named OR segment AS confirmed FROM flags),
+judged AS (SELECT *, CASE WHEN NOT confirmed THEN 'no exact catalog identity' WHEN score < 35 THEN 'low score' ELSE 'candidate' END AS verdict FROM scores)
 """
 _TOP = """
-once AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, ord) AS n FROM scores),
-ranked AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS INTEGER) AS rank, href, label, score FROM once WHERE n = 1)
+once AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(url) ORDER BY score DESC, ord) AS n FROM judged WHERE verdict = 'candidate'),
+ranked AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(url), ord) AS INTEGER) AS rank, url, label, score FROM once WHERE n = 1)
 """
 
 
@@ -80,12 +82,12 @@ def _(spark, d):
     return pages.page_links(read_table(spark, d, "pages"))
 
 
-@query("link_scores", f"WITH {_LINKS} SELECT * FROM scores")
+@query("link_scores", f"WITH {_LINKS} SELECT page_id, ord, url, label, score, verdict FROM judged")
 def _(spark, d):
     return pages.link_scores(read_table(spark, d, "pages"))
 
 
-@query("best_links_per_page", f"WITH {_LINKS}, {_TOP} SELECT * FROM ranked WHERE rank <= 10")
+@query("best_links_per_page", f"WITH {_LINKS}, {_TOP} SELECT * FROM ranked WHERE rank <= 8")
 def _(spark, d):
     return pages.top_links(read_table(spark, d, "pages"))
 
@@ -101,9 +103,9 @@ def _(spark, d):
 
 @query(
     "source_lookup_two_tier",
-    f"""WITH k AS (SELECT page_id, {_URL_KEY} AS url_key, {_HOST} AS host FROM pages),
-    m AS (SELECT page_id, min(page_id) OVER (PARTITION BY url_key) AS u, min(page_id) OVER (PARTITION BY host) AS h FROM k)
-    SELECT page_id, CASE WHEN u < page_id THEN u ELSE h END AS source_page, CASE WHEN u < page_id THEN 'url' ELSE 'host' END AS tier FROM m""",
+    r"""WITH k AS (SELECT page_id, url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') AS o, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+    m AS (SELECT page_id, min(page_id) OVER (PARTITION BY url) AS u, min(page_id) OVER (PARTITION BY lower(o), CASE WHEN p = '' THEN '/' ELSE p END) AS h FROM k)
+    SELECT page_id, CASE WHEN u < page_id THEN u WHEN h < page_id THEN h END AS source_page, CASE WHEN u < page_id THEN 'url' WHEN h < page_id THEN 'origin_and_path' END AS tier FROM m""",
 )
 def _(spark, d):
     return pages.source_lookup(read_table(spark, d, "pages"))
@@ -133,12 +135,16 @@ def _(spark, d):
 
 @query(
     "number_separators",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{a}', '{b}')" for a, b in zip(NUMBERS, ["1050.00", "1050", "12345", "1234567", "1.5", "0.25", "230.4", "1050.00", "1234567.89", "1.05"]))
-    + ") AS t(spelled, number)",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '.5 kg' ELSE CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS VARCHAR) || ' kg' END AS number FROM lineitem WHERE l_linenumber % 4 <> 2 OR l_extendedprice >= 1000""",
 )
 def _(spark, d):
-    return spark.createDataFrame([(n,) for n in NUMBERS], "spelled string").select("spelled", plain_numbers(F.col("spelled")).alias("number"))
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    grouped = F.format_number(price, 2)
+    swapped = F.translate(grouped, ",.", ".,")
+    k = F.col("l_linenumber") % 4
+    text = F.when(k == 0, grouped).when(k == 1, price.cast("string")).when(k == 2, swapped).otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(",5")))
+    rows = read_table(spark, d, "lineitem").filter((k != 2) | (F.col("l_extendedprice") >= 1000))
+    return rows.select("l_orderkey", "l_linenumber", plain_numbers(F.concat(text, F.lit(" kg"))).alias("number"))
 
 
 _NUMBER = r"""CASE WHEN NOT regexp_matches(t, '^[0-9]') THEN t
@@ -153,15 +159,6 @@ def _(spark, d):
     return read_table(spark, d, "documents").select("doc_id", F.md5(plain_numbers(F.col("text"))).alias("plain"))
 
 
-@query(
-    "target_health",
-    """SELECT user_id AS host, event_type AS stage, count(*) AS samples, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(value), 4) AS avg_quality,
-    count(*) >= 8 AND (avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) < 0.45 OR avg(value) < 45) AS drift FROM events GROUP BY 1, 2""",
-)
-def _(spark, d):
-    return state.target_health(state.observations(read_table(spark, d, "events")))
-
-
 @query("latest_wins", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def _(spark, d):
     return state.latest_wins(read_table(spark, d, "events"))
@@ -181,15 +178,6 @@ def _(spark, d):
     return state.open_after_ttl(read_table(spark, d, "orders"), read_table(spark, d, "customer"), "1998-01-01")
 
 
-@query(
-    "circuit_breaker_streaks",
-    """WITH r AS (SELECT user_id, ts, event_id, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
-    SELECT user_id, min(event_id) AS first_event, count(*) AS failures FROM r WHERE failed GROUP BY user_id, run HAVING count(*) >= 2""",
-)
-def _(spark, d):
-    return state.failure_streaks(read_table(spark, d, "events"), least=2)
-
-
 @query(
     "run_recount",
     """SELECT o_orderpriority AS run, count(*) AS items, count(*) FILTER (o_orderstatus = 'F') AS found, count(*) FILTER (o_orderstatus = 'O') AS open_items,
@@ -212,8 +200,8 @@ def _(spark, d):
 
 @query(
     "full_outer_compare",
-    """WITH l AS (SELECT doc_id, quality AS v FROM labels), r AS (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS w FROM documents)
-    SELECT doc_id, CASE WHEN l.v IS NULL THEN 'right_only' WHEN r.w IS NULL THEN 'left_only' WHEN l.v = r.w THEN 'match' ELSE 'mismatch' END AS verdict FROM l FULL OUTER JOIN r USING (doc_id)""",
+    """WITH l AS (SELECT doc_id, quality AS v, 1 AS here FROM labels), r AS (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS w, 1 AS there FROM documents)
+    SELECT doc_id, CASE WHEN here IS NULL THEN 'right_only' WHEN there IS NULL THEN 'left_only' WHEN l.v IS NOT DISTINCT FROM r.w THEN 'match' ELSE 'mismatch' END AS verdict FROM l FULL OUTER JOIN r USING (doc_id)""",
 )
 def _(spark, d):
     long = read_table(spark, d, "documents").select("doc_id", (F.col("n_chars") > 500).cast("int").alias("quality"))

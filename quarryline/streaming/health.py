@@ -1,30 +1,49 @@
-"""Target health as a stream: the batch aggregation over events that arrive as files."""
+"""Streams: target health kept as running sums, and hourly counts with a watermark."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import observations, target_health
+from ..operators.state import health_of, health_sums, merge_sums, observations
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a stream's state must outlive its machine, so there is no other."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return where
 
 
 def health_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Runs the health aggregation over the Parquet files in ``folder`` until all are read; the last state.
+    """Adds the events in the Parquet files of ``folder`` to the health sums, until all are read; the health after them.
 
-    The state is one row for each host and stage. The query's checkpoint lies in the shared folder of
-    ``spark.checkpoint.dir``, or in a temporary one where that is unset.
+    Each micro-batch adds its sums to the state of the batch before and writes them under its own number, so a batch that runs
+    again writes the same. The state is one row for each host and stage; only the last two states are ever read. A second call
+    with the same ``name`` goes on where the first ended.
     """
+    place = f"{shared_folder(spark)}/{name}"
     schema = spark.read.parquet(folder).schema
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-stream-")
-    query = (
-        target_health(observations(events)).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", f"{place}/{name}").trigger(availableNow=True).start()
-    )
+    nothing = health_sums(observations(spark.createDataFrame([], schema)))
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        old = session.read.schema(nothing.schema).parquet(f"{place}/sums/{number - 1}") if number else nothing
+        merge_sums(old, health_sums(observations(batch))).write.mode("overwrite").parquet(f"{place}/sums/{number}")
+
+    query = events.writeStream.foreachBatch(add).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    last = query.lastProgress
+    state = spark.read.schema(nothing.schema).option("recursiveFileLookup", "false").parquet(f"{place}/sums/{last['batchId'] if last and last['numInputRows'] else _latest(spark, place)}")
+    return health_of(state)
+
+
+def _latest(spark: SparkSession, place: str) -> int:
+    """The number of the last state under ``place``, read from its files' paths."""
+    paths = spark.read.option("recursiveFileLookup", "true").parquet(f"{place}/sums").select(F.regexp_extract(F.input_file_name(), r"/sums/(\d+)/", 1).cast("int").alias("n"))
+    return paths.agg(F.max("n")).first()[0]
 
 
 def hourly_counts(events: DataFrame, lateness: str = "1 hour") -> DataFrame:

@@ -1,8 +1,8 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads the bytes of a word from both ends, labels every byte position, and a document's probabilities
-are the mean over all positions of its text. The state starts anew with each word, so a word that occurs again in
-a batch has the same labels and is computed once. Words longer than the window are read in windows.
+The network reads a text's bytes as one stream, from both ends, and labels every byte position; a document's probabilities are
+the mean over all of its positions. The stream is read in windows that overlap: the bytes before and after a window's own
+stretch are read with it, so that the state has context there, but their labels come from the windows whose own they are.
 """
 
 from __future__ import annotations
@@ -17,19 +17,25 @@ from pyspark.sql import functions as F
 
 from .common import remainder
 
-#: Bound on the labelled documents and on the words that the network is fitted on.
-SAMPLE_ROWS = 6_000
-SAMPLE_WORDS = 60_000
-WINDOW = 24
+#: Bound on the labelled documents that the network is fitted on; all their bytes are read, of a text of more than
+#: TRAINING_WINDOWS windows (192 KB) so many, spread evenly over it.
+SAMPLE_ROWS = 1_000
+TRAINING_WIDTH, TRAINING_WINDOWS = 96, 2_000
+#: Bytes of a window's own stretch, and of its context on either side.
+STRETCH, CONTEXT = 224, 24
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def windows(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "replace")
-    return [raw] if len(raw) <= WINDOW else [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
+def stream_windows(raw: bytes, stretch: int = STRETCH, context: int = CONTEXT) -> list[tuple[bytes, int, int]]:
+    """(bytes, where the own stretch begins in them, where it ends) of each window; own stretches cover the text without overlap."""
+    return [(raw[max(0, a - context) : a + stretch + context], min(a, context), min(a, context) + min(stretch, len(raw) - a)) for a in range(0, len(raw), stretch)]
+
+
+def training_windows(raw: bytes, width: int = TRAINING_WIDTH, most: int = TRAINING_WINDOWS) -> list[bytes]:
+    starts = range(0, len(raw), width)
+    return [raw[a : a + width] for a in starts[:: max(1, -(-len(starts) // most))]]
 
 
 def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,15 +72,24 @@ class ByteGru:
         """States (time x rows x h) of one direction; a row's state stands still outside its bytes."""
         table, matrix, h = self.inputs[way], self.recurrent[way], self.recurrent[way].shape[0]
         n, width = x.shape
-        state, states, kept = np.zeros((n, h), np.float32), np.zeros((width, n, h), np.float32), []
+        by_time = np.ascontiguousarray(x.T)
+        whole = (by_time > 0).all(axis=1)
+        state, states, kept = np.zeros((n, h), matrix.dtype), np.zeros((width, n, h), matrix.dtype), []
         for t in range(width) if way == 0 else reversed(range(width)):
-            now = x[:, t]
-            given, carried = table[now], state @ matrix
-            gates = _sigmoid(given[:, : 2 * h] + carried[:, : 2 * h])
+            given, carried = table[by_time[t]], state @ matrix
+            gates = given[:, : 2 * h] + carried[:, : 2 * h]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
             update, reset = gates[:, :h], gates[:, h:]
-            new = np.tanh(given[:, 2 * h :] + reset * carried[:, 2 * h :])
-            inside = (now > 0)[:, None]
-            after = np.where(inside, update * state + (1 - update) * new, state)
+            new = reset * carried[:, 2 * h :]
+            new += given[:, 2 * h :]
+            np.tanh(new, out=new)
+            after = new + update * (state - new)
+            inside = None if whole[t] else (by_time[t] > 0)[:, None]
+            if inside is not None:
+                after = np.where(inside, after, state)
             if keep:
                 kept.append((t, state, update, reset, new, carried[:, 2 * h :], inside))
             states[t] = state = after
@@ -87,7 +102,7 @@ class ByteGru:
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         return e / e.sum(axis=2, keepdims=True)
 
-    def train(self, parts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int = 512, rate: float = 0.012, seed: int = 11) -> None:
+    def train(self, parts: list[bytes], labels: np.ndarray, epochs: int = 2, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
         """Back-propagation through time with Adam; every position of a window has its document's label."""
         rng = np.random.default_rng(seed)
         weights = [*self.inputs, *self.recurrent, self.out, self.bias]
@@ -125,83 +140,84 @@ class ByteGru:
         for way, (_, kept) in enumerate(runs):
             matrix, d_state = self.recurrent[way], np.zeros((n, h), np.float32)
             d_table, d_matrix = np.zeros_like(self.inputs[way]), np.zeros_like(matrix)
+            read, flows = [], []
             for t, before, update, reset, new, carried, there in reversed(kept):
                 d_after = d_state + d_both[t][:, way * h : (way + 1) * h]
-                d_now = np.where(there, d_after, 0)
+                d_now = d_after if there is None else np.where(there, d_after, 0)
                 d_new = d_now * (1 - update) * (1 - new * new)
                 d_update = d_now * (before - new) * update * (1 - update)
                 d_reset = d_new * carried * reset * (1 - reset)
                 d_given = np.concatenate([d_update, d_reset, d_new], axis=1)
                 d_carried = np.concatenate([d_update, d_reset, d_new * reset], axis=1)
-                np.add.at(d_table, x[:, t], d_given)
+                read.append(x[:, t])
+                flows.append(d_given)
                 d_matrix += before.T @ d_carried
-                d_state = np.where(there, d_now * update, d_after) + d_carried @ matrix.T
+                d_state = (d_now * update if there is None else np.where(there, d_now * update, d_after)) + d_carried @ matrix.T
+            order = np.argsort(np.concatenate(read), kind="stable")
+            sorted_bytes, flow = np.concatenate(read)[order], np.concatenate(flows)[order]
+            first = np.flatnonzero(np.append(True, sorted_bytes[1:] != sorted_bytes[:-1]))
+            d_table[sorted_bytes[first]] = np.add.reduceat(flow, first)
             d_inputs.append(d_table)
             d_recurrent.append(d_matrix)
         return [*d_inputs, *d_recurrent, d_out, d_bias]
 
 
-def document_probabilities(model: ByteGru, texts: list[str | None], rows: int = 4096) -> tuple[list[str], np.ndarray]:
-    """Each text's language and the mean probability of that language over its byte positions.
+def document_probabilities(model: ByteGru, texts: list[str | None], rows: int = 512) -> tuple[list[str], np.ndarray]:
+    """Each text's language and the mean probability of that language over all its byte positions.
 
-    A null text, and one without a letter, is ``und`` with score 0. Ties go to the language that sorts first.
+    A null text, and one without a letter, is ``und`` with score 0. Ties go to the language that sorts first. The windows of
+    many texts are read together, ``rows`` at a time and those of like length side by side.
     """
-    number: dict[bytes, int] = {}
-    of_text, at = [], []
+    sums, sizes = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    held: list[tuple[int, bytes, int, int]] = []
+
+    def flush() -> None:
+        held.sort(key=lambda w: len(w[1]))
+        for a in range(0, len(held), rows):
+            owner, parts, begin, end = zip(*held[a : a + rows])
+            x, _ = padded(list(parts))
+            p = model.positions(x)
+            time = np.arange(x.shape[1])[:, None]
+            own = (time >= np.array(begin)) & (time < np.array(end))
+            np.add.at(sums, np.array(owner), np.einsum("tnl,tn->nl", p, own.astype(p.dtype)))
+        held.clear()
+
     for k, text in enumerate(texts):
         if text is None or not _LETTER.search(text):
             continue
-        for word in _WORD.findall(text):
-            for p in windows(word):
-                at.append(number.setdefault(p, len(number)))
-        of_text.append((k, len(at)))
-    sums = np.zeros((len(texts), len(model.languages)))
-    sizes = np.zeros(len(texts))
-    if number:
-        parts = list(number)
-        by_length = np.argsort(np.fromiter(map(len, parts), np.int64, len(parts)), kind="stable")
-        part_sum, part_size = np.zeros((len(parts), len(model.languages))), np.zeros(len(parts))
-        for a in range(0, len(parts), rows):  # windows of like length together
-            chosen = by_length[a : a + rows]
-            x, lengths = padded([parts[i] for i in chosen])
-            p = model.positions(x)
-            part_sum[chosen] = np.where((x.T > 0)[:, :, None], p, 0).sum(axis=0)
-            part_size[chosen] = lengths
-        at = np.array(at, np.int64)
-        begin = 0
-        for k, end in of_text:
-            sums[k], sizes[k] = part_sum[at[begin:end]].sum(axis=0), part_size[at[begin:end]].sum()
-            begin = end
+        raw = text.encode("utf-8", "replace")
+        sizes[k] = len(raw)
+        for w in stream_windows(raw):
+            held.append((k, *w))
+            if len(held) >= 16 * rows:
+                flush()
+    if held:
+        flush()
     mean = sums / np.maximum(sizes, 1)[:, None]
-    best = mean.argmax(axis=1)
+    best = mean.argmax(axis=1) if len(texts) else np.zeros(0, int)
     return [model.languages[b] if s else UNKNOWN for b, s in zip(best, sizes)], np.where(sizes > 0, mean[np.arange(len(texts)), best], 0.0)
 
 
-def fit_language_model(documents: DataFrame, train: Column, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS) -> ByteGru:
-    """Fits on windows of at most ``rows`` labelled documents, the same ones on every run, up to ``words`` windows.
+def fit_language_model(documents: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> ByteGru:
+    """Fits on the whole texts of at most ``rows`` labelled documents, the same ones on every run.
 
-    At most 40 windows of a document are drawn, evenly over its whole length. Without labelled rows the model has no
-    language to name, and everything is ``und``.
+    Without labelled rows the model has no language to name, and everything is ``und``.
     """
 
-    @F.pandas_udf("array<string>")
-    def draw(texts: pd.Series) -> pd.Series:
-        def of(text):
-            found = [w for w in _WORD.findall(text or "") if _LETTER.search(w)]
-            return found[:: max(1, -(-len(found) // 40))]
-
-        return texts.map(of)
+    @F.pandas_udf("array<binary>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: training_windows((t or "").encode("utf-8", "replace")))
 
     chosen = documents.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     ids = chosen.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
-    sample = chosen.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", draw("text").alias("words"))
+    sample = chosen.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", cut_up("text").alias("parts"))
     got = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows).collect()
     languages = sorted({r["lang"] for r in got})
     model = ByteGru.new(languages or [UNKNOWN])
-    pairs = [(p, languages.index(r["lang"])) for r in got for w in r["words"] for p in windows(w)]
-    pairs = pairs[:: max(1, -(-len(pairs) // words))]
+    pairs = [(bytes(p), languages.index(r["lang"])) for r in got for p in r["parts"] if p]
     if len(languages) > 1:
-        model.train([p for p, _ in pairs], np.array([y for _, y in pairs], np.int64))
+        # a small sample is read more often, so that the weights move about as far
+        model.train([p for p, _ in pairs], np.array([y for _, y in pairs], np.int64), epochs=max(2, min(20, 40_000 // len(pairs))))
     return model
 
 

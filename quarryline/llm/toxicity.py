@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from .boosting import BoostedTrees, Isotonic, sigmoid
 from .common import labelled_sample, remainder
 
-#: Bound on the labelled rows that the classifier is fitted on, and on the learned terms.
+#: Bound on the labelled rows that the classifier is fitted on; a learned term stands in four toxic ones of them or more.
 SAMPLE_ROWS = 20_000
-TERMS = 4_000
+#: Parts of the sample, by a hash of the id: part 0 calibrates, the others train, each with terms learned on the other two.
+PARTS = 8
 #: Insults, second-person words, letters that digits and signs stand for.
 INSULTS = frozenset("idiot idiots stupid moron dumb loser trash scum pathetic worthless disgusting clown ugly hate kill shut freak jerk fool garbage filth".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine sie ihr ihnen tu te toi ton ta vous votre vos ti tú usted ustedes vosotros vuestro su sus".split())
@@ -28,6 +29,10 @@ STANDS_FOR = str.maketrans("0134578@$!", "oieastbasi")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^\W+|\W+$")
 _MIXED = re.compile(r"[^\W\d_](?:[\d@$!*_.\-]+)[^\W\d_]")
+#: Signs around a word that hide nothing, and what hides a letter wherever it stands.
+_AROUND = ".,;:?!\"'()[]"
+_STAND_IN = re.compile(r"[\d@$!*_.\-]")
+_MASKED = frozenset(w[:k] + "*" * n + w[k + n :] for w in INSULTS for n in (1, 2) for k in range(len(w) - n + 1) if len(w) > n + 1)
 _NAMES = (
     "learned_words learned_stems learned_per_1000 strongest mean_strength fixed_words fixed_per_1000 hidden_words near_second_person "
     "second_person_rate capitals all_capitals exclamation question other_signs digits mixed_rate repeated_letters log_words mean_word"
@@ -40,8 +45,19 @@ def plain(word: str) -> str:
 
 
 def unhidden(word: str) -> str:
-    """What an obfuscated word stands for: ``1d10t``, ``i.d.i.o.t`` and ``id*ot``-like spellings lose digits and signs."""
-    return re.sub(r"[\W_]+", "", plain(word).translate(STANDS_FOR))
+    """What an obfuscated word stands for: ``1d10t``, ``@sshole`` and ``i.d.i.o.t`` become letters."""
+    return re.sub(r"[\W_]+", "", word.lower().strip(_AROUND).translate(STANDS_FOR))
+
+
+def is_hidden(word: str, lexicon: dict[str, float]) -> str | None:
+    """The listed term that a word with stand-ins spells, at any place of it; with stars for one or two letters, an insult only."""
+    core = word.lower().strip(_AROUND)
+    if not _STAND_IN.search(core):
+        return None
+    clear = unhidden(core)
+    if clear in INSULTS or clear in lexicon:
+        return clear
+    return core if core in _MASKED else None
 
 
 def stems(word: str) -> list[str]:
@@ -67,10 +83,9 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         if w in INSULTS:
             fixed += 1
             s = s or 1.0
-        elif s is None and not w.isalpha() and _MIXED.search(raw[k]):
-            mixed += 1
-            clear = unhidden(raw[k])
-            if clear in INSULTS or clear in lexicon:
+        elif s is None and not raw[k].isalpha():
+            mixed += _MIXED.search(raw[k]) is not None
+            if clear := is_hidden(raw[k], lexicon):
                 hidden += 1
                 s = lexicon.get(clear, 1.0)
         if s is not None:
@@ -96,10 +111,12 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
-    """Terms whose share of toxic documents is far above the sample's, with their log odds; at most ``terms``.
+def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
+    """Terms whose share of toxic documents is far above the sample's, with their log odds: one lexicon for each part.
 
-    Counted by Spark over the bounded sample: each document counts once for each of its terms.
+    That of part 0 is learned on all other parts, that of another on the two besides it and part 0, so no document's features
+    come from its own label. ``sample`` has text, label and part. Counted by Spark over the bounded sample: each
+    document counts once for each of its terms.
     """
 
     @F.pandas_udf("array<string>")
@@ -110,15 +127,22 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
 
         return texts.map(of)
 
-    base = sample.agg(F.sum("label").alias("ones"), F.count("label").alias("rows")).first()
-    ones, rows = base["ones"] or 0, base["rows"]
-    if not 0 < ones < rows:
-        return {}
-    counted = sample.select("label", F.explode(distinct_terms("text")).alias("term")).groupBy("term").agg(F.sum("label").alias("ones"), F.count("label").alias("rows"))
-    odds = F.log((F.col("ones") + 0.5) / (F.col("rows") - F.col("ones") + 0.5)) - float(np.log(ones / (rows - ones)))
-    spread = F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("rows") - F.col("ones") + 0.5))
-    strong = counted.filter("ones >= 4").select("term", odds.alias("odds"), (odds / spread).alias("z")).filter("odds > 2 and z > 3.5")
-    return {r["term"]: r["odds"] for r in strong.orderBy(F.desc("z"), "term").limit(terms).collect()}
+    learned = [[q for q in range(1, PARTS) if q != part] for part in range(PARTS)]
+    sums = [c for q in range(1, PARTS) for c in (F.sum(F.when(F.col("part") == q, F.col("label"))).alias(f"ones{q}"), F.count(F.when(F.col("part") == q, 1)).alias(f"rows{q}"))]
+    base = sample.agg(*sums).first()
+    counted = sample.filter("part > 0").select("label", "part", F.explode(distinct_terms("text")).alias("term")).groupBy("term").agg(*sums)
+    odds = []
+    for k, parts in enumerate(learned):
+        total, rows = (sum(base[f"{c}{q}"] or 0 for q in parts) for c in ("ones", "rows"))
+        if not 0 < total < rows:
+            odds.append(F.lit(None).cast("double").alias(f"odds{k}"))
+            continue
+        ones, n = (sum((F.coalesce(F.col(f"{c}{q}"), F.lit(0)) for q in parts), F.lit(0)) for c in ("ones", "rows"))
+        odd = F.log((ones + 0.5) / (n - ones + 0.5)) - float(np.log(total / (rows - total)))
+        spread = F.sqrt(1 / (ones + 0.5) + 1 / (n - ones + 0.5))
+        odds.append(F.when((ones >= 4) & (odd > 2) & (odd / spread > 3.5), odd).alias(f"odds{k}"))
+    strong = counted.select("term", *odds).filter(F.coalesce(*[f"odds{k}" for k in range(PARTS)]).isNotNull()).collect()
+    return [{r["term"]: r[f"odds{k}"] for r in strong if r[f"odds{k}"] is not None} for k in range(PARTS)]
 
 
 @dataclass
@@ -135,24 +159,26 @@ class ToxicityModel:
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fits on at most ``rows`` labelled documents; a quarter of them, chosen by hash, calibrates.
+    """Fits on at most ``rows`` labelled documents; a quarter of them, chosen by hash, calibrates and is seen by nothing else.
 
+    The trees learn from features whose lexicon comes from other documents, as it does for a text that is scored.
     Without labels of both kinds, every text scores the smoothed share of ones.
     """
-    sample = labelled_sample(documents, labels, "toxic", train, rows).persist()
-    lexicon = learn_lexicon(sample)
-    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")
+    sample = labelled_sample(documents, labels, "toxic", train, rows).select("doc_id", "text", "label", part).persist()
+    lexicons = learn_lexicons(sample)
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
 
     @F.pandas_udf("array<double>")
-    def vector(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t, shared.value))
+    def vector(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([features(t, shared.value[p]) for t, p in zip(texts, parts)], dtype=object)
 
-    got = sample.select("doc_id", "label", vector("text").alias("x")).toPandas().sort_values("doc_id")  # at most `rows` short vectors
+    got = sample.select("doc_id", "label", "part", vector("text", "part").alias("x")).toPandas().sort_values("doc_id")  # at most `rows` short vectors
     sample.unpersist()
     x, y = np.array(got["x"].tolist(), float).reshape(-1, len(_NAMES)), got["label"].to_numpy(float)
-    aside = (pd.util.hash_array(got["doc_id"].to_numpy()) % 4 == 0) if len(got) else np.zeros(0, bool)
+    aside = got["part"].to_numpy() == 0
     trees = BoostedTrees.fit(x[~aside], y[~aside])
-    return ToxicityModel(lexicon, trees, Isotonic.fit(trees.margin(x[aside]), y[aside]) if aside.any() else Isotonic(np.array([-5.0, 5.0]), sigmoid(np.array([-5.0, 5.0]))))
+    return ToxicityModel(lexicons[0], trees, Isotonic.fit(trees.margin(x[aside]), y[aside]) if aside.any() else Isotonic(np.array([-5.0, 5.0]), sigmoid(np.array([-5.0, 5.0]))))
 
 
 def toxicity_score(model: ToxicityModel, documents: DataFrame):

@@ -27,7 +27,7 @@ THRESHOLD = 0.8
 #: 32 bands of 5 coordinates: a pair at 0.8 is missed with a chance of 3e-6, and one at 0.9 with 1e-12.
 BANDS, BAND_ROWS = 32, 5
 #: Words and darts handled at once inside a task; a dart takes about 100 bytes while it is thrown.
-CHUNK_UNITS = 250_000
+CHUNK_UNITS = 150_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64

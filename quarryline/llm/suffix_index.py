@@ -41,7 +41,8 @@ BATCH_WINDOWS = 1 << 16
 #: Distinct windows (100 bytes each) that a task's index holds in memory; what is over goes to its temporary folder.
 MEMORY_WINDOWS = 1_000_000
 SENT_BLOCKS = 200_000
-NO_ID = -(1 << 63)
+#: Rows without a doc_id get one below this, from the hash of their text: they come first, and spread over all tasks.
+NO_ID = -(1 << 61)
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -227,12 +228,13 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, carried: bool =
     """The texts (_id, text, _n) and for each _id the list of (n, a, b): byte ranges covered by earlier windows.
 
     With ``carried`` the other columns go along, the k-th of ``documents`` as ``_ck``; all steps read all columns, so
-    that they share one exchange. ``_id`` is the doc_id (a null one comes before all) and ``_n`` numbers the rows of one doc_id in order of text.
+    that they share one exchange. ``_id`` is the doc_id and ``_n`` numbers the rows of one doc_id in order of text. Rows without a
+    doc_id come before all, in the order of their texts' hashes; a doc_id below -2**61 isn't allowed.
     """
     gram, block = (GRAM, BLOCK) if length >= 2 * GRAM else (max(1, length // 2), max(1, length // 4))
     n = shuffle_partitions(documents.sparkSession)
     others = [(F.col("text").isNull() if c == "text" else F.col(c)).alias(f"_c{k}") for k, c in enumerate(documents.columns)] if carried else []
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"), *others)
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2 * NO_ID) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(-NO_ID))).alias("_id"), F.coalesce("text", F.lit("")).alias("text"), *others)
     texts = keyed.repartition(n, "_id").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("text")).cast("long"))
     # kind 0: to be compared; 1: a repeat; 2: to be indexed; 3: as 2, and tells others that the hash occurs with other bytes
     grams_schema = "kind int, hash long, full long, _id long, _n long, start long, shape long"
@@ -430,7 +432,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                     digest.update(raw[at:a])
                     at = b
                 digest.update(raw[at:])
-                out.append((None if _id == NO_ID else _id, len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
+                out.append((None if _id < NO_ID else _id, len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
             kinds = (pa.int64(),) * 4 + (pa.string(),)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -446,7 +448,6 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     texts, covered = repeated_ranges(documents, length, carried=True)
 
-    @F.pandas_udf("string")
     def cut_out(texts, ns, ranges):
         import pandas as pd
 
@@ -466,6 +467,8 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(None if spans and not left.strip() else left)
         return pd.Series(out, dtype=object)
 
+    # not deterministic in name only: or else the filter on its result would have it computed twice
+    cut_out = F.pandas_udf(cut_out, "string").asNondeterministic()
     joined = texts.join(covered, "_id", "left")
     new = joined.withColumn("_new", F.when(F.col("ranges").isNull(), F.col("text")).otherwise(cut_out("text", "_n", "ranges"))).filter("_new is not null")
     same = F.col("_new") == F.col("text")

@@ -92,7 +92,9 @@ def with_next(documents: DataFrame) -> DataFrame:
     shares = [i / n for i in range(1, n)]
     cuts = documents.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 10_000)).first()[0] if shares else []
     bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    bucket = F.aggregate(bounds, F.lit(0), lambda k, b: k + F.coalesce(b < F.col("doc_id"), F.lit(False)).cast("int"))
+    # the number of bounds below the id, by halving steps: as many as the number of ranges has binary digits
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, n.bit_length())))])
+    bucket = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.coalesce(F.get(bounds, k + s - 1) < F.col("doc_id"), F.lit(False)), k + s).otherwise(k))
     order = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     dealt = (
         rows.withColumn("_bucket", bucket)

@@ -78,6 +78,6 @@ def judge_urls(pages: DataFrame, entries: DataFrame, otherwise: str = "allow") -
         hit = hit.filter(F.col(f"w{i}").bitwiseAND(mask) != 0)
     exact = hit.select("host", "path", "key").join(F.broadcast(listed) if small_list else listed, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("size"), F.col("key").alias("rule"), "verdict")).alias("best"))
-    return split.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict")
-    )
+    # rows without a host fit no rule: they share one key, so they go around the join
+    joined = split.filter("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    return joined.union(split.filter("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict")))

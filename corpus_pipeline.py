@@ -22,8 +22,8 @@ from quarryline.llm.toxicity import fit_toxicity, toxicity_score
 
 
 #: Texts of an Arrow batch where whole rows wait beside it for a score. Spark's default of 10,000 keeps that many texts several
-#: times (rows, Arrow, Python) for each task; the passage stage finds repeats within a batch and keeps the default.
-SCORED_ROWS, PASSAGE_ROWS = 1000, 10_000
+#: times (rows, Arrow, Python) for each task; the passage stage finds repeats within a batch first, so it takes larger ones.
+SCORED_ROWS, PASSAGE_ROWS = 1000, 2500
 
 
 def _batches_of(spark: SparkSession, rows: int) -> None:

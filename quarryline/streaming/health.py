@@ -9,21 +9,21 @@ from ..operators.state import health_of, health_sums, merge_sums, observations
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a stream's state must outlive its machine, so there is no other."""
+    """The folder in ``spark.checkpoint.dir``; a stream's state must outlive its machine, so there is no other by default."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        raise ValueError("name a folder that all machines share, or set spark.checkpoint.dir to one")
     return where
 
 
-def health_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def health_stream(spark: SparkSession, folder: str, name: str, shared: str | None = None) -> DataFrame:
     """Adds the events in the Parquet files of ``folder`` to the health sums, until all are read; the health after them.
 
     Each micro-batch adds its sums to the state of the batch before and writes them under its own number, so a batch that runs
     again writes the same. The state is one row for each host and stage; only the last two states are ever read. A second call
     with the same ``name`` goes on where the first ended.
     """
-    place = f"{shared_folder(spark)}/{name}"
+    place = f"{shared or shared_folder(spark)}/{name}"
     schema = spark.read.parquet(folder).schema
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     nothing = health_sums(observations(spark.createDataFrame([], schema)))

@@ -10,18 +10,13 @@ def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     folder = str(tmp_path / "events")
     events.filter("event_id % 2 = 0").repartition(3).write.parquet(folder)
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.unset("spark.checkpoint.dir")
-    with pytest.raises(ValueError):
-        health_stream(spark, folder, "health_test")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        for batch in (events.filter("event_id % 2 = 0"), events):  # the second call adds the files that have come since
-            streamed = health_stream(spark, folder, "health_test")
-            assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, target_health(observations(batch)).collect()))
-            events.filter("event_id % 2 = 1").repartition(2).write.mode("append").parquet(folder)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError):
+            health_stream(spark, folder, "health_test")
+    for batch in (events.filter("event_id % 2 = 0"), events):  # the second call adds the files that have come since
+        streamed = health_stream(spark, folder, "health_test", str(tmp_path / "shared"))
+        assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, target_health(observations(batch)).collect()))
+        events.filter("event_id % 2 = 1").repartition(2).write.mode("append").parquet(folder)
 
 
 def test_hourly_counts_cover_all(spark):

@@ -345,7 +345,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, carried: bool =
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "_id", "_n", "start", "windows", "content"])
 
-    blocks = texts.join(listed, "_id").mapInArrow(cut_blocks, blocks_schema)
+    # a merge join keeps the order of ids, by which a task tells the first of equal blocks; other joins don't
+    blocks = texts.join(listed.hint("merge"), "_id").mapInArrow(cut_blocks, blocks_schema)
     ranges_schema = "_id long, _n long, a long, b long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,13 +52,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others. Of rows with equal doc_id and text, the smallest in its columns stays.
     """
     _batches_of(spark, SCORED_ROWS)
-    digest = text_digest().alias("digest")
-    placed = docs.select(F.col("doc_id"), digest).join(near_classes(docs), "digest")
+    placed = docs.select("doc_id", text_digest().alias("digest")).join(near_classes(docs), "digest")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     best = placed.groupBy("class").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
-    rows = docs.select("*", digest)
-    kept = rows.join(best, (rows["digest"] == best["best_digest"]) & rows["doc_id"].eqNullSafe(best["best_id"]))
-    return kept.groupBy("best_digest", "best_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    # whole rows travel as one column, so that names of further columns can't clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), text_digest().alias("row_digest"))
+    kept = rows.join(best, (F.col("row_digest") == F.col("best_digest")) & F.col("row_id").eqNullSafe(F.col("best_id")))
+    return kept.groupBy("best_digest", "best_id").agg(F.min("row").alias("row")).select("row.*")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

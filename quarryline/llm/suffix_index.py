@@ -234,7 +234,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, carried: bool =
     gram, block = (GRAM, BLOCK) if length >= 2 * GRAM else (max(1, length // 2), max(1, length // 4))
     n = shuffle_partitions(documents.sparkSession)
     others = [(F.col("text").isNull() if c == "text" else F.col(c)).alias(f"_c{k}") for k, c in enumerate(documents.columns)] if carried else []
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2 * NO_ID) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(-NO_ID))).alias("_id"), F.coalesce("text", F.lit("")).alias("text"), *others)
+    # never null, also for the planner: a test for null before one of its uses would keep them from sharing the exchange
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2 * NO_ID) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(-NO_ID)), F.lit(2 * NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"), *others)
     texts = keyed.repartition(n, "_id").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("text")).cast("long"))
     # kind 0: to be compared; 1: a repeat; 2: to be indexed; 3: as 2, and tells others that the hash occurs with other bytes
     grams_schema = "kind int, hash long, full long, _id long, _n long, start long, shape long"

@@ -91,13 +91,17 @@ def with_next(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [i / n for i in range(1, n)]
     cuts = documents.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 10_000)).first()[0] if shares else []
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    # the number of bounds below the id, by halving steps: as many as the number of ranges has binary digits
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, n.bit_length())))])
-    bucket = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.coalesce(F.get(bounds, k + s - 1) < F.col("doc_id"), F.lit(False)), k + s).otherwise(k))
+    below = lambda k, b: k + F.coalesce(b < F.col("doc_id"), F.lit(False)).cast("int")
+    listed = sorted(set(cuts or []))
+    step = max(1, int(len(listed) ** 0.5))
+    # the number of bounds below the id: every ``step``-th is looked at first, then those of one stretch, so about 2 sqrt(n) for n ranges
+    coarse = F.array(*[F.lit(c).cast("long") for c in listed[step - 1 :: step]]).cast("array<bigint>")
+    bounds = F.array(*[F.lit(c).cast("long") for c in listed]).cast("array<bigint>")
+    rows = rows.withColumn("_stretch", F.aggregate(coarse, F.lit(0), below) * step)
+    bucket = F.col("_stretch") + F.aggregate(F.slice(bounds, F.col("_stretch") + 1, step), F.lit(0), below)
     order = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     dealt = (
-        rows.withColumn("_bucket", bucket)
+        rows.withColumn("_bucket", bucket).drop("_stretch")
         .withColumn("_row", F.row_number().over(order))
         .withColumn("_lead", F.lead("text").over(order))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, plain_numbers
+from .text import SPACE, let, plain_numbers
 
 #: Unit spellings (lower case, without spaces), the unit that they mean and its kind.
 KINDS = {
@@ -94,23 +94,33 @@ def parse_quantities(text: Column, kind: str | None = None) -> Column:
     The qualifier is alternatives, range, max, min, nominal (with a tolerance) or point. Degrees Fahrenheit are converted.
     With ``kind``, only quantities of that kind.
     """
-    normalized = normalize_for_parsing(text)
-    condition = conditions_of(normalized)
-    marked = F.regexp_replace(without_conditions(normalized), rf"({_PLUS_MINUS})({_EXPRESSION}\s*)%(?![a-zA-Zµ])", f"$1$2{_MARK}")
-    found = [F.regexp_extract_all(marked, F.lit(_QUANTITY.replace("(?iu)", "(?iu)(") + ")"), F.lit(k)) for k in (1, 2, 3, 4)]
-    between = F.split(marked, _QUANTITY, -1)
-    after = F.slice(between, 2, F.size(between))
-    zipped = F.arrays_zip(*[c.alias(n) for c, n in zip((*found, after), ("raw", "token", "number", "unit", "after"))])
+    def of(normalized: Column) -> Column:
+        return let(F.struct(_marked(normalized).alias("marked"), conditions_of(normalized).alias("condition")), lambda x: _found(x["marked"], x["condition"]))
+
+    quantities = F.when(F.coalesce(text, F.lit("")).rlike(r"\d"), let(normalize_for_parsing(text), of)).otherwise(F.array().cast(f"array<{_TYPE}>"))
+    return quantities if kind is None else F.filter(quantities, lambda q: q["kind"] == kind)
+
+
+def _marked(normalized: Column) -> Column:
+    """The text without conditions, and with the percent signs of tolerances marked."""
+    return F.regexp_replace(without_conditions(normalized), rf"({_PLUS_MINUS})({_EXPRESSION}\s*)%(?![a-zA-Zµ])", f"$1$2{_MARK}")
+
+
+def _found(marked: Column, condition: Column) -> Column:
+    """The quantities of a marked text: each match with what lies between it and the next; its parts are read from the match alone."""
+    raws, between = F.regexp_extract_all(marked, F.lit(_QUANTITY.replace("(?iu)", "(?iu)(") + ")"), F.lit(1)), F.split(marked, _QUANTITY, -1)
+    pairs = F.transform(raws, lambda raw, i: F.struct(raw.alias("raw"), F.substring(F.get(between, i + 1), 1, 28).alias("window")))
+    whole = _QUANTITY.replace("(?![a-zµ])", "$")
     table = _unit_table()
 
     def first(m: Column) -> Column:
-        spelling = F.lower(F.regexp_replace(m["unit"], r"\s+", ""))
-        window = F.substring(m["after"], 1, 28)
-        token = F.lower(F.trim(F.regexp_replace(F.coalesce(m["token"], F.lit("")), r"\s+", " ")))
+        spelling = F.lower(F.regexp_replace(F.regexp_extract(m["raw"], whole, 3), r"\s+", ""))
+        window = m["window"]
+        token = F.lower(F.trim(F.regexp_replace(F.regexp_extract(m["raw"], whole, 1), r"\s+", " ")))
         percent, absolute = (F.regexp_extract(window, _PLUS_MINUS + r"(\d+(?:\.\d+)?)" + tail, 1) for tail in (rf"\s*[%{_MARK}]", ""))
         tolerance = F.when(percent != "", F.struct(F.lit("percent").alias("type"), percent.cast("double").alias("value"))).when(absolute != "", F.struct(F.lit("absolute").alias("type"), absolute.cast("double").alias("value")))
         return F.struct(
-            F.trim(m["raw"]).alias("raw"), spelling.alias("spelling"), table[spelling].alias("info"), _numbers(F.trim(m["number"])).alias("n"), window.alias("window"), tolerance.alias("tolerance"),
+            F.trim(m["raw"]).alias("raw"), spelling.alias("spelling"), table[spelling].alias("info"), _numbers(F.trim(F.regexp_extract(m["raw"], whole, 2))).alias("n"), window.alias("window"), tolerance.alias("tolerance"),
             F.when(token.rlike(r"^(≤|<=|<|max\.?|maximum|up to)$"), "max").when(token.rlike(r"^(≥|>=|>|min\.?|minimum)$"), "min").alias("bound"),
         )
 
@@ -133,9 +143,7 @@ def parse_quantities(text: Column, kind: str | None = None) -> Column:
             condition.alias("condition"), q["raw"].alias("raw"),
         ).cast(_TYPE)
 
-    quantities = F.transform(F.transform(F.filter(F.transform(zipped, first), lambda q: q["info"].isNotNull()), converted), last)
-    quantities = F.when(F.coalesce(text, F.lit("")).rlike(r"\d"), quantities).otherwise(F.array().cast(f"array<{_TYPE}>"))
-    return quantities if kind is None else F.filter(quantities, lambda q: q["kind"] == kind)
+    return F.transform(F.transform(F.filter(F.transform(pairs, first), lambda q: q["info"].isNotNull()), converted), last)
 
 
 def quantity_max(q: Column) -> Column:
@@ -170,7 +178,10 @@ def temperature_range(text: Column) -> Column:
     Clauses on operation come first, those on storage never count. A bare temperature beside a current, voltage, power or
     frequency without a word for temperature is a condition of that reading and doesn't count either.
     """
-    cleaned = without_conditions(normalize_for_parsing(text))
+    return let(without_conditions(normalize_for_parsing(text)), _operating)
+
+
+def _operating(cleaned: Column) -> Column:
     clauses = F.filter(F.transform(F.split(cleaned, r"[;\n]+|,(?=\s*[A-Za-zÄÖÜäöüß])"), lambda c: F.trim(c)), lambda c: c != "")
     open_ones = F.filter(clauses, lambda c: ~c.rlike(_STORAGE))
     ordered = F.array_distinct(F.concat(F.filter(open_ones, lambda c: c.rlike(_OPERATING)), open_ones))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&apos;|&#39;", "
 MOJIBAKE = [("â€¦", "..."), ("â€“|â€”", "-"), ("Â°", "°"), ("Â²", "²")]
 
 
+def let(value: Column, read: Callable[[Column], Column]) -> Column:
+    """``read`` of a value that is computed once, however often ``read`` uses it: array functions don't share common parts by themselves."""
+    return F.get(F.transform(F.array(value), read), F.lit(0))
+
+
 def _code_points(value: Column, pattern: str, digits: str, base: int) -> Column:
     """Numeric entities of one base as characters; one beyond Unicode stays as it is, a surrogate becomes the replacement character."""
     tokens = F.regexp_extract_all(value, F.lit(f"(?i)({pattern}|&|[^&]+)"), F.lit(1))

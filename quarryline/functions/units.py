@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .quantities import normalize_for_parsing
+from .text import let
 
 #: Units of each family with their size in the family's base unit.
 FAMILIES = {
@@ -39,7 +40,11 @@ def _prepared(text: Column) -> Column:
 
 def tagged_numbers(text: Column) -> Column:
     """Every number that carries a known unit: structs (value, unit) in the order of the passes."""
-    prepared, parts = _prepared(text), []
+    return let(_prepared(text), _tagged)
+
+
+def _tagged(prepared: Column) -> Column:
+    parts = []
     table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     for pattern, end in (*((p, r"\b") for p in TAGGED), ('"', "")):
         read = rf"(?i)({_NUMBER})\s*({pattern}){end}"
@@ -64,13 +69,15 @@ def max_in_unit(text: Column, target: str) -> Column:
     unit = SPELLINGS.get(target.replace(" ", "").lower())
     if unit is None:
         return F.lit(None).cast("double")
-    tagged = tagged_numbers(text)
-    own = F.filter(tagged, lambda x: x["unit"].isin(*FAMILIES[FAMILY_OF[unit]]))
-    best = F.array_max(F.transform(own, lambda x: convert(x["value"], x["unit"], unit)))
-    prepared = _prepared(text)
-    a, b = (F.regexp_extract(prepared, _RANGE, k).try_cast("double") for k in (1, 2))
-    bare = F.when(prepared.rlike(_RANGE), F.greatest(a, b)).otherwise(F.regexp_extract(prepared, f"({_NUMBER})", 1).try_cast("double"))
-    return F.round(F.when(F.size(own) > 0, best).when(F.size(tagged) == 0, bare), 6)
+    def best_of(x: Column) -> Column:
+        prepared, tagged = x["prepared"], x["tagged"]
+        own = F.filter(tagged, lambda t: t["unit"].isin(*FAMILIES[FAMILY_OF[unit]]))
+        best = F.array_max(F.transform(own, lambda t: convert(t["value"], t["unit"], unit)))
+        a, b = (F.regexp_extract(prepared, _RANGE, k).try_cast("double") for k in (1, 2))
+        bare = F.when(prepared.rlike(_RANGE), F.greatest(a, b)).otherwise(F.regexp_extract(prepared, f"({_NUMBER})", 1).try_cast("double"))
+        return F.round(F.when(F.size(own) > 0, best).when(F.size(tagged) == 0, bare), 6)
+
+    return let(_prepared(text), lambda p: let(F.struct(p.alias("prepared"), _tagged(p).alias("tagged")), best_of))
 
 
 def split_temperatures(text: Column) -> Column:

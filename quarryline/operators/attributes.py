@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.quantities import is_plausible, parse_quantities
-from ..functions.text import clean_text
+from ..functions.text import clean_text, let
 from ..functions.urls import canonical_url_key
 
 #: Fields, their labels, what an attribute's label must match, and the kinds of quantity that a numeric one needs.
@@ -137,8 +137,10 @@ def field_candidates(attributes: DataFrame) -> DataFrame:
     """
     rows = _whole(attributes).filter((F.lower(F.trim(_text("group"))) != "page evidence") & (clean_text(F.col("value")) != ""))
     label = clean_text(F.concat(_text("group"), F.lit(" "), _text("name")))
-    rows = rows.withColumns({"hits": _field_matches(label), "quantities": parse_quantities(F.col("value"))}).withColumn("hit", F.explode("hits"))
-    numeric = F.exists("quantities", lambda q: F.array_contains(F.col("hit.kinds"), q["kind"]) & is_plausible(q))
+    rows = rows.withColumn("hits", let(label, _field_matches)).filter(F.size("hits") > 0)
+    asked = F.exists("hits", lambda h: F.size(h["kinds"]) > 0)
+    rows = rows.withColumn("quantities", F.when(asked, parse_quantities(F.col("value")))).withColumn("hit", F.explode("hits"))
+    numeric = F.coalesce(F.exists("quantities", lambda q: F.array_contains(F.col("hit.kinds"), q["kind"]) & is_plausible(q)), F.lit(False))
     priority, reason = _ladder(CANDIDATE_LADDER, True)
     made = rows.filter((F.size("hit.kinds") == 0) | numeric).select(
         "item", F.col("hit.field").alias("field"), F.col("hit.label").alias("label"), clean_text(F.col("value")).alias("value"), "source_url", "source_type", "parser", "stage", "confidence",

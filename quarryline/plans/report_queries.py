@@ -131,7 +131,7 @@ def _(spark, d):
 
 @query(
     "weights_and_dimensions",
-    """SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN p_size / 1000.0 WHEN 1 THEN p_size * 0.45359237 ELSE p_size * 0.028349523125 END, 9) AS kilograms, p_size * CASE WHEN p_partkey % 2 = 0 THEN 10.0 ELSE 25.4 END AS height, (p_size + 1) * CASE WHEN p_partkey % 2 = 0 THEN 10.0 ELSE 25.4 END AS width,
+    """SELECT p_partkey, p_size * CAST(CASE p_partkey % 3 WHEN 0 THEN 0.001 WHEN 1 THEN 0.45359237 ELSE 0.028349523125 END AS DOUBLE) AS kilograms, p_size * CASE WHEN p_partkey % 2 = 0 THEN 10.0 ELSE 25.4 END AS height, (p_size + 1) * CASE WHEN p_partkey % 2 = 0 THEN 10.0 ELSE 25.4 END AS width,
     CASE WHEN p_partkey % 2 = 0 THEN (p_size + 2) * 10.0 END AS depth, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' x ' || (p_size + 1) || ' x ' || (p_size + 2) || ' cm (' || p_size * 10 || ' x ' || (p_size + 1) * 10 || ' x ' || (p_size + 2) * 10 || ' mm)' END AS shown FROM part""",
 )
 def _(spark, d):
@@ -140,7 +140,7 @@ def _(spark, d):
     weight = F.concat(s[0], F.element_at(F.array(F.lit(" g"), F.lit(" lbs"), F.lit(" oz")), (key % 3 + 1).cast("int")))
     size = F.when(key % 2 == 0, F.concat(s[0], F.lit(" x "), s[1], F.lit(" x "), s[2], F.lit(" cm"))).otherwise(F.concat(F.lit("H "), s[0], F.lit(" in W "), s[1], F.lit(" in")))
     parts = normalize.dimension_parts(size)
-    return read_table(spark, d, "part").select("p_partkey", F.round(normalize.weight_kilograms(weight), 9).alias("kilograms"), parts["height"].alias("height"), parts["width"].alias("width"), parts["depth"].alias("depth"), normalize.dimension_text(size).alias("shown"))
+    return read_table(spark, d, "part").select("p_partkey", normalize.weight_kilograms(weight).alias("kilograms"), parts["height"].alias("height"), parts["width"].alias("width"), parts["depth"].alias("depth"), normalize.dimension_text(size).alias("shown"))
 
 
 _RULES = [("text", r"\bring\b", "Ring", 1000), ("text", r"\bwidget\b", "Widget", 1200), ("text", r"\bsmall\b", "Small part", 700), ("family", "^Brand#1", "Ring", 1400), ("url", "/eco", "Widget", 1300), ("eclass", "^27", "Small part", 1450)]

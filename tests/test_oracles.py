@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,9 +21,20 @@ def duck():
     return con
 
 
+def written(value) -> str:
+    """A value as text, whichever of the two libraries' types it has."""
+    if isinstance(value, (list, tuple, np.ndarray)):
+        return str([written(v) for v in value])
+    if pd.isna(value):
+        return "null"
+    if isinstance(value, (bool, np.bool_)) or not isinstance(value, (int, float, np.number)):
+        return str(value)
+    return f"{float(value):.12g}"
+
+
 def rows(frame: pd.DataFrame) -> list:
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple(map(written, r)) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

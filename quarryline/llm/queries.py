@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import conversation_digests, format_conversations
 from .common import table
 from .dart_minhash import near_duplicates
 from .langid_gru import identify_languages
+from .lloyd import cluster_vectors
 from .packing import pack_documents
 from .quality_gam import score_quality
 from .simhash import fingerprint_documents
+from .spelling import group_spellings
 from .suffix_index import remove_repeats
 from .toxicity import score_toxicity
 from .unigram import encode_documents
@@ -74,10 +77,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(format_conversations(given.unionByName(extra)))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_toxicity, op3_sentencepiece, op4_url_filter, op5_quality_rules,
         op6_quality_classifier, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_document_fingerprints, op10_language_id,
+        op11_chat_formatting, op12_centroid_clustering, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 

@@ -184,10 +184,9 @@ def parse(template: str) -> Node:
         text = template[at : tag.start()]
         text = text.lstrip() if strip else text
         whole = tag.group()
-        control = not whole.startswith("{#")
-        pieces.append(("text", text.rstrip() if control and whole[2] == "-" else text))
-        strip, at = control and whole[-3] == "-", tag.end()
-        if control:
+        pieces.append(("text", text.rstrip() if whole[2] == "-" else text))
+        strip, at = whole[-3] == "-", tag.end()
+        if not whole.startswith("{#"):
             pieces.append(("show", tag[1]) if tag[1] is not None else ("do", tag[2].strip()))
     pieces.append(("text", template[at:].lstrip() if strip else template[at:]))
     place = 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat_format import conversation_digests, format_conversations
+from .chat_format import CONTROLS, conversation_digests, format_conversations
 from .common import table
 from .dart_minhash import near_duplicates
 from .langid_gru import identify_languages
@@ -121,5 +121,74 @@ FROM places LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (k)
 """
 
 
+#: A control string of op11's template with any backslashes after its first character.
+_ESCAPABLE = "|".join(rf"{c[0] if c[0] == '<' else chr(92) + c[0]}\\*{c[1:].replace(']', chr(92) + ']')}" for c in CONTROLS)
+
+#: Marks around a text: 7 + 8 code points for a user, 6 + 7 for a system, 5 + 4 for an assistant, 6 + 7 + 4 for other roles; 3 at the start.
+OP11_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_ESCAPABLE}')) AS escaped, length(role) + len(regexp_extract_all(role, '{_ESCAPABLE}')) AS role_escaped FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(escaped + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 9 ELSE 17 + role_escaped END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3, dimension: int = 64) -> str:
+    """The rounds one after another; a centroid without vectors keeps its place."""
+    nearest = """SELECT k, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+      SELECT v.k, m.c, list_sum(list_transform(list_zip(v.q, m.q), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM kept v, {m} m) GROUP BY k"""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimension})""",
+        f"m0 AS MATERIALIZED (SELECT n - 1 AS c, q FROM (SELECT q, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) AS n FROM kept) WHERE n <= {k})",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(m=f'm{i}')})")
+        steps.append(f"s{i} AS MATERIALIZED (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT c, unnest(q) AS x, unnest(range(1, {dimension + 1})) AS i FROM kept JOIN a{i} USING (k)) GROUP BY c, i)")
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT m.c, coalesce(u.q, m.q) AS q FROM m{i} m LEFT JOIN (SELECT c, list(x ORDER BY i) AS q FROM s{i} GROUP BY c) u USING (c))")
+    steps.append(f"last AS MATERIALIZED ({nearest.format(m=f'm{rounds}')})")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.q, ',')) AS centroid_sha256 FROM kept JOIN last USING (k) JOIN m{rounds} m USING (c)"""
+
+
+#: crc32 by its table of 256 remainders; near words share what is left of them without one letter, then one edit is checked.
+OP13_SQL = f"""
+WITH table_of AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (SELECT d, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY d, run
+), bytes AS (SELECT d, run, n, hex(encode(d || ':' || run)) AS x FROM counted
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(length(x) // 2 AS BIGINT)), lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+         lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS h FROM bytes, table_of
+), made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(CAST(length(word) AS BIGINT))) AS i FROM words)
+), met AS (
+  SELECT a.word AS a, a.n AS a_n, b.word AS b, b.n AS b_n FROM less a JOIN less b USING (rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), near AS (
+  SELECT a AS word, count(*) AS n_near, any_value(a_n) AS n, max(b_n) AS best, arg_min(b, (-b_n, b)) AS b FROM met
+  WHERE length(a) <> length(b) OR len(list_filter(range(1, CAST(length(a) AS BIGINT) + 1), lambda i: a[i] <> b[i])) = 1 GROUP BY a
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 10 * w.n THEN b END AS form, CASE WHEN best >= 10 * w.n THEN best END AS form_n FROM words w LEFT JOIN near USING (word)
+), chain AS (
+  WITH RECURSIVE up AS (SELECT word, word AS reached, 0 AS steps FROM forms UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN forms f ON f.word = up.reached WHERE f.form IS NOT NULL)
+  SELECT word, arg_max(reached, steps) AS root FROM up GROUP BY word
+)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN chain USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op4_url_filter": OP4_SQL, "op11_chat_formatting": OP11_SQL, "op12_centroid_clustering": _lloyd_sql(), "op13_spelling_variants": OP13_SQL}

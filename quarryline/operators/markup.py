@@ -1,7 +1,7 @@
 """What a page says besides its prose: label and value shapes, JSON-LD, data attributes, images, links of sitemaps.
 
-Pages are read by patterns, without a parser: what is found is what stands in the markup as written. Each function makes one
-row per finding with its place in the page, and none for a null or empty page.
+Tables, lists and attributes are read by patterns, without a parser: what is found is what stands in the markup as written; blocks of text
+come from the page's tree. Each function makes one row per finding with its place in the page, and none for a null or empty page.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, split_name_value
+from .page_tree import block_texts, page_nodes
 
 _TAG = r"""(?s)<!--.*?-->|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
@@ -75,10 +76,11 @@ def definition_lists(pages: DataFrame) -> DataFrame:
 
 
 def text_pairs(pages: DataFrame) -> DataFrame:
-    """``label: value`` lines of paragraphs, list items and blocks of 5 to 300 characters."""
-    texts = F.flatten(F.array(*[F.transform(elements(F.col("html"), t), lambda e: tag_text(e["body"])) for t in ("li", "p", "div")]))
-    found = F.transform(F.filter(texts, lambda t: F.length(t).between(5, 300)), split_name_value)
-    return _pairs(pages, "text", F.filter(found, lambda x: x.isNotNull()))
+    """``label: value`` lines of paragraphs, list items and blocks of 5 to 300 characters; a block within another counts once, by itself."""
+    texts = block_texts(page_nodes(pages)).filter(F.col("tag").isin("p", "li", "div") & F.length("text").between(5, 300))
+    found = texts.select("page_id", F.col("node").alias("ord"), split_name_value(F.col("text")).alias("pair")).filter("pair is not null")
+    rows = found.select("page_id", F.lit("text").alias("source"), "ord", clean_text(F.col("pair.name")).alias("name"), clean_text(F.col("pair.value")).alias("value"))
+    return rows.filter(is_useful(F.col("name"), F.col("value")))
 
 
 def data_attributes(pages: DataFrame) -> DataFrame:

@@ -43,3 +43,24 @@ def spec_page(part: DataFrame) -> DataFrame:
         F.lit(' kg</div><img src="/i/'), key, F.lit('.jpg" srcset="/i/'), key, F.lit('-1.webp 1x, /i/'), key, F.lit('-2.webp 2x"><a href="/files/'), key, F.lit('.pdf">Datasheet</a><p>Voltage: '), size, F.lit(" V</p></body></html>"),
     )
     return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def nested_table_page(part: DataFrame) -> DataFrame:
+    """A page for each part with a table in a table's cell, left-out end tags, a paragraph inside a block, and markup in a script's string."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit("<body><script>var t='</p><table>';</script><div>Kind: <b>"), F.col("p_type"), F.lit("</b><p>Voltage: "), size, F.lit(" V<p>Weight: "), size, F.lit(" kg<ul><li>One<li>Two: "), key,
+        F.lit("</ul>tail</div><table><tr><th>Outer<td>A "), F.col("p_brand"), F.lit("<table><tr><td>Inner<td>"), key, F.lit("</table> B<tr><td>Last</td><td>x &amp; y<br>z</table></body>"),
+    )
+    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def state_page(part: DataFrame) -> DataFrame:
+    """A page for each part whose scripts hold its data: brackets in strings, JSON in a string, another part's record, and a block that is cut off."""
+    size, key, other = F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
+    record = lambda k: F.concat(F.lit('{"sku":"P-'), k, F.lit('","specifications":{"netWeight":"'), size, F.lit(' kg","wallThickness":{"value":'), size, F.lit(',"unit":"mm"},"url":"/x","sizes":["a","b","a"]},"features":[{"label":"For part","value":"'), k, F.lit('"},{"name":"Range","minValue":1,"maxValue":"'), size, F.lit('","unit":"V"}]}'))
+    html = F.concat(
+        F.lit('<script>var a = "}"; window.__INITIAL_STATE__ = {"note":"} ] \\" {","deep":[[[{"product":{"list":['), record(key), F.lit(","), record(other),
+        F.lit(']}}]]],"config":"{\\"attributes\\":{\\"mainColour\\":\\"'), F.col("p_brand"), F.lit('\\"}}"};</script><script>dataLayer.push({"cut":[1,{"a":"'), key, F.lit('"}]</script>'),
+    )
+    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("p_"), key).alias("item"))

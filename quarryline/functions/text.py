@@ -78,14 +78,13 @@ def truncated(value: Column, most: int = 32_000) -> Column:
 
 def split_name_value(text: Column) -> Column:
     """(name, value) of a ``label: value`` or ``label = value`` line, else null; a label of 2 to 80 characters that is no value itself."""
-    cleaned = clean_text(text)
     colon, equal = r"^([^:]{2,80}):\s*(.+)$", r"^([^=]{2,80})=\s*(.+)$"
 
-    def part(k: int) -> Column:
-        return F.when(cleaned.rlike(colon), F.regexp_extract(cleaned, colon, k)).otherwise(F.regexp_extract(cleaned, equal, k))
+    def parts(cleaned: Column) -> Column:
+        made = [F.struct(F.trim(F.regexp_extract(cleaned, p, 1)).alias("name"), F.trim(F.regexp_extract(cleaned, p, 2)).alias("value")) for p in (colon, equal)]
+        return F.when(cleaned.rlike(colon), made[0]).when(cleaned.rlike(equal), made[1])
 
-    name = F.trim(part(1))
-    return F.when((cleaned.rlike(colon) | cleaned.rlike(equal)) & ~is_value_fragment(name), F.struct(name.alias("name"), F.trim(part(2)).alias("value")))
+    return let(let(clean_text(text), parts), lambda x: F.when(~is_value_fragment(x["name"]), x))
 
 
 def is_value_fragment(name: Column) -> Column:

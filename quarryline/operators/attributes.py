@@ -6,6 +6,8 @@ An attribute relation has item, ord, name, value and may have group, source_url,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +56,17 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def with_read(rows: DataFrame, text: str, read: Callable[[Column], Column], name: str) -> DataFrame:
+    """The rows with what ``read`` makes of a text column, computed once for each distinct text and joined back; null texts have null.
+
+    Worth it where reading costs more than a join and texts repeat, as values of attributes do.
+    """
+    distinct = rows.filter(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct()
+    # exploding an array of one keeps the result from being computed anew for each of its fields
+    made = distinct.select("_text", F.explode(F.array(read(F.col("_text")))).alias(name))
+    return rows.join(made, F.col(text) == F.col("_text"), "left").drop("_text")
+
+
 def comparable(value: Column) -> Column:
     return F.lower(clean_text(value))
 
@@ -135,18 +148,21 @@ def field_candidates(attributes: DataFrame) -> DataFrame:
     A numeric field takes only values with a plausible quantity of its kind, and loose page evidence is no candidate.
     item, field, label, value, source_url, source_type, parser, stage, confidence, priority, reason, ord.
     """
-    rows = _whole(attributes).filter((F.lower(F.trim(_text("group"))) != "page evidence") & (clean_text(F.col("value")) != ""))
-    label = clean_text(F.concat(_text("group"), F.lit(" "), _text("name")))
-    rows = rows.withColumn("hits", let(label, _field_matches)).filter(F.size("hits") > 0)
-    asked = F.exists("hits", lambda h: F.size(h["kinds"]) > 0)
-    rows = rows.withColumn("quantities", F.when(asked, parse_quantities(F.col("value")))).withColumn("hit", F.explode("hits"))
-    numeric = F.coalesce(F.exists("quantities", lambda q: F.array_contains(F.col("hit.kinds"), q["kind"]) & is_plausible(q)), F.lit(False))
+    rows = _whole(attributes).filter(F.lower(F.trim(_text("group"))) != "page evidence").withColumn("_label", F.concat(_text("group"), F.lit(" "), _text("name")))
+    rows = with_read(rows, "_label", lambda label: let(clean_text(label), _field_matches), "hits").filter(F.size("hits") > 0)
+
+    def of(value: Column) -> Column:
+        kinds = F.transform(F.filter(parse_quantities(value), is_plausible), lambda q: q["kind"])
+        return F.struct(clean_text(value).alias("clean"), F.array_distinct(kinds).alias("kinds"))
+
+    rows = with_read(rows, "value", of, "read").withColumn("hit", F.explode("hits")).filter("read.clean <> ''")
     priority, reason = _ladder(CANDIDATE_LADDER, True)
-    made = rows.filter((F.size("hit.kinds") == 0) | numeric).select(
-        "item", F.col("hit.field").alias("field"), F.col("hit.label").alias("label"), clean_text(F.col("value")).alias("value"), "source_url", "source_type", "parser", "stage", "confidence",
+    made = rows.filter((F.size("hit.kinds") == 0) | F.arrays_overlap("hit.kinds", "read.kinds")).select(
+        "item", F.col("hit.field").alias("field"), F.col("hit.label").alias("label"), F.col("read.clean").alias("value"), "source_url", "source_type", "parser", "stage", "confidence",
         priority.alias("priority"), reason.alias("reason"), "ord",
     )
-    key = F.lower(F.concat_ws("|", comparable(F.col("value")), _text("source_url"), _text("parser")))
+    # values are clean already, so case alone is left to compare
+    key = F.lower(F.concat_ws("|", F.col("value"), _text("source_url"), _text("parser")))
     return first_of(made, [key], ["ord"], ["item", "field"])
 
 

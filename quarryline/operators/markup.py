@@ -78,9 +78,9 @@ def definition_lists(pages: DataFrame) -> DataFrame:
 def text_pairs(pages: DataFrame) -> DataFrame:
     """``label: value`` lines of paragraphs, list items and blocks of 5 to 300 characters; a block within another counts once, by itself."""
     texts = block_texts(page_nodes(pages)).filter(F.col("tag").isin("p", "li", "div") & F.length("text").between(5, 300))
-    found = texts.select("page_id", F.col("node").alias("ord"), split_name_value(F.col("text")).alias("pair")).filter("pair is not null")
-    rows = found.select("page_id", F.lit("text").alias("source"), "ord", clean_text(F.col("pair.name")).alias("name"), clean_text(F.col("pair.value")).alias("value"))
-    return rows.filter(is_useful(F.col("name"), F.col("value")))
+    # exploding keeps the pair from being computed anew by each use of it
+    found = texts.select("page_id", F.col("node").alias("ord"), F.explode(F.filter(F.array(split_name_value(F.col("text"))), lambda x: x.isNotNull())).alias("pair"))
+    return found.select("page_id", F.lit("text").alias("source"), "ord", "pair.name", "pair.value").filter(is_useful(F.col("name"), F.col("value")))
 
 
 def data_attributes(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantities import parse_quantities
+from .attributes import with_read
 
 #: A rule table of more rows isn't turned into an expression.
 MOST_RULES = 5_000
@@ -53,9 +54,8 @@ def understand(attributes: DataFrame, rules: DataFrame) -> DataFrame:
     """
     labels = attributes.select("name").distinct()
     meanings = labels.select(F.col("name").alias("_name"), property_of(F.col("name"), rules).alias("meaning"))
-    joined = attributes.join(meanings, attributes["name"].eqNullSafe(meanings["_name"]), "left")
-    quantities = parse_quantities(F.col("value"))
-    kept = F.filter(quantities, lambda q: F.col("meaning.kind").isNull() | (q["kind"] == F.col("meaning.kind")))
+    joined = with_read(attributes.join(meanings, attributes["name"].eqNullSafe(meanings["_name"]), "left"), "value", parse_quantities, "_parsed")
+    kept = F.filter(F.coalesce("_parsed", parse_quantities(F.lit(None).cast("string"))), lambda q: F.col("meaning.kind").isNull() | (q["kind"] == F.col("meaning.kind")))
     return joined.select("item", "ord", "name", F.col("meaning.key").alias("property"), kept.alias("quantities"))
 
 
@@ -111,7 +111,7 @@ def suggest_aliases(labels: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def unmapped_labels(attributes: DataFrame, rules: DataFrame, aliases: DataFrame, longest: int = 60) -> DataFrame:
     """Labels of short values with a quantity that neither a rule nor an alias (exact, or similar enough) maps: label, n, items."""
-    spoken = attributes.filter((F.length(F.trim("value")) <= longest) & (F.size(parse_quantities(F.col("value"))) > 0))
+    spoken = with_read(attributes.filter(F.length(F.trim("value")) <= longest), "value", parse_quantities, "_parsed").filter(F.size("_parsed") > 0)
     counted = spoken.groupBy(F.trim("name").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("items")).filter("label <> ''")
     unknown = counted.filter(property_of(F.col("label"), rules).isNull())
     named = similar_aliases(unknown, aliases, THRESHOLDS["global"]).select("label").distinct()

@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -151,25 +151,29 @@ def inside(outer: DataFrame, inner: DataFrame) -> DataFrame:
     return inner.join(spans, "page_id").filter((F.col("node") > F.col("outer_node")) & (F.col("node") <= F.col("_to"))).drop("_to")
 
 
-def _joined(parts: Column) -> Column:
-    """Texts in document order, cleaned."""
-    return clean_text(F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), ""))
+def _said(texts: DataFrame, by: str) -> DataFrame:
+    """page_id, node, text: the texts of each node ``by``, joined in document order and cleaned; empty ones go.
+
+    Exploding an array of one keeps the joined text, and the cleaned one, from being computed anew by each use of it.
+    """
+    grouped = texts.groupBy("page_id", F.col(by).alias("of")).agg(F.array_sort(F.collect_list(F.struct("node", "text"))).alias("parts"))
+    joined = grouped.select("page_id", F.col("of").alias("node"), F.explode(F.array(F.array_join(F.transform("parts", lambda x: x["text"]), ""))).alias("raw"))
+    return joined.select("page_id", "node", F.explode(F.filter(F.array(clean_text(F.col("raw"))), lambda t: t != "")).alias("text"))
 
 
 def block_texts(nodes: DataFrame) -> DataFrame:
     """page_id, node, tag, text of each block's own text: what lies in a block within it counts there alone. Scripts, styles and empty blocks go."""
     hidden = nodes.filter(F.col("tag").isin(*_RAW)).select("page_id", F.col("node").alias("parent"))
-    texts = nodes.filter(F.col("text").isNotNull()).join(hidden, ["page_id", "parent"], "left_anti")
-    said = texts.groupBy("page_id", F.col("block").alias("node")).agg(_joined(F.collect_list(F.struct("node", "text"))).alias("text")).filter("text <> ''")
+    said = _said(nodes.filter(F.col("text").isNotNull()).join(hidden, ["page_id", "parent"], "left_anti"), "block")
     tags = nodes.filter(F.col("tag").isin(*BLOCKS)).select("page_id", "node", "tag")
     return said.join(tags, ["page_id", "node"], "left").select("page_id", "node", "tag", "text")
 
 
 def tree_cells(nodes: DataFrame) -> DataFrame:
     """page_id, grid, row, node, tag, text of the cells of all tables; a nested table's text belongs to its own cells alone."""
-    texts = nodes.filter(F.col("text").isNotNull() & F.col("cell").isNotNull()).groupBy("page_id", F.col("cell").alias("node")).agg(_joined(F.collect_list(F.struct(F.col("node"), "text"))).alias("text"))
+    said = _said(nodes.filter(F.col("text").isNotNull() & F.col("cell").isNotNull()), "cell")
     cells = nodes.filter(F.col("tag").isin(*_CELLS) & F.col("row").isNotNull()).select("page_id", "grid", "row", "node", "tag")
-    return cells.join(texts, ["page_id", "node"], "left").select("page_id", "grid", "row", "node", "tag", F.coalesce("text", F.lit("")).alias("text"))
+    return cells.join(said, ["page_id", "node"], "left").select("page_id", "grid", "row", "node", "tag", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def tree_rows(nodes: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _(spark, d):
     CASE WHEN k = 1 THEN 'at 40 °C' END AS condition, true AS plausible FROM specs WHERE k < 5 OR k = 9""",
 )
 def _(spark, d):
-    rows = _specs(spark, d).select("item", "ord", F.explode(quantities.parse_quantities(F.col("value"))).alias("x"))
+    rows = attributes.with_read(_specs(spark, d), "value", quantities.parse_quantities, "parsed").select("item", "ord", F.explode("parsed").alias("x"))
     return rows.select(
         "item", "ord", "x.kind", "x.unit", "x.value", F.col("x.min").alias("low"), F.col("x.max").alias("high"), "x.qualifier", F.col("x.tolerance.value").alias("tolerance"), "x.current_type", "x.condition",
         quantities.is_plausible(F.col("x")).alias("plausible"),
@@ -77,7 +77,7 @@ def _(spark, d):
     ord_ = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     forms = [F.concat(s, F.lit("/"), (q + 100).cast("string"), F.lit(" V")), F.concat(F.lit("≤ "), s, F.lit(" kW")), F.concat(F.lit("min. "), s, F.lit(" mm")), F.concat(s, F.lit(" … "), s, F.lit(",5 bar")), F.concat(s, F.lit(" °F"))]
     rows = read_table(spark, d, "lineitem").select(ord_.alias("ord"), F.element_at(F.array(*forms), (ord_ % 5 + 1).cast("int")).alias("text"))
-    parsed = rows.select("ord", F.explode(quantities.parse_quantities(F.col("text"))).alias("x"))
+    parsed = attributes.with_read(rows, "text", quantities.parse_quantities, "parsed").select("ord", F.explode("parsed").alias("x"))
     return parsed.select("ord", "x.qualifier", quantities.quantity_min(F.col("x")).alias("low"), quantities.quantity_max(F.col("x")).alias("high"))
 
 
@@ -89,8 +89,8 @@ def _(spark, d):
     rows = _specs(spark, d).filter("name = 'Operating temperature'")
     even = F.regexp_extract("value", r"^-(\d+)", 1).cast("int") % 2 == 0
     text = F.when(even, F.concat(F.lit("Storage -60 to 90 °C; operating temperature "), "value")).otherwise(F.concat(F.lit("20 A at 40 °C, storage "), "value"))
-    read = quantities.temperature_range(text)
-    return rows.select("ord", read["min"].alias("low"), read["max"].alias("high"))
+    read = attributes.with_read(rows.withColumn("text", text), "text", quantities.temperature_range, "range")
+    return read.select("ord", F.col("range.min").alias("low"), F.col("range.max").alias("high"))
 
 
 @query(

@@ -120,13 +120,13 @@ _FIRST = f"""{SPECS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item,
 
 @query(
     "normalized_fields",
-    f"""WITH {_FIRST} SELECT item, max(CASE WHEN k = 2 THEN q || ' kg' END) AS weight, max(CASE WHEN k = 5 THEN ['steel', 'aluminum', 'plastic'][q % 3 + 1] END) AS material, max(CASE WHEN k = 8 THEN 'RAL ' || (7000 + q) END) AS color,
-    max(CASE WHEN k = 0 THEN q || ' V DC ±' || tol || '%' END) AS voltage, max(CASE WHEN k = 1 THEN q || ' A at 40 °C' END) AS current, max(CASE WHEN k = 6 THEN 'IP' || (20 + q) END) AS protection,
-    max(CASE WHEN k = 4 THEN CAST(-q AS VARCHAR) END) AS low, max(CASE WHEN k = 4 THEN CAST(q + 20 AS VARCHAR) END) AS high FROM f WHERE k IN (0, 1, 2, 4, 5, 6, 8) GROUP BY 1""",
+    f"""WITH {_FIRST} SELECT item, max(CASE WHEN k = 2 THEN q || ' kg' END) AS weight, CAST(NULL AS VARCHAR) AS dimensions, max(CASE WHEN k = 5 THEN ['Steel', 'aluminum', 'Plastic'][q % 3 + 1] END) AS material, CAST(NULL AS VARCHAR) AS "wallThickness",
+    CAST(NULL AS VARCHAR) AS finish, max(CASE WHEN k = 8 THEN 'RAL ' || (7000 + q) END) AS color, max(CASE WHEN k = 0 THEN q || ' V DC ±' || tol || '%' END) AS voltage, max(CASE WHEN k = 1 THEN q || ' A at 40 °C' END) AS current,
+    max(CASE WHEN k = 6 THEN 'IP' || (20 + q) END) AS protection, max(CASE WHEN k = 7 THEN 'UL; CE' END) AS certificates, max(CASE WHEN k = 4 THEN CAST(-q AS VARCHAR) END) AS "operatingTemperatureMin", max(CASE WHEN k = 4 THEN CAST(q + 20 AS VARCHAR) END) AS "operatingTemperatureMax"
+    FROM f WHERE k IN (0, 1, 2, 4, 5, 6, 7, 8) GROUP BY 1""",
 )
 def _(spark, d):
-    wide = normalize.normalized_fields(spec_attributes(read_table(spark, d, "lineitem")).withColumn("value", F.regexp_replace("value", "^Steel$", "steel")).withColumn("value", F.regexp_replace("value", "^Aluminium$", "aluminium")).withColumn("value", F.regexp_replace("value", "^Plastic$", "plastic")))
-    return wide.select("item", "weight", "material", "color", "voltage", "current", "protection", F.col("operatingTemperatureMin").alias("low"), F.col("operatingTemperatureMax").alias("high"))
+    return normalize.normalized_fields(spec_attributes(read_table(spark, d, "lineitem")))
 
 
 @query(

@@ -1,7 +1,7 @@
 """What a page says besides its prose: label and value shapes, JSON-LD, data attributes, images, links of sitemaps.
 
-Tables, lists and attributes are read by patterns, without a parser: what is found is what stands in the markup as written; blocks of text
-come from the page's tree. Each function makes one row per finding with its place in the page, and none for a null or empty page.
+Pages are read by patterns, without a parser: what is found is what stands in the markup as written; ``page_tree`` has pages as trees. Each
+function makes one row per finding with its place in the page, and none for a null or empty page.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, split_name_value
-from .page_tree import block_texts, page_nodes
+from .page_tree import BLOCKS
 
 _TAG = r"""(?s)<!--.*?-->|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
@@ -76,11 +76,12 @@ def definition_lists(pages: DataFrame) -> DataFrame:
 
 
 def text_pairs(pages: DataFrame) -> DataFrame:
-    """``label: value`` lines of paragraphs, list items and blocks of 5 to 300 characters; a block within another counts once, by itself."""
-    texts = block_texts(page_nodes(pages)).filter(F.col("tag").isin("p", "li", "div") & F.length("text").between(5, 300))
-    # exploding keeps the pair from being computed anew by each use of it
-    found = texts.select("page_id", F.col("node").alias("ord"), F.explode(F.filter(F.array(split_name_value(F.col("text"))), lambda x: x.isNotNull())).alias("pair"))
-    return found.select("page_id", F.lit("text").alias("source"), "ord", "pair.name", "pair.value").filter(is_useful(F.col("name"), F.col("value")))
+    """``label: value`` lines of paragraphs, list items and blocks of 5 to 300 characters, each up to the first block within it, so a nested block counts once."""
+    blocks = "|".join(sorted(BLOCKS))
+    opened = rf"(?is)<(?:li|p|div)(?=[\s/>]){_ATTRIBUTES}>((?:[^<]++|<(?!/?(?:{blocks})[\s/>]))*+)"
+    texts = F.transform(F.regexp_extract_all("html", F.lit(opened), F.lit(2)), tag_text)
+    found = F.transform(F.filter(texts, lambda t: F.length(t).between(5, 300)), split_name_value)
+    return _pairs(pages, "text", F.filter(found, lambda x: x.isNotNull()))
 
 
 def data_attributes(pages: DataFrame) -> DataFrame:

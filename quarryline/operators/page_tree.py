@@ -40,33 +40,45 @@ _P = frozenset(["p"])
 _HOLDS_P = frozenset("table td th caption template button object".split())
 
 
-def read_nodes(html: str) -> list[dict]:
-    """The nodes of one page, in document order."""
-    nodes: list[dict] = []
-    stack: list[int] = []
-    nearest = {"block": [], "cell": [], "row": [], "grid": []}
-    kinds = {"cell": _CELLS, "row": frozenset(["tr"]), "grid": frozenset(["table"]), "block": BLOCKS}
+_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), "tag": pa.string(), "attributes": pa.map_(pa.string(), pa.string()), "text": pa.string(), "begin": pa.int32(), "end": pa.int32(), "block": pa.int32(), "cell": pa.int32(), "row": pa.int32(), "grid": pa.int32()}
+_KINDS = {**dict.fromkeys(BLOCKS, (0,)), **dict.fromkeys(_CELLS, (0, 1)), "tr": (0, 2), "table": (0, 3)}
 
-    def add(tag: str, begin: int, end: int, attributes: dict | None = None, text: str | None = None) -> int:
-        number = len(nodes)
-        near = {k: (v[-1] if v else None) for k, v in nearest.items()}
-        nodes.append({"node": number, "parent": stack[-1] if stack else None, "depth": len(stack), "last": number, "tag": tag, "attributes": attributes, "text": text, "begin": begin, "end": end, **near})
-        return number
+
+def _node_columns(html: str) -> dict[str, list]:
+    """The nodes of one page, in document order, column by column."""
+    out: dict[str, list] = {name: [] for name in _TYPES}
+    numbers, parents, depths, lasts, tags, attributes, texts, begins, ends, *near = out.values()
+    stack: list[int] = []
+    #: The open blocks, cells, rows and tables.
+    open_ = ([], [], [], [])
+
+    def add(tag: str, begin: int, end: int, given: list | None, text: str | None) -> None:
+        number = len(numbers)
+        numbers.append(number)
+        parents.append(stack[-1] if stack else None)
+        depths.append(len(stack))
+        lasts.append(number)
+        tags.append(tag)
+        attributes.append(given)
+        texts.append(text)
+        begins.append(begin)
+        ends.append(end)
+        for column, held in zip(near, open_):
+            column.append(held[-1] if held else None)
 
     def close(place: int, end: int) -> None:
         """Ends the open elements from this place of the stack on."""
         while len(stack) > place:
             number = stack.pop()
-            nodes[number]["last"], nodes[number]["end"] = len(nodes) - 1, end
-            for kind in nearest.values():
-                if kind and kind[-1] == number:
-                    kind.pop()
+            lasts[number], ends[number] = len(numbers) - 1, end
+            for kind in _KINDS.get(tags[number], ()):
+                open_[kind].pop()
 
-    def found(tags: frozenset, keeps: frozenset) -> int | None:
+    def found(wanted: Iterable[str], keeps: Iterable[str]) -> int | None:
         """The place of the nearest open element of these tags, unless one that keeps it open comes first."""
         for place in range(len(stack) - 1, -1, -1):
-            tag = nodes[stack[place]]["tag"]
-            if tag in tags:
+            tag = tags[stack[place]]
+            if tag in wanted:
                 return place
             if tag in keeps:
                 return None
@@ -77,44 +89,49 @@ def read_nodes(html: str) -> list[dict]:
         token = _TOKEN.search(html, at)
         start = token.start() if token else len(html)
         if start > at:
-            add("#text", at, start, text=html[at:start])
+            add("#text", at, start, None, html[at:start])
         if not token:
             break
         at, tag = token.end(), (token["tag"] or "").lower()
         if not tag:
             continue
         if token["end"]:
-            place = found(frozenset([tag]), frozenset() if tag in _TABLE else _CELLS)
-            if place is not None:
+            if (place := found((tag,), () if tag in _TABLE else _CELLS)) is not None:
                 close(place, at)
             continue
-        for tags, keeps in (*_ENDED.get(tag, ()), *(((_P, _HOLDS_P),) if tag in BLOCKS else ())):
-            if (place := found(tags, keeps)) is not None:
+        for wanted, keeps in (*_ENDED.get(tag, ()), *(((_P, _HOLDS_P),) if tag in BLOCKS else ())):
+            if (place := found(wanted, keeps)) is not None:
                 close(place, start)
-        attributes: dict = {}
-        for name, value in _ATTRIBUTE.findall(token["head"]):
-            attributes.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value else value)
-        number = add(tag, start, at, attributes, " " if tag == "br" else None)
-        if tag in _VOID or token["head"].endswith("/") and tag not in BLOCKS | _RAW:
+        head, given = token["head"], {}
+        if head:
+            for name, value in _ATTRIBUTE.findall(head):
+                given.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value else value)
+        add(tag, start, at, list(given.items()), " " if tag == "br" else None)
+        if tag in _VOID or head.endswith("/") and tag not in BLOCKS and tag not in _RAW:
             continue
+        number = len(numbers) - 1
         stack.append(number)
-        for kind, tags in kinds.items():
-            if tag in tags:
-                nearest[kind].append(number)
+        for kind in _KINDS.get(tag, ()):
+            open_[kind].append(number)
         if tag in _RAW:
             done = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             if done.start() > at:
-                add("#text", at, done.start(), text=html[at : done.start()])
+                add("#text", at, done.start(), None, html[at : done.start()])
             at = done.end()
             close(len(stack) - 1, at)
     close(0, len(html))
-    return nodes
+    return out
+
+
+def read_nodes(html: str) -> list[dict]:
+    """The nodes of one page, in document order."""
+    columns = _node_columns(html)
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
 
 
-_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), "tag": pa.string(), "attributes": pa.map_(pa.string(), pa.string()), "text": pa.string(), "begin": pa.int32(), "end": pa.int32(), "block": pa.int32(), "cell": pa.int32(), "row": pa.int32(), "grid": pa.int32()}
 _SCHEMA = "node int, parent int, depth int, last int, tag string, attributes map<string,string>, text string, begin int, end int, block int, cell int, row int, grid int"
-#: Nodes of an Arrow batch that a task sends at once.
-_NODES = 20_000
+#: Characters of pages that a task turns into one Arrow batch; a longer page makes a batch of its own.
+_CHARACTERS = 1 << 20
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -126,21 +143,23 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type, made = batch.schema.field("page_id").type, []
+            id_type = batch.schema.field("page_id").type
+            ids, made, size = [], {name: [] for name in _TYPES}, 0
+
+            def packed() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *[pa.array(v, _TYPES[n]) for n, v in made.items()]], names=["page_id", *_TYPES])
+
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
-                made += [(page_id, n) for n in read_nodes(html or "")]
-                while len(made) >= _NODES:
-                    yield packed(made[:_NODES], id_type)
-                    made = made[_NODES:]
-            if made:
-                yield packed(made, id_type)
-
-    def packed(made: list, id_type: pa.DataType) -> pa.RecordBatch:
-        columns = [pa.array([p for p, _ in made], id_type)]
-        for name, kind_ in _TYPES.items():
-            values = [n[name] for _, n in made]
-            columns.append(pa.array([list(v.items()) if isinstance(v, dict) else v for v in values] if name == "attributes" else values, kind_))
-        return pa.RecordBatch.from_arrays(columns, names=["page_id", *_TYPES])
+                columns = _node_columns(html or "")
+                ids += [page_id] * len(columns["node"])
+                for name, values in columns.items():
+                    made[name] += values
+                size += len(html or "")
+                if size >= _CHARACTERS:
+                    yield packed()
+                    ids, made, size = [], {name: [] for name in _TYPES}, 0
+            if ids:
+                yield packed()
 
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, {_SCHEMA}")
 

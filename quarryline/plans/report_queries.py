@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import compare, devices, layout, normalize
@@ -122,13 +123,33 @@ _FIRST = f"""{SPECS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item,
     "normalized_fields",
     f"""WITH {_FIRST} SELECT item, max(CASE WHEN k = 2 THEN q || ' kg' END) AS weight, CAST(NULL AS VARCHAR) AS dimensions, max(CASE WHEN k = 5 THEN ['Steel', 'aluminum', 'Plastic'][q % 3 + 1] END) AS material, CAST(NULL AS VARCHAR) AS "wallThickness",
     CAST(NULL AS VARCHAR) AS finish, max(CASE WHEN k = 8 THEN 'RAL ' || (7000 + q) END) AS color, max(CASE WHEN k = 0 THEN q || ' V DC ±' || tol || '%' END) AS voltage, max(CASE WHEN k = 1 THEN q || ' A at 40 °C' END) AS current,
-    max(CASE WHEN k = 6 THEN 'IP' || (20 + q) END) AS protection, max(CASE WHEN k = 7 THEN 'UL; CE' END) AS certificates, max(CASE WHEN k = 4 THEN CAST(-q AS VARCHAR) END) AS "operatingTemperatureMin", max(CASE WHEN k = 4 THEN CAST(q + 20 AS VARCHAR) END) AS "operatingTemperatureMax"
-    FROM f WHERE k IN (0, 1, 2, 4, 5, 6, 7, 8) GROUP BY 1""",
+    max(CASE WHEN k = 6 THEN 'IP' || (20 + q) END) AS protection, CAST(NULL AS VARCHAR) AS certificates, max(CASE WHEN k = 4 THEN CAST(-q AS VARCHAR) END) AS "operatingTemperatureMin", max(CASE WHEN k = 4 THEN CAST(q + 20 AS VARCHAR) END) AS "operatingTemperatureMax"
+    FROM f WHERE k IN (0, 1, 2, 4, 5, 6, 8) GROUP BY 1""",
 )
 def _(spark, d):
     return normalize.normalized_fields(spec_attributes(read_table(spark, d, "lineitem")))
 
 
+@query(
+    "normalized_part_fields",
+    """WITH b AS (SELECT p_partkey AS item, p_size AS s, CAST(p_partkey % 6 AS INTEGER) AS k FROM part)
+    SELECT item, s || ' x ' || (s + 1) || ' x ' || (s + 2) || ' mm' AS dimensions, ['stainless steel Type 304', 'PA66', 'glass-fiber reinforced polyamide', 'aluzinc coated steel', 'plastic', 'polyamide GF30'][k + 1] AS material, s || ' mm' AS "wallThickness",
+    'Black powder coated' AS finish, ['light gray', 'gray; black', 'RAL ' || (7000 + s), 'ANSI-61 gray', 'blue', NULL][k + 1] AS color, ['cULus Listed E' || item, 'IEC 60947-1; CE', 'Registro Italiano Navale', 'CSA C22.2 No. 14; UL 508', 'TÜV; RoHS; CE', NULL][k + 1] AS certificates FROM b""",
+)
+def _(spark, d):
+    key, s, k = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), (F.col("p_partkey") % 6 + 1).cast("int")
+    pick = lambda *texts: F.element_at(F.array(*[t if isinstance(t, Column) else F.lit(t) for t in texts]), k)
+    size = F.concat(s, F.lit(" x "), (F.col("p_size") + 1).cast("string"), F.lit(" x "), (F.col("p_size") + 2).cast("string"), F.lit(" mm"))
+    values = {
+        "Abmessungen": size, "Werkstoff": pick("Edelstahl V2A", "PA66", "Glass fiber reinforced polyamide", "aluzinc coated steel", "Kunststoff", "PA 6 GF30"), "Wall thickness": F.concat(s, F.lit(" mm sheet")), "Finish": F.lit("Black powder coated. Door"),
+        "Farbe": pick("hellgrau", "GREY and schwarz", F.concat(F.lit("RAL"), (F.col("p_size") + 7000).cast("string")), "ANSI 61 gray", "bleu", "none"),
+        "Certificates": pick(F.concat(F.lit("cULus Listed E"), key), "CE, IEC 60947-1", "Registro Italiano Navale", "CSA C22.2 No. 14; UL 508", "rohs CE tüv", "none"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), value.alias("value")) for i, (name, value) in enumerate(values.items())]))
+    rows = read_table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lit(0.5).alias("confidence"), each.alias("x")).select("item", "confidence", "x.ord", "x.name", "x.value")
+    return normalize.normalized_fields(rows).select("item", "dimensions", "material", "wallThickness", "finish", "color", "certificates")
+
+
 @query(
     "weights_and_dimensions",
     """SELECT p_partkey, p_size * CAST(CASE p_partkey % 3 WHEN 0 THEN 0.001 WHEN 1 THEN 0.45359237 ELSE 0.028349523125 END AS DOUBLE) AS kilograms, p_size * CASE WHEN p_partkey % 2 = 0 THEN 10.0 ELSE 25.4 END AS height, (p_size + 1) * CASE WHEN p_partkey % 2 = 0 THEN 10.0 ELSE 25.4 END AS width,

@@ -100,9 +100,12 @@ def test_comparison_of_null_values(spark):
         (normalize.voltage_text, {"24VDC": "24 V DC", "100-240 VAC": "100...240 V AC", "230 volts; IP20": "230 V", "12 A": None, None: None}),
         (normalize.current_text, {"16 amps": "16 A", "6kA": "6 kA", "10 to 20 A": "10...20 A", "24 V": None}),
         (normalize.protection_text, {"IP 67 datasheet": "IP 67", "NEMA": None, "NEMA 4X": "NEMA 4X", "IEC 60529": "IEC 60529", None: None}),
-        (normalize.certificate_text, {"CEcULus": "cULus; CE", "UL, cULus": "cULus; UL", "UL Listed E1; UL": "UL Listed", "tüv, rohs": "TÜV; RoHS", "none": None}),
-        (normalize.material_text, {"Aluminium housing": "aluminum", "stainless steel cleaner": None, "Stainless steel type 304": "stainless steel Type 304", "x": None, None: None}),
-        (normalize.colour_text, {"light GREY and black": "gray; black", "RAL7035": "RAL 7035", "ANSI 61 gray": "ANSI-61 gray", "x": None}),
+        (normalize.certificate_text, {"CEcULus": "cULus; CE", "UL, cULus": "cULus; UL", "UL Listed E1; UL": "UL Listed", "tüv, rohs": "TÜV; RoHS", "none": None,
+            "IEC 60947-1": "IEC 60947-1", "Registro Italiano Navale": "Registro Italiano Navale", "cULus Listed E12345": "cULus Listed E12345", "UL 508": "UL 508", "CSA C22.2 No. 14": "CSA C22.2 No. 14", "UL File E319779, UL": "UL File E319779"}),
+        (normalize.material_text, {"Aluminium housing": "aluminum", "stainless steel cleaner": None, "Stainless steel type 304": "stainless steel Type 304", "x": None, None: None,
+            "Glass fiber reinforced polyamide": "glass-fiber reinforced polyamide", "aluzinc coated steel": "aluzinc coated steel", "PA66": "PA66", "Edelstahl V2A": "stainless steel Type 304", "Edelstahl 1.4301": "stainless steel Type 304", "Gehäuse aus Edelstahl": "stainless steel",
+            "verzinkter Stahl": "galvanized steel", "Kunststoff": "plastic", "acier inoxydable": "stainless steel", "fonte": "cast iron", "ottone": "brass", "PA 6 GF30, black": "polyamide GF30", "aluminium die-cast": "die-cast aluminum", "S.S. bolt": "stainless steel", "Techpolymer": "Techpolymer"}),
+        (normalize.colour_text, {"hellgrau pulverbeschichtet": "light gray", "gris": "gray", "nero": "black", "powder coated, RAL 7035": "RAL 7035", "light GREY and black": "gray; black", "RAL7035": "RAL 7035", "ANSI 61 gray": "ANSI-61 gray", "x": None}),
         (normalize.thickness_text, {"1.5 mm sheet": "1.5 mm", "body 0.1 in": "0.1 in (2.54 mm)", "5 mm": None, "2 x 3 mm sheet": None}),
         (normalize.finish_text, {"Black powder coated. Door": "Black powder coated", "none": None}),
     ],

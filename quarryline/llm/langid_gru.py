@@ -7,7 +7,6 @@ stretch are read with it, so that the state has context there, but their labels
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,15 +16,17 @@ from pyspark.sql import functions as F
 
 from .common import remainder
 
-#: Bound on the labelled documents that the network is fitted on; all their bytes are read, of a text of more than
-#: TRAINING_WINDOWS windows (192 KB) so many, spread evenly over it.
-SAMPLE_ROWS = 1_000
-TRAINING_WIDTH, TRAINING_WINDOWS = 96, 2_000
+#: Bounds on the labelled documents that the network is fitted on: how many, and the bytes of one; all bytes of those that are taken are read.
+SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 192_000
+TRAINING_WIDTH = 96
 #: Bytes of a window's own stretch, and of its context on either side.
 STRETCH, CONTEXT = 480, 16
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """A character of Unicode's letter categories; fractions, powers and Roman numerals are none."""
+    return any(map(str.isalpha, text))
 
 
 def stream_windows(raw: bytes, stretch: int = STRETCH, context: int = CONTEXT) -> list[tuple[bytes, int, int]]:
@@ -33,9 +34,8 @@ def stream_windows(raw: bytes, stretch: int = STRETCH, context: int = CONTEXT) -
     return [(raw[max(0, a - context) : a + stretch + context], min(a, context), min(a, context) + min(stretch, len(raw) - a)) for a in range(0, len(raw), stretch)]
 
 
-def training_windows(raw: bytes, width: int = TRAINING_WIDTH, most: int = TRAINING_WINDOWS) -> list[bytes]:
-    starts = range(0, len(raw), width)
-    return [raw[a : a + width] for a in starts[:: max(1, -(-len(starts) // most))]]
+def training_windows(raw: bytes, width: int = TRAINING_WIDTH) -> list[bytes]:
+    return [raw[a : a + width] for a in range(0, len(raw), width)]
 
 
 def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def document_probabilities(model: ByteGru, texts: list[str | None], rows: int =
         held.clear()
 
     for k, text in enumerate(texts):
-        if text is None or not _LETTER.search(text):
+        if text is None or not has_letter(text):
             continue
         raw = text.encode("utf-8", "replace")
         sizes[k] = len(raw)
@@ -228,8 +228,8 @@ def document_probabilities(model: ByteGru, texts: list[str | None], rows: int =
     return [model.languages[b] if s else UNKNOWN for b, s in zip(best, sizes)], np.where(sizes > 0, mean[np.arange(len(texts)), best], 0.0)
 
 
-def fit_language_model(documents: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> ByteGru:
-    """Fits on the whole texts of at most ``rows`` labelled documents, the same ones on every run.
+def fit_language_model(documents: DataFrame, train: Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> ByteGru:
+    """Fits on the whole texts of at most ``rows`` labelled documents of at most ``most_bytes`` each, the same ones on every run.
 
     Without labelled rows the model has no language to name, and everything is ``und``.
     """
@@ -238,7 +238,7 @@ def fit_language_model(documents: DataFrame, train: Column, rows: int = SAMPLE_R
     def cut_up(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: training_windows((t or "").encode("utf-8", "replace")))
 
-    chosen = documents.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    chosen = documents.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)).select("doc_id", "lang", "text")
     ids = chosen.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
     sample = chosen.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", cut_up("text").alias("parts"))
     got = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows).collect()

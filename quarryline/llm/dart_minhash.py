@@ -303,14 +303,14 @@ def near_classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id for every row: the smallest doc_id of the class of near duplicates of the row's text.
+    """doc_id, class_id, class_number for every row: the smallest doc_id, and the number, of the class of near duplicates of the row's text.
 
     Classes are those of :func:`near_classes`, so rows that share a doc_id are each compared by their own text, and rows
     without one are compared like others. ``class_id`` is null where no row of the class has a doc_id; where one doc_id has
-    several texts, two classes can have the same smallest one.
+    several texts, two classes can have the same smallest one, but never the same number.
     """
     classes = near_classes(documents, threshold, bands, rows)
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
     placed = stored(ids.join(classes, "digest"))
     named = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(named, "class").select("doc_id", "class_id")
+    return placed.join(named, "class").select("doc_id", "class_id", F.col("class").alias("class_number"))

@@ -215,3 +215,29 @@ def test_spellings_like_plain_loops(spark):
 
 def test_no_spellings_of_an_empty_table(spark):
     assert group_spellings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+# ---------------------------------------------------------------- faults that were mended
+
+
+def test_near_dedup_takes_columns_without_an_order(spark):
+    import corpus_pipeline
+
+    rows = [(k, "one two three four five six seven", "en", "s", 33, {"a": v}) for k, v in ((1, 2), (1, 1), (2, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert [(r.doc_id, r.extra) for r in kept] == [(1, {"a": 1})] and kept[0].__fields__ == docs.columns
+
+
+def test_only_letters_make_a_language(spark):
+    from quarryline.llm.langid_gru import has_letter
+
+    assert not any(map(has_letter, ["½ ² 3", "①Ⅷ", "", "12_3!?", "🙂"])) and all(map(has_letter, ["½ a", "ª", "日", "ß"]))
+
+
+def test_classes_have_numbers_of_their_own(spark):
+    from quarryline.llm.dart_minhash import near_duplicates
+
+    texts = ["a b c d e f g h", "p q r s t u v w"]
+    got = near_duplicates(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")).collect()
+    assert [r.class_id for r in got] == [1, 1] and len({r.class_number for r in got}) == 2

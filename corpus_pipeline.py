@@ -27,7 +27,7 @@ SCORED_ROWS, PASSAGE_ROWS = 1000, 2500
 
 
 def _batches_of(spark: SparkSession, rows: int) -> None:
-    """Sets the session's Arrow batches, from here on, as the stage's result is computed after its function has returned."""
+    """Sets the session's Arrow batches, as the stage's result is computed after its function has returned; ``run`` sets them back."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
@@ -49,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class of near duplicates: the smallest doc_id (null comes last), then the smallest digest of the text.
 
     Rows that share a doc_id with different texts are different documents here, and rows without a doc_id are compared like
-    others. Of rows with equal doc_id and text, the smallest in its columns stays.
+    others. Of rows with equal doc_id and text, the one whose other columns, written as JSON, come first stays.
     """
     _batches_of(spark, SCORED_ROWS)
     placed = docs.select("doc_id", text_digest().alias("digest")).join(near_classes(docs), "digest")
@@ -58,7 +58,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # whole rows travel as one column, so that names of further columns can't clash
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), text_digest().alias("row_digest"))
     kept = rows.join(best, (F.col("row_digest") == F.col("best_digest")) & F.col("row_id").eqNullSafe(F.col("best_id")))
-    return kept.groupBy("best_digest", "best_id").agg(F.min("row").alias("row")).select("row.*")
+    # columns of any type, maps too, have an order as text
+    others = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.coalesce(F.to_json(F.struct(*others)), F.lit("")) if others else F.lit("")
+    return kept.groupBy("best_digest", "best_id").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,10 +89,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each stage's result is a table in the shared folder."""
+    """Applies the stages to ``documents``; each stage's result is a table in the shared folder. The session's settings are then as before."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.schema(docs.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, stage in STAGES:
+            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+            docs = spark.read.schema(made.schema).parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
+    return docs

@@ -64,3 +64,14 @@ def state_page(part: DataFrame) -> DataFrame:
         F.lit(']}}]]],"config":"{\\"attributes\\":{\\"mainColour\\":\\"'), F.col("p_brand"), F.lit('\\"}}"};</script><script>dataLayer.push({"cut":[1,{"a":"'), key, F.lit('"}]</script>'),
     )
     return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("p_"), key).alias("item"))
+
+
+def spec_prose(lineitem: DataFrame) -> DataFrame:
+    """Line items as prose (doc_id, text) that names specifications, some within others' labels, some ruled out, some without a quantity."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    tail = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Short-circuit breaking capacity Icu: "), q, F.lit(" kA."))).otherwise("The tightening torque is not given.")
+    text = F.concat(
+        F.lit("Its Rated control circuit\nvoltage is "), q, F.lit(" V DC, the insulation voltage: "), q, F.lit("0 V; leakage current of "), q, F.lit(" mA at 40 °C while the net weight (packed) amounts to about "), q,
+        F.lit(" kg. The coil resistance, control voltage "), q, F.lit(" V. Operating temperature -"), q, F.lit(" to 60 °C. "), tail,
+    )
+    return lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), text.alias("text"))

@@ -426,8 +426,8 @@ items AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, coale
 @query(
     "quality_gate",
     f"""WITH {ITEMS}, s AS (SELECT *, o_orderstatus <> 'P' AS identity, o_orderkey % 5 = 0 AS far, CASE WHEN has_f THEN 0 ELSE 1 END + CASE WHEN has_o THEN 0 ELSE 1 END AS gaps FROM items),
-    t AS (SELECT *, CASE WHEN NOT identity THEN 0 ELSE greatest(0, least(100, 35 + CAST(floor((2 - gaps) / 2.0 * 25 + 0.5) AS INTEGER) + 18 + 12 + CASE WHEN n_attributes >= 2 THEN 6 ELSE -12 END + 4 + CASE WHEN far THEN -18 ELSE 8 END + CASE WHEN n_documents > 0 THEN 4 ELSE 0 END)) END AS score,
-      array_to_string(list_filter([CASE WHEN NOT identity THEN 'identity' END, CASE WHEN NOT has_f THEN 'attribute:F' END, CASE WHEN NOT has_o THEN 'attribute:O' END, CASE WHEN n_attributes < 2 THEN 'minAttributes:2' END], lambda x: x IS NOT NULL), '; ') AS missing FROM s),
+    t AS (SELECT *, CASE WHEN NOT identity THEN 0 ELSE greatest(0, least(100, 35 + CAST(floor((2 - gaps) / 2.0 * 25 + 0.5) AS INTEGER) + 18 + 12 + CASE WHEN n_attributes >= 2 THEN 6 ELSE 0 END + CASE WHEN n_documents >= 1 THEN 4 ELSE 0 END + CASE WHEN n_attributes < 2 OR n_documents < 1 THEN -12 ELSE 0 END + CASE WHEN far THEN -18 ELSE 8 END + CASE WHEN n_documents > 1 THEN 4 ELSE 0 END + CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN -2 ELSE -4 END)) END AS score,
+      array_to_string(list_filter([CASE WHEN NOT identity THEN 'identity' END, CASE WHEN NOT has_f THEN 'attribute:F' END, CASE WHEN NOT has_o THEN 'attribute:O' END, CASE WHEN n_attributes < 2 THEN 'minAttributes:2' END, CASE WHEN n_documents < 1 THEN 'minDocuments:1' END], lambda x: x IS NOT NULL), '; ') AS missing FROM s),
     u AS (SELECT *, CASE WHEN identity AND missing = '' AND score >= 70 THEN 'found' WHEN identity THEN 'partial' ELSE 'failed' END AS grade FROM t)
     SELECT o_orderkey AS item, CAST(score AS INTEGER) AS score, missing, grade, CASE grade WHEN 'found' THEN 0.9 WHEN 'failed' THEN 0.0 ELSE CASE WHEN far THEN 0.45 ELSE 0.74 END END AS confidence FROM u""",
 )
@@ -437,19 +437,21 @@ def _(spark, d):
     far = F.col("o_orderkey") % 5 == 0
     rows = _items(spark, d).select(
         F.col("o_orderkey").alias("item"), (F.col("o_orderstatus") != "P").alias("identity"), F.lit(0.9).alias("confidence"), "n_attributes", "n_documents", F.lit(2).alias("min_attributes"), (~far).alias("official"),
-        far.alias("distributor_only"), F.create_map(F.lit("attribute"), F.lit(2)).alias("n_required"), missing.alias("missing"),
+        far.alias("distributor_only"), F.create_map(F.lit("attribute"), F.lit(2)).alias("n_required"), missing.alias("missing"), F.lit(1).alias("min_documents"), (F.col("n_documents") > 1).alias("telling_document"),
+        *[(F.col("o_orderkey") % 3 == k).alias(n) for k, n in enumerate(("template_stage", "reader", "browser"))],
     )
     return gates.score_results(rows)
 
 
 @query(
     "missing_requirements",
-    "SELECT l_orderkey AS item, array_to_string(list_filter([CASE WHEN NOT bool_or(l_linestatus = 'F') THEN 'status:F' END, CASE WHEN NOT bool_or(l_linestatus = 'O') THEN 'status:O' END, 'status:X'], lambda x: x IS NOT NULL), '; ') AS missing FROM lineitem GROUP BY 1",
+    """SELECT o_orderkey AS item, array_to_string(list_filter([CASE WHEN NOT coalesce(bool_or(l_linestatus = 'F'), false) THEN 'status:F' END, CASE WHEN NOT coalesce(bool_or(l_linestatus = 'O'), false) THEN 'status:O' END, 'status:X'], lambda x: x IS NOT NULL), '; ') AS missing
+    FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber > 1) AS l ON l_orderkey = o_orderkey GROUP BY 1""",
 )
 def _(spark, d):
     required = spark.createDataFrame([("status", s) for s in ("X", "O", "F", "O")], "kind string, name string")
-    found = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.lit("status").alias("kind"), F.col("l_linestatus").alias("name"))
-    return gates.missing_requirements(found, required).select("item", F.array_join("missing", "; ").alias("missing"))
+    found = read_table(spark, d, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("item"), F.lit("status").alias("kind"), F.col("l_linestatus").alias("name"))
+    return gates.missing_requirements(read_table(spark, d, "orders").select(F.col("o_orderkey").alias("item")), found, required).select("item", F.array_join("missing", "; ").alias("missing"))
 
 
 COVER = f"""{ITEMS}, cover AS (SELECT *, round((CASE WHEN n_attributes > 0 THEN 1 ELSE 0 END + CASE WHEN n_documents > 0 THEN 1 ELSE 0 END + CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END + CASE WHEN o_orderpriority <> '5-LOW' THEN 1 ELSE 0 END) / 4.0, 4) AS coverage,
@@ -494,8 +496,8 @@ def _(spark, d):
 
 @query(
     "issue_rows",
-    f"""WITH {REVIEW}, x AS (SELECT item, priority, regexp_replace(unnest(why), ':.*$', '') AS issue FROM reviewed), g AS (SELECT issue, count(*) AS n, count(*) FILTER (priority = 'High') AS high, count(*) FILTER (priority = 'Medium') AS medium, count(*) FILTER (priority = 'Low') AS low, min(item) AS first_item FROM x GROUP BY 1)
-    SELECT issue, CASE WHEN high > 0 THEN 'High' WHEN medium > 0 THEN 'Medium' WHEN low > 0 THEN 'Low' ELSE 'Info' END AS severity, n, high, medium, low, first_item FROM g""",
+    f"""WITH {REVIEW}, x AS (SELECT item, priority, regexp_replace(unnest(why), ':.*$', '') AS issue FROM reviewed), g AS (SELECT issue, count(*) AS n, count(*) FILTER (priority = 'High') AS high, count(*) FILTER (priority = 'Medium') AS medium, count(*) FILTER (priority = 'Low') AS low, array_to_string(list_slice(list(item ORDER BY item), 1, 25), '; ') || CASE WHEN count(*) > 25 THEN '; +' || (count(*) - 25) || ' more' ELSE '' END AS items FROM x GROUP BY 1)
+    SELECT issue, CASE WHEN high > 0 THEN 'High' WHEN medium > 0 THEN 'Medium' WHEN low > 0 THEN 'Low' ELSE 'Info' END AS severity, n, high, medium, low, items FROM g""",
 )
 def _(spark, d):
     return gates.issue_rows(_reviewed(spark, d))

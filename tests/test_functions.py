@@ -109,3 +109,13 @@ def test_units(spark):
     assert each(spark, most("bar"), ["100 psi", "-25 °C ... 40 °C"]) == [6.894757, None]
     assert each(spark, most("parsec"), ["3 kg"]) == [None]
     assert [tuple(r) for r in each(spark, units.split_temperatures, ["-25...+60 °C", "5 °C and 40 °C", "ambient 5 to 9", "rated operational current 5-9", None])] == [(-25, 60), (5, 40), (5, 9), (None, None), (None, None)]
+
+
+def test_rules_of_document_urls(spark):
+    pdf = {
+        "https://a.example/x.PDF?y": True, "https://a.example/x?file=y.pdf": True, "https://a.example/x?type=application%2Fpdf": True, "https://a.example/x?docId=5": True, "https://a.example/x.pdfx": False, None: False,
+        "https://configurator.rockwellautomation.com/api/Product/1/cutsheet?format=pdf": False, "https://hit.sbt.siemens.com/RWD/AssetsByProduct.aspx?asset_type=Data+Sheet+for+Product&prodId=S1": True,
+    }
+    assert dict(zip(pdf, each(spark, urls.is_pdf_like_url, list(pdf)))) == pdf
+    files = {"https://a.example/x.zip": True, "https://a.example/x?asset=y.step": True, "https://configurator.rockwellautomation.com/api/Product/1/cutsheet": True, "https://a.example/documents/td/1": True, "https://a.example/x?n=y.html": False, "https://a.example/x.pdf": True}
+    assert dict(zip(files, each(spark, urls.is_downloadable_url, list(files)))) == files

@@ -151,3 +151,23 @@ def test_delimited(spark, tmp_path):
     got = sorted(r.catalog_number for r in delimited.catalog_numbers(rows).collect())
     assert got == ["AB-1", "CD 2", "XY-100", "XY-200"]
     assert {tuple(sorted(r.fields)) for r in rows.collect()} == {("Catalog no", "Name"), ("Catalog Number",)}
+
+
+def test_requirements_of_items_without_findings(spark):
+    items, required = spark.createDataFrame([(1,), (2,), (2,)], "item int"), spark.createDataFrame([("a", "x"), ("a", "y")], "kind string, name string")
+    found = spark.createDataFrame([(2, "a", "x"), (2, "b", "y"), (3, "a", "x")], "item int, kind string, name string")
+    assert {r.item: r.missing for r in gates.missing_requirements(items, found, required).collect()} == {1: ["a:x", "a:y"], 2: ["a:y"]}
+
+
+def test_terms_of_the_score(spark):
+    base = (True, 0.9, 3, 1, 1, {"document": 1}, [])
+    rows = [(k, *base, k == 1, k == 2, k == 3, 2 if k == 4 else None) for k in range(5)]
+    items = spark.createDataFrame(rows, "item int, identity boolean, confidence double, n_attributes int, n_documents int, min_attributes int, n_required map<string,int>, missing array<string>, template_stage boolean, reader boolean, browser boolean, min_documents int")
+    got = {r.item: (r.score, r.missing) for r in gates.score_results(items).collect()}
+    assert got == {0: (100, ""), 1: (100, ""), 2: (98, ""), 3: (96, ""), 4: (84, "minDocuments:2")}
+
+
+def test_issues_name_the_first_items(spark):
+    rows = spark.createDataFrame([(i, "High" if i == 3 else "Low", "Gap: 5%; Other" if i == 7 else "Gap: 4%") for i in range(30)] + [(99, "Low", "")], "item int, priority string, reasons string")
+    got = {r.issue: r for r in gates.issue_rows(rows).collect()}
+    assert got["Gap"]["items"] == "; ".join(map(str, range(25))) + "; +5 more" and got["Gap"].severity == "High" and got["Other"]["items"] == "7" and set(got) == {"Gap", "Other"}

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,14 +41,14 @@ _P = frozenset(["p"])
 _HOLDS_P = frozenset("table td th caption template button object".split())
 
 
-_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), "tag": pa.string(), "attributes": pa.map_(pa.string(), pa.string()), "text": pa.string(), "begin": pa.int32(), "end": pa.int32(), "block": pa.int32(), "cell": pa.int32(), "row": pa.int32(), "grid": pa.int32()}
+_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), "tag": pa.string(), "attributes": pa.map_(pa.string(), pa.string()), "text": pa.string(), "begin": pa.int32(), "end": pa.int32(), "block": pa.int32(), "cell": pa.int32(), "row": pa.int32(), "grid": pa.int32(), "trail": pa.int64()}
 _KINDS = {**dict.fromkeys(BLOCKS, (0,)), **dict.fromkeys(_CELLS, (0, 1)), "tr": (0, 2), "table": (0, 3)}
 
 
 def _node_columns(html: str) -> dict[str, list]:
     """The nodes of one page, in document order, column by column."""
     out: dict[str, list] = {name: [] for name in _TYPES}
-    numbers, parents, depths, lasts, tags, attributes, texts, begins, ends, *near = out.values()
+    numbers, parents, depths, lasts, tags, attributes, texts, begins, ends, *near, trails = out.values()
     stack: list[int] = []
     #: The open blocks, cells, rows and tables.
     open_ = ([], [], [], [])
@@ -65,6 +66,9 @@ def _node_columns(html: str) -> dict[str, list]:
         ends.append(end)
         for column, held in zip(near, open_):
             column.append(held[-1] if held else None)
+        # a trail's hash follows from its parent's, so it costs the same at any depth
+        said = next((v for n, v in given if n == "class"), "") if given else ""
+        trails.append(crc32(f"{tag}.{said}".encode("utf-8", "replace"), trails[stack[-1]] if stack else 0))
 
     def close(place: int, end: int) -> None:
         """Ends the open elements from this place of the stack on."""
@@ -129,15 +133,16 @@ def read_nodes(html: str) -> list[dict]:
     return [dict(zip(columns, row)) for row in zip(*columns.values())]
 
 
-_SCHEMA = "node int, parent int, depth int, last int, tag string, attributes map<string,string>, text string, begin int, end int, block int, cell int, row int, grid int"
+_SCHEMA = "node int, parent int, depth int, last int, tag string, attributes map<string,string>, text string, begin int, end int, block int, cell int, row int, grid int, trail long"
 #: Characters of pages that a task turns into one Arrow batch; a longer page makes a batch of its own.
 _CHARACTERS = 1 << 20
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """page_id, node, parent, depth, last, tag, attributes, text, begin, end, block, cell, row, grid of (page_id, html).
+    """page_id, node, parent, depth, last, tag, attributes, text, begin, end, block, cell, row, grid, trail of (page_id, html).
 
-    Texts are nodes with the tag ``#text``, as written; a line break is a text of one space. ``begin`` and ``end`` are places in the page.
+    Texts are nodes with the tag ``#text``, as written; a line break is a text of one space. ``begin`` and ``end`` are places in the
+    page; ``trail`` is a hash of the tags and classes from the root down to a node, so nodes of like place in pages of one layout share it.
     """
     kind = dict(pages.dtypes)["page_id"]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import spec_miner
+from pyspark.sql import functions as F
+
+from ..operators import spec_miner, translate
 from ..sources.analogues import spec_prose
 from ..sources.tables import read_table
 from .base import query
@@ -35,3 +37,21 @@ def _(spark, d):
 def _(spark, d):
     return spec_miner.mined_specs(spec_prose(read_table(spark, d, "lineitem")), spec_miner.default_labels(spark)).select("doc_id", "key", "label", "value")
 
+
+_DICTIONARY = {"the": "der", "and": "und", "of the": "vom", "la": "die", "de la": "von der", "in": "in"}
+
+
+@query(
+    "translated_documents",
+    rf"""WITH pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), 1) AS i FROM documents),
+    near AS (SELECT *, lower(piece) AS word, lead(piece, 1) OVER w AS gap, lower(lead(piece, 2) OVER w) AS word2 FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    pairs AS (SELECT *, coalesce(regexp_full_match(gap, '[\s\x{{A0}}_./-]{{1,3}}') AND word || ' ' || word2 IN ('of the', 'de la'), false) AS pair FROM near),
+    kept AS (SELECT *, coalesce(lag(pair, 2) OVER w, false) AS second, coalesce(lag(pair) OVER w, false) AS between FROM pairs WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    d AS (SELECT MAP {{{", ".join(f"'{k}': '{v}'" for k, v in _DICTIONARY.items())}}} AS d),
+    said AS (SELECT doc_id, i, piece, CASE WHEN second OR between THEN '' WHEN pair THEN d[word || ' ' || word2] ELSE d[word] END AS target, CASE WHEN second THEN 1 WHEN pair THEN 1 WHEN between THEN 0 WHEN d[word] IS NOT NULL THEN 1 ELSE 0 END AS covered FROM kept, d)
+    SELECT doc_id, md5(string_agg(CASE WHEN target IS NULL THEN piece WHEN target <> '' AND upper(piece[1]) = piece[1] THEN upper(target[1]) || target[2:] ELSE target END, '' ORDER BY i)) AS text, CAST(sum(covered) AS INTEGER) AS n_covered,
+      CAST(count(*) FILTER (regexp_matches(piece, '^[\p{{L}}\p{{N}}]')) AS INTEGER) AS n_words FROM said GROUP BY doc_id""",
+)
+def _(spark, d):
+    made = translate.translated(read_table(spark, d, "documents").filter("text <> ''"), spark.createDataFrame(list(_DICTIONARY.items()), "phrase string, target string"))
+    return made.withColumn("text", F.md5("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import spec_miner, translate
+from ..operators import found_tables, spec_miner, translate
 from ..sources.analogues import spec_prose
 from ..sources.tables import read_table
 from .base import query
@@ -55,3 +55,42 @@ _DICTIONARY = {"the": "der", "and": "und", "of the": "vom", "la": "die", "de la"
 def _(spark, d):
     made = translate.translated(read_table(spark, d, "documents").filter("text <> ''"), spark.createDataFrame(list(_DICTIONARY.items()), "phrase string, target string"))
     return made.withColumn("text", F.md5("text"))
+
+
+def _page_items(spark, d):
+    """Orders as pages: a title over two columns, headers, and for each line a key, a description of two lines and a number."""
+    lines = read_table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"))
+    y = 700.0 - 30.0 * F.col("l_linenumber")
+    item = lambda text, x, x_end, y: F.struct(text.alias("text"), F.lit(x).alias("x"), F.lit(x_end).alias("x_end"), y.alias("y"))
+    body = F.array(
+        item(F.concat(F.lit("P-"), F.col("part").cast("string")), 50.0, 90.0, y + 0.4), item(F.lit("Part of"), 120.0, 150.0, y), item(F.lit("kind"), 154.0, 180.0, y), item(F.concat(F.lit("no "), F.col("supplier").cast("string")), 121.0, 170.0, y - 10), item(F.col("l_linenumber").cast("string"), 230.0, 240.0, y),
+    )
+    top = F.array(item(F.lit("Details"), 118.0, 260.0, F.lit(790.0)), item(F.lit("Catalog"), 50.0, 80.0, F.lit(760.0)), item(F.lit("Text"), 120.0, 150.0, F.lit(760.0)), item(F.lit("Line"), 228.0, 250.0, F.lit(760.0)))
+    pages = lines.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.inline(top))
+    return lines.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.inline(body)).unionByName(pages)
+
+
+@query(
+    "found_table_rows",
+    """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS part, min(l_suppkey) AS supplier FROM lineitem GROUP BY 1, 2)
+    SELECT doc, 'P-' || part AS key, 'Details Text' AS header, 'Part of kind no ' || supplier AS value FROM l UNION ALL SELECT doc, 'P-' || part, 'Details Line', CAST(n AS VARCHAR) FROM l""",
+)
+def _(spark, d):
+    return found_tables.key_rows(found_tables.table_grid(_page_items(spark, d))).select("doc", "key", "header", "value")
+
+
+@query("found_columns", """SELECT DISTINCT l_orderkey AS doc, c AS "column", CAST("left" AS DOUBLE) AS "left", CAST("right" AS DOUBLE) AS "right" FROM lineitem, (VALUES (0, 50, 90), (1, 120, 180), (2, 228, 250)) AS v(c, "left", "right")""")
+def _(spark, d):
+    return found_tables.found_columns(found_tables.placed_items(_page_items(spark, d))).select("doc", "column", "left", "right")
+
+
+@query(
+    "found_table_columns",
+    """SELECT p_partkey AS doc, 'K-' || k AS key, label, value FROM part, (VALUES (1), (2)) AS c(k), LATERAL (VALUES ('Net weight', (p_size + k) || CASE WHEN k = 1 THEN ' kg or more' ELSE ' kg' END), ('Kind', p_type)) AS v(label, value)""",
+)
+def _(spark, d):
+    s = lambda k: F.concat((F.col("p_size") + k).cast("string"), F.lit(" kg"))
+    cells = [("Article", 10.0, 60.0, 100.0), ("K-1", 100.0, 130.0, 100.0), ("K-2", 200.0, 230.0, 100.0), ("Net weight", 10.0, 70.0, 80.0), (s(1), 102.0, 120.0, 80.0), (s(2), 201.0, 220.0, 80.0), ("or more", 102.0, 125.0, 70.0), ("Kind", 10.0, 30.0, 50.0), (F.col("p_type"), 100.0, 130.0, 50.0), (F.col("p_type"), 200.0, 230.0, 50.0)]
+    items = F.inline(F.array(*[F.struct((F.lit(t) if isinstance(t, str) else t).alias("text"), F.lit(x).alias("x"), F.lit(e).alias("x_end"), F.lit(y).alias("y")) for t, x, e, y in cells]))
+    pages = read_table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), items)
+    return found_tables.key_columns(found_tables.table_grid(pages)).select("doc", "key", "label", "value")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import page_tree, script_json
-from ..sources.analogues import nested_table_page, state_page
+from ..operators import page_data, page_tree, script_json
+from ..sources.analogues import nested_table_page, offer_page, state_page
 from ..sources.tables import read_table
 from .base import query
 
@@ -124,3 +124,43 @@ def _(spark, d):
 )
 def _(spark, d):
     return _state_nodes(spark, d).filter("text is not null").groupBy("page_id", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _offer_nodes(spark, d, markers):
+    blocks = script_json.script_blocks(offer_page(read_table(spark, d, "part")), markers).filter("complete")
+    return script_json.json_nodes(blocks.select("page_id", F.col("begin").alias("ord"), F.col("block").alias("json")))
+
+
+_CELLS = """('P-' || p_partkey, 1, 0, 'Part', 'P-' || p_partkey), ('P-' || p_partkey, 1, 1, 'Width', CAST(p_size AS VARCHAR)), ('P-' || p_partkey, 1, 2, 'Note', 'a, b')"""
+
+
+@query(
+    "embedded_tables",
+    f"""SELECT p_partkey AS page_id, CAST(row AS INTEGER) AS row, CAST("column" AS INTEGER) AS "column", header, value FROM part,
+    LATERAL (VALUES {_CELLS}, ('', 2, 0, 'Part', 'P-' || (p_partkey + 1)), ('', 2, 1, 'Width', 'x'), ('', 2, 3, NULL, '5')) AS v(own, row, "column", header, value)""",
+)
+def _(spark, d):
+    return page_data.embedded_tables(_offer_nodes(spark, d, page_data.TABLE_NAMES)).select("page_id", "row", "column", "header", "value")
+
+
+@query("embedded_item_rows", f"SELECT p_partkey AS page_id, header, value FROM part, LATERAL (VALUES {_CELLS}) AS v(own, row, col, header, value)")
+def _(spark, d):
+    keys = offer_page(read_table(spark, d, "part")).select("page_id", "item")
+    return page_data.rows_of_items(page_data.embedded_tables(_offer_nodes(spark, d, page_data.TABLE_NAMES)), keys).select("page_id", "header", "value")
+
+
+@query(
+    "structured_urls",
+    "SELECT p_partkey AS page_id, key, url, context FROM part, LATERAL (VALUES ('url', '/p/' || p_partkey || '?a=1&b=2', p_name || ' P-' || p_partkey), ('link', 'item-' || (p_partkey + 1) || '.html', 'next')) AS v(key, url, context)",
+)
+def _(spark, d):
+    return page_data.structured_urls(_offer_nodes(spark, d, ["window.productData"])).select("page_id", "key", "url", "context")
+
+
+@query(
+    "page_forms",
+    """SELECT p_partkey AS page_id, action, method, field, kind, value FROM part, LATERAL (VALUES ('/find', 'get', 'q', 'text', CAST(p_partkey AS VARCHAR)), ('/find', 'get', 'lang', 'hidden', 'en'), ('/cart', 'post', 'qty', 'select', NULL), ('/cart', 'post', 'note', 'textarea', NULL)) AS v(action, method, field, kind, value)""",
+)
+def _(spark, d):
+    forms = page_data.page_forms(page_tree.page_nodes(offer_page(read_table(spark, d, "part"))))
+    return forms.select("page_id", "action", "method", F.explode("fields").alias("f")).select("page_id", "action", "method", F.col("f.name").alias("field"), "f.kind", "f.value")

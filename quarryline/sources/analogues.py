@@ -75,3 +75,14 @@ def spec_prose(lineitem: DataFrame) -> DataFrame:
         F.lit(" kg. The coil resistance, control voltage "), q, F.lit(" V. Operating temperature -"), q, F.lit(" to 60 °C. "), tail,
     )
     return lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), text.alias("text"))
+
+
+def offer_page(part: DataFrame) -> DataFrame:
+    """A page for each part with a table of lists and urls in a script, and two forms, one inside a block."""
+    size, key, other = F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
+    html = F.concat(
+        F.lit('<script>var x = {"productItemsTableData": [["Part","Width","Note"],["P-'), key, F.lit('",'), size, F.lit(',"a, b"],["P-'), other, F.lit('","x","",5]]};'),
+        F.lit('window.productData = {"list":[{"name":"'), F.col("p_name"), F.lit('","sku":"P-'), key, F.lit('","url":"/p/'), key, F.lit('?a=1&amp;b=2"},{"href":"javascript:go()","name":"no"},{"link":"item-'), other, F.lit('.html","name":"next"}],"path":"x y"};</script>'),
+        F.lit("<form action='/find'><input name=q value='"), key, F.lit("'><input type=HIDDEN name=lang value=en><input type=submit></form><div><form method=POST action='/cart'><select name=qty><option>1</select><textarea name=note></textarea></form></div>"),
+    )
+    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("p "), key).alias("item"))

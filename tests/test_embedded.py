@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarryline.operators import markup
+from quarryline.operators.page_data import embedded_tables, page_forms, rows_of_items, structured_urls
 from quarryline.operators.page_tree import block_texts, inside, page_nodes, read_nodes, tree_cells, tree_rows
 from quarryline.operators.script_json import assigned_blocks, balanced_end, json_nodes, only_item, product_pairs, read_json, script_blocks
 
@@ -187,3 +188,36 @@ def test_only_the_item_of_a_list(spark):
 
 def test_null_and_empty_blocks(spark):
     assert json_nodes(spark.createDataFrame([(1, 0, None), (2, 0, ""), (3, 0, "[]")], "page_id long, ord int, json string")).select("page_id", "kind").collect() == [(3, "list")]
+
+
+# ---------------------------------------------------------------- tables, urls and forms
+
+
+def nodes_of(spark, value):
+    return json_nodes(spark.createDataFrame([(1, 0, json.dumps(value))], "page_id long, ord int, json string"))
+
+
+@pytest.mark.parametrize("value, want", [
+    ([["Part", "Width"], ["A", "1"], ["B"], [], ["C", "", "3"]], [(1, 0, "Part", "A"), (1, 1, "Width", "1"), (2, 0, "Part", "B"), (4, 0, "Part", "C"), (4, 2, None, "3")]), ([["Part", "Width"]], []), ([["x", "y"], ["1", "2"]], []), ([["Part"], ["1"]], []),
+    ({"deep": [{"t": [["Item no", {"label": "Height"}], ["A", {"value": 5, "unit": "mm"}]]}]}, [(1, 0, "Item no", "A"), (1, 1, "Height", "5 mm")]), ([["Part", "Width"], "no row", ["A", ["1", "2"]]], [(1, 0, "Part", "A"), (1, 1, "Width", "1; 2")]), ([], []),
+])
+def test_tables_of_lists(spark, value, want):
+    got = embedded_tables(nodes_of(spark, value)).select("row", "column", "header", "value").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_rows_of_an_item(spark):
+    tables = embedded_tables(nodes_of(spark, [["Part", "Width"], ["A-1", "1"], ["A-12", "2"], ["a 1", "3"]]))
+    keys = spark.createDataFrame([(1, "A1"), (1, ""), (1, None), (2, "A12")], "page_id long, item string")
+    assert sorted(r["value"] for r in rows_of_items(tables, keys).collect()) == ["1", "3", "A-1", "a 1"]
+
+
+def test_urls_beside_texts(spark):
+    value = [{"url": "/a", "name": "n", "deep": {"pdpUrl": "https:\\/\\/x.example/b", "t": 1}}, {"href": "mailto:x", "link": "#y", "path": "no product here", "route": "sku-1"}, {"Url": None, "URL": "/c"}, "/d"]
+    assert sorted((r.key, r.url, r.context) for r in structured_urls(nodes_of(spark, value)).collect()) == [("URL", "/c", ""), ("pdpUrl", "https://x.example/b", "1"), ("route", "sku-1", ""), ("url", "/a", "n")]
+
+
+def test_forms(spark):
+    html = "<form method=PUT><input name=a><div><form action=/in><input name=b type=radio value=1></form></div><select name=c></select><input name=''></form><form></form>"
+    got = page_forms(page_nodes(pages(spark, html, None))).orderBy("node").collect()
+    assert [(r.action, r.method, [tuple(f) for f in r.fields]) for r in got] == [("", "get", [("a", "text", None), ("c", "select", None)]), ("/in", "get", [("b", "radio", "1")]), ("", "get", [])]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, split_name_value
 from .page_tree import BLOCKS
+from .script_json import json_nodes
 
 _TAG = r"""(?s)<!--.*?-->|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
@@ -139,21 +140,9 @@ def breadcrumb_leaves(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "ord").agg(F.max_by(F.struct(url.alias("url"), name.alias("name")), F.struct(place, "at")).alias("leaf")).select("page_id", "leaf.url", "leaf.name")
 
 
-def flatten_json(blocks: DataFrame, depth: int = 6) -> DataFrame:
-    """page_id, path, value of every scalar in JSON blocks: levels are opened one by one, objects by their keys, lists by their places.
-
-    ``depth`` is how many levels are opened; deeper values stay as JSON text at their path.
-    """
-    level = blocks.select("page_id", F.lit("").alias("path"), F.col("json").alias("value"))
-    done = None
-    for _ in range(depth):
-        opened = level.withColumn("object", F.when(F.col("value").rlike(r"(?s)^\s*\{"), F.from_json("value", "map<string,string>"))).withColumn("list", F.when(F.col("value").rlike(r"(?s)^\s*\["), F.from_json("value", "array<string>")))
-        flat = opened.filter("object is null and list is null").select("page_id", "path", "value")
-        done = flat if done is None else done.union(flat)
-        items = F.coalesce(F.map_entries("object"), F.transform("list", lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value"))))
-        step = F.when(F.col("path") == "", F.col("item.key")).otherwise(F.concat(F.col("path"), F.lit(" / "), F.col("item.key")))
-        level = opened.filter("object is not null or list is not null").select("page_id", "path", F.explode(items).alias("item")).select("page_id", step.alias("path"), F.col("item.value").alias("value"))
-    return done.union(level).filter("value is not null")
+def flatten_json(blocks: DataFrame) -> DataFrame:
+    """page_id, path, value of every scalar in JSON blocks (page_id, ord, json), at any depth: objects by their keys, lists by their places; nulls go."""
+    return json_nodes(blocks).filter("text is not null").select("page_id", F.col("place").alias("path"), F.col("text").alias("value"))
 
 
 def srcset_urls(srcset: Column) -> Column:

@@ -42,8 +42,8 @@ def review_queue(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def primary_per_type(parts: DataFrame) -> DataFrame:
     """The cheapest part of each type; ties go to the smaller key."""
-    order = Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")
-    return parts.withColumn("n", F.row_number().over(order)).filter("n = 1").select("p_type", "p_partkey", "p_retailprice")
+    best = F.min_by(F.struct("p_partkey", "p_retailprice"), F.struct("p_retailprice", "p_partkey")).alias("best")
+    return parts.groupBy("p_type").agg(best).select("p_type", "best.p_partkey", "best.p_retailprice")
 
 
 def spec_matrix(events: DataFrame, columns: list[str]) -> DataFrame:

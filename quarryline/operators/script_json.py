@@ -100,14 +100,18 @@ def read_json(text: str) -> list[dict]:
     """The nodes of a JSON text in document order; none where it isn't JSON. Strings that hold JSON objects or lists are opened in their place."""
     nodes: list[dict] = []
     stack: list[tuple[int, bool]] = []  # open nodes, and whether each is an object
+    counts: list[int] = []  # the members so far of each open node
     key, expects, at = None, "value", 0
 
     def add(kind: str, value: str | None) -> int:
-        number, parent = len(nodes), stack[-1][0] if stack else None
-        above = nodes[parent]["path"] if parent is not None else ""
-        step = key if key is not None else ""
-        path = above if parent is None or not stack[-1][1] else f"{above} / {step}" if above else step
-        nodes.append({"node": number, "parent": parent, "depth": len(stack), "last": number, "key": key, "path": path, "kind": kind, "text": value})
+        number, parent, path, place = len(nodes), None, "", ""
+        if stack:
+            parent, named = stack[-1]
+            path, place, step = nodes[parent]["path"], nodes[parent]["place"], key if named else str(counts[-1])
+            counts[-1] += 1
+            place = f"{place} / {step}" if place else step
+            path = path if not named else f"{path} / {step}" if path else step
+        nodes.append({"node": number, "parent": parent, "depth": len(stack), "last": number, "key": key, "path": path, "place": place, "kind": kind, "text": value})
         return number
 
     def opened(value: str) -> bool:
@@ -121,8 +125,8 @@ def read_json(text: str) -> list[dict]:
         root = add(inner[0]["kind"], None)
         nodes[root]["last"] = base + inner[0]["last"]
         for n in inner[1:]:
-            path = f"{nodes[root]['path']} / {n['path']}" if nodes[root]["path"] and n["path"] else nodes[root]["path"] or n["path"]
-            nodes.append({**n, "node": n["node"] + base, "parent": n["parent"] + base, "last": n["last"] + base, "depth": n["depth"] + len(stack), "path": path})
+            under = {c: f"{nodes[root][c]} / {n[c]}" if nodes[root][c] and n[c] else nodes[root][c] or n[c] for c in ("path", "place")}
+            nodes.append({**n, "node": n["node"] + base, "parent": n["parent"] + base, "last": n["last"] + base, "depth": n["depth"] + len(stack), **under})
         return True
 
     text = text.rstrip(" \t\n\r")
@@ -134,9 +138,11 @@ def read_json(text: str) -> list[dict]:
         mark, string, scalar = m.groups()
         if mark in ("{", "[") and expects in ("value", "first"):
             stack.append((add("object" if mark == "{" else "list", None), mark == "{"))
+            counts.append(0)
             key, expects = None, "open" if mark == "{" else "first"
         elif mark in ("}", "]") and stack and stack[-1][1] == (mark == "}") and expects in ("more", "open" if mark == "}" else "first"):
             nodes[stack.pop()[0]]["last"] = len(nodes) - 1
+            counts.pop()
             expects = "more"
         elif mark == "," and expects == "more" and stack:
             key, expects = None, "key" if stack[-1][1] else "value"
@@ -187,14 +193,14 @@ def add_values(nodes: list[dict]) -> None:
             n["parent_key"], n["parent_path"] = nodes[n["parent"]]["key"], nodes[n["parent"]]["path"]
 
 
-_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), **dict.fromkeys(("key", "path", "kind", "text", "shape", "value", "parent_key", "parent_path"), pa.string())}
+_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), **dict.fromkeys(("key", "path", "place", "kind", "text", "shape", "value", "parent_key", "parent_path"), pa.string())}
 
 
 def json_nodes(blocks: DataFrame) -> DataFrame:
     """JSON texts (page_id, ord, json) as rows of their nodes; texts that aren't JSON have none.
 
-    page_id, ord, node, parent, depth, last, key, path, kind, text (of scalars), shape (scalar, object or list), value (of small records and
-    lists too), and the parent's key and path. A path has the keys from the root, without places in lists. A key that repeats in one object
+    page_id, ord, node, parent, depth, last, key, path, place, kind, text (of scalars), shape (scalar, object or list), value (of small records and
+    lists too), and the parent's key and path. A path has the keys from the root, a place also the numbers of lists' members. A key that repeats in one object
     keeps all its values.
     """
     types = dict(blocks.dtypes)

@@ -68,16 +68,20 @@ def facts_with_value(index: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def fact_words(index: DataFrame) -> DataFrame:
-    """The inverted index: word, item, key, ord of the words of keys and values, each once for a fact; a key's capitals begin words."""
+    """The inverted index: word, item, key, ord, fact, rank of the words of keys and values, each once for a fact; a key's capitals begin words.
+
+    ``fact`` is a hash of what tells an index's facts apart, as ``ord`` may repeat.
+    """
+    own = F.xxhash64("item", "key", "comparable", *[F.coalesce(F.col(c), F.lit("")) for c in ("source_kind", "source_url", "rule")])
     words = F.array_distinct(F.split(F.concat_ws(" ", plain_label(F.col("key")), plain_label(F.col("value"))), " "))
-    return index.select(F.explode(F.filter(words, lambda w: w != "")).alias("word"), "item", "key", "ord", "rank")
+    return index.select(F.explode(F.filter(words, lambda w: w != "")).alias("word"), "item", "key", "ord", own.alias("fact"), "rank")
 
 
 def search_facts(words: DataFrame, questions: DataFrame) -> DataFrame:
-    """question, item, key, ord, hits, rank: facts that hold all the words of ``questions`` (question, text), through the inverted index."""
+    """question, item, key, ord, fact, hits, rank: facts that hold all the words of ``questions`` (question, text), through the inverted index."""
     asked = questions.select("question", F.explode(F.array_distinct(F.filter(F.split(plain_label(F.col("text")), " "), lambda w: w != ""))).alias("word"))
     needed = asked.groupBy("question").agg(F.count(F.lit(1)).alias("needed"))
-    met = words.join(asked, "word").groupBy("question", "item", "key", "ord").agg(F.count(F.lit(1)).alias("hits"), F.max("rank").alias("rank"))
+    met = words.join(asked, "word").groupBy("question", "item", "key", "ord", "fact").agg(F.count(F.lit(1)).alias("hits"), F.max("rank").alias("rank"))
     return met.join(needed, "question").filter("hits = needed").drop("needed")
 
 

@@ -23,7 +23,7 @@ def _nodes(spark, d):
 @query(
     "page_blocks",
     rf"""WITH lines AS (SELECT page_id, unnest(string_split_regex(regexp_replace(regexp_replace({_BARE}, '(?i)<br\s*/?>', ' ', 'g'), '(?i)</?({_BLOCK_TAGS})(\s[^>]*)?>', chr(1), 'g'), chr(1))) AS line FROM pages)
-    SELECT page_id, text, count(*) AS n FROM (SELECT page_id, replace(trim(regexp_replace(regexp_replace(line, '<[^>]*>', '', 'g'), '{_SPACES}', ' ', 'g')), '&amp;', '&') AS text FROM lines) WHERE text <> '' GROUP BY 1, 2""",
+    SELECT page_id, text, count(*) AS n FROM (SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(line, '<[^>]*>', '', 'g'), '{_SPACES}', ' ', 'g')), '&amp;', '&'), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>') AS text FROM lines) WHERE text <> '' GROUP BY 1, 2""",
 )
 def _(spark, d):
     return page_tree.block_texts(_nodes(spark, d)).groupBy("page_id", "text").agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ from ..functions.text import ENTITIES, clean_text, compact_key, plain_numbers, s
 from ..operators import pages, reports, resolve, state
 from ..sources.tables import read_table
 from ..streaming.health import hourly_counts
-from . import discovery_queries, embedded_queries, fact_queries, learning_queries, product_queries, prose_queries, report_queries, state_queries  # noqa: F401  (they register their queries)
+from . import discovery_queries, embedded_queries, fact_queries, learning_queries, product_queries, prose_queries, repair_queries, report_queries, state_queries  # noqa: F401  (they register their queries)
 from .base import REGISTRY, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,32 +74,112 @@ def _confirmed(pairs: DataFrame, needles: DataFrame, texts: DataFrame) -> DataFr
     return met.filter(F.contains("text", F.col("needle"))).select("item_id", "doc_id").distinct()
 
 
-def substring_pairs(needles: DataFrame, texts: DataFrame, block: int = 256) -> DataFrame:
-    """(item_id, doc_id) of the texts (doc_id, text) that contain a needle (item_id, needle; not empty) anywhere.
-
-    A needle is looked up by its last characters, as many as the longest of ``ENDS`` that it has: they meet the texts' stretches
-    of that length in an equi-join on their hash. Texts are read in overlapping blocks, as finding a character takes steps.
+#: Needles of more characters in all aren't handed to the tasks: their ends are joined with the texts' stretches instead.
+MOST_SCANNED = 1_000_000
+#: Greatest number of bits by which stretches are sifted before they are joined; 16 for each needle up to there.
+MOST_BITS = 1 << 24
+
+
+def _of_forms(needles: DataFrame) -> DataFrame:
+    """item_id, form, needle: distinct, none empty; a needle without a form is searched for in the column ``text``."""
+    form = F.col("form") if "form" in needles.columns else F.lit("text")
+    return needles.filter(F.length("needle") > 0).select("item_id", form.alias("form"), "needle").distinct()
+
+
+def _scanned(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(item_id, doc_id) by one pass over the texts with an automaton of all needles of each form; a row leaves a task for each needle that it holds."""
+    listed: dict[str, list[str]] = {}
+    for r in needles.select("form", "needle").distinct().collect():  # bounded by MOST_SCANNED
+        listed.setdefault(r["form"], []).append(r["needle"])
+    forms = sorted(listed)
+
+    def scan(batches):
+        automata = {}
+        for form in forms:
+            automata[form] = ahocorasick.Automaton()
+            for needle in listed[form]:
+                automata[form].add_word(needle, needle)
+            automata[form].make_automaton()
+        for batch in batches:
+            rows, held, names = [], [], []
+            for form in forms:
+                for k, text in enumerate(batch.column(form)):
+                    found = {needle for _, needle in automata[form].iter(text.as_py())} if text.is_valid else ()
+                    rows += [k] * len(found)
+                    held += found
+                    names += [form] * len(found)
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(held, pa.string())], ["doc_id", "form", "needle"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    hits = texts.select("doc_id", *forms).mapInArrow(scan, f"doc_id {kind}, form string, needle string") if forms else texts.select("doc_id", F.lit("").alias("form"), F.lit("").alias("needle")).limit(0)
+    return hits.join(needles, ["form", "needle"]).select("item_id", "doc_id").distinct()
+
+
+def _sieve(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for every value of the column ``h`` and for few others: bits in one array of bounded size."""
+    bits = 1 << 10
+    n = hashes.select("h").distinct().count()
+    while bits < min(MOST_BITS, 16 * n):
+        bits *= 2
+    place = lambda h: h.bitwiseAND(F.lit(bits - 1))
+    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    words = [0] * (bits // 64)
+    for r in hashes.groupBy(F.shiftright(place(F.col("h")), 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # at most MOST_BITS / 64 rows
+        words[r["word"]] = r["bits"]
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    return lambda h: F.getbit(F.get(table, F.shiftright(place(h), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def stretches_of_needles(wanted: DataFrame, texts: DataFrame, block: int = 256) -> DataFrame:
+    """(doc_id, h): hashes of the stretches of ``texts`` (doc_id, text) that may end a needle of ``wanted`` (q: the end's length, h: its hash).
+
+    Texts are read in overlapping blocks, as finding a character takes steps; what the sieve holds back is never a row.
     """
-    length = F.length("needle")
-    end = F.greatest(*[F.when(length >= q, q) for q in ENDS])
-    wanted = needles.filter(length > 0).select("item_id", "needle", end.alias("q")).withColumn("h", F.xxhash64(F.right("needle", F.col("q"))))
     sizes = [r["q"] for r in wanted.select("q").distinct().collect()]  # at most as many as ENDS
+    sieves = {q: _sieve(wanted.filter(F.col("q") == q)) for q in sizes}
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(block))).alias("at")
     pieces = texts.select("doc_id", "text", starts).select("doc_id", F.substr("text", F.col("at"), F.lit(block + ENDS[-1] - 1)).alias("piece"))
 
     def stretches(q: int):
         last = F.least(F.length("piece") - q + 1, F.lit(block))
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substr("piece", i, F.lit(q))))).otherwise(F.array().cast("array<bigint>"))
+        hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substr("piece", i, F.lit(q))))
+        return F.when(last >= 1, F.filter(hashes, sieves[q])).otherwise(F.array().cast("array<bigint>"))
 
     found = F.concat(F.array().cast("array<bigint>"), *[stretches(q) for q in sizes])
-    pairs = pieces.select("doc_id", F.explode(F.array_distinct(found)).alias("h")).join(wanted.select("item_id", "h"), "h").select("item_id", "doc_id")
-    return _confirmed(pairs, wanted, texts)
+    return pieces.select("doc_id", F.explode(F.array_distinct(found)).alias("h"))
+
+
+def with_ends(needles: DataFrame) -> DataFrame:
+    """The needles with the length ``q`` of their end (the longest of ``ENDS`` that they have) and its hash ``h``."""
+    end = F.greatest(*[F.when(F.length("needle") >= q, q) for q in ENDS])
+    return needles.withColumn("q", end).withColumn("h", F.xxhash64(F.right("needle", F.col("q"))))
+
+
+def substring_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of the texts that contain a needle (item_id, needle, and form: the column of ``texts`` to search in, else ``text``) anywhere.
+
+    Empty and null needles and null texts meet nothing. Needles of up to ``MOST_SCANNED`` characters in all become automata, which read each text
+    once. More are looked up by their last characters, as many as the longest of ``ENDS`` that they have: these meet the texts' stretches of that
+    length in an equi-join on their hash, after a sieve of bounded size.
+    """
+    listed = _of_forms(needles)
+    size = listed.select("form", "needle").distinct().agg(F.sum(F.length("needle"))).first()[0] or 0
+    if size <= MOST_SCANNED:
+        return _scanned(listed, texts)
+    out = None
+    for form in sorted(r["form"] for r in listed.select("form").distinct().collect()):
+        held, wanted = texts.select("doc_id", F.col(form).alias("text")), with_ends(listed.filter(F.col("form") == form))
+        pairs = stretches_of_needles(wanted, held).join(wanted.select("item_id", "h"), "h").select("item_id", "doc_id")
+        met = _confirmed(pairs, wanted, held)
+        out = met if out is None else out.union(met)
+    return out.distinct()
 
 
 def containing_documents(passages: DataFrame, documents: DataFrame, words: int = 6) -> DataFrame:
     """(item_id, doc_id) of documents that contain a passage whole, whatever its length; an empty passage isn't searched for.
 
-    A document that contains a passage of ``words`` + 2 words or more has the passage's first inner words in a row as well:
+    Passages of up to ``MOST_SCANNED`` characters in all are searched for by :func:`substring_pairs`. Of more, a document that contains a passage of ``words`` + 2 words or more has the passage's first inner words in a row as well:
     these meet in an equi-join on their hash, and only such pairs are compared. Shorter passages, which may begin and
     end inside a word, are looked up by :func:`substring_pairs`.
     """
@@ -106,6 +191,8 @@ def containing_documents(passages: DataFrame, documents: DataFrame, words: int =
         return split.filter(F.size("w") >= words + (0 if all_of_them else 2)).select(key, F.explode(F.array_distinct(made)).alias("h"))
 
     needles, n_words = passages.select("item_id", F.col("text").alias("needle")), F.size(F.split("needle", " "))
+    if (needles.agg(F.sum(F.length("needle"))).first()[0] or 0) <= MOST_SCANNED:
+        return substring_pairs(needles, documents.select("doc_id", "text"))
     pairs = shingles(documents.select("doc_id", "text"), "doc_id", True).join(shingles(passages.select("item_id", "text"), "item_id", False), "h")
     long = _confirmed(pairs.select("item_id", "doc_id"), needles.filter(n_words >= words + 2), documents)
     return long.union(substring_pairs(needles.filter(n_words < words + 2), documents.select("doc_id", "text"))).distinct()
@@ -119,6 +206,6 @@ def catalog_matches(items: DataFrame, documents: DataFrame) -> DataFrame:
     """
     candidates = items.select("item_id", F.explode(F.array("text", F.element_at(F.split("text", ":"), -1))).alias("needle")).select("item_id", F.trim("needle").alias("needle")).filter("needle <> ''").distinct()
     compact = compact_key(F.col("needle"))
-    by_compact = substring_pairs(candidates.filter(F.length(compact) >= 4).select("item_id", compact.alias("needle")), documents.select("doc_id", compact_key(F.col("text")).alias("text")))
-    by_lower = substring_pairs(candidates.filter(F.length(compact) < 4).select("item_id", F.lower("needle").alias("needle")), documents.select("doc_id", F.lower("text").alias("text")))
-    return by_compact.union(by_lower).distinct()
+    long = F.length(compact) >= 4
+    needles = candidates.select("item_id", F.when(long, "compact").otherwise("lower").alias("form"), F.when(long, compact).otherwise(F.lower("needle")).alias("needle"))
+    return substring_pairs(needles, documents.select("doc_id", compact_key(F.col("text")).alias("compact"), F.lower("text").alias("lower")))

@@ -230,7 +230,7 @@ def _(spark, d):
     return resolve.quality_grades(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
 
 
-@query("key_containment_join", "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 8")
+@query("key_containment_join", "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def _(spark, d):
     return resolve.containing_documents(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"))
 

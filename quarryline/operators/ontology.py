@@ -113,6 +113,7 @@ def unmapped_labels(attributes: DataFrame, rules: DataFrame, aliases: DataFrame,
     """Labels of short values with a quantity that neither a rule nor an alias (exact, or similar enough) maps: label, n, items."""
     spoken = with_read(attributes.filter(F.length(F.trim("value")) <= longest), "value", parse_quantities, "_parsed").filter(F.size("_parsed") > 0)
     counted = spoken.groupBy(F.trim("name").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("items")).filter("label <> ''")
-    unknown = counted.filter(property_of(F.col("label"), rules).isNull())
+    # exploded, as the rules would else be tried on every row before the grouping
+    unknown = counted.select(F.explode(F.array("label")).alias("label"), "n", "items").filter(property_of(F.col("label"), rules).isNull())
     named = similar_aliases(unknown, aliases, THRESHOLDS["global"]).select("label").distinct()
     return unknown.join(named, "label", "left_anti")

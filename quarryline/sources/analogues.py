@@ -22,9 +22,13 @@ def spec_attributes(lineitem: DataFrame) -> DataFrame:
     ]
     parser = F.when(F.col("l_linenumber") == 1, "customer-document").when(F.col("l_linenumber") == 2, "pdf-table").when(F.col("l_linenumber") == 3, "browser-network").otherwise("generic")
     kind = F.when(F.col("l_returnflag") == "A", "official").when(F.col("l_returnflag") == "N", "official-fallback").otherwise("distributor")
+    written = values[-1]
+    for n, value in reversed(list(enumerate(values[:-1]))):
+        written = F.when(k == n, value).otherwise(written)
+    # exploded, so that filters and joins on a value don't write it anew for each use
     return lineitem.select(
         F.col("l_partkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.element_at(F.array(*map(F.lit, LABELS)), k + 1).alias("name"),
-        F.element_at(F.array(*values), k + 1).alias("value"), F.concat(F.lit("https://s"), (F.col("l_suppkey") % 5).cast("string"), F.lit(".example/"), F.col("l_partkey").cast("string")).alias("source_url"),
+        F.explode(F.array(written)).alias("value"), F.concat(F.lit("https://s"), (F.col("l_suppkey") % 5).cast("string"), F.lit(".example/"), F.col("l_partkey").cast("string")).alias("source_url"),
         kind.alias("source_type"), parser.alias("parser"), F.lit("scan").alias("stage"), F.round(1 - F.col("l_discount"), 2).alias("confidence"),
     )
 

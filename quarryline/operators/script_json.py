@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import clean_text, compact_key
 
@@ -36,6 +38,7 @@ SPEC_MAPS = r"(?i)^(?:specs?|specifications?|technicalSpecifications?|technicalD
 NO_SPECS = r"(?i)^(?:_.*|id|uuid|url|href|links?|images?|documents?|downloads?|resources?)$"
 SYSTEM = r"(?i)(?:^| / )(?:languages?|ajaxPageState|region_manager|back_to_top|ckeditorAccordion|permissionsHash|theme_token|pluralDelimiter)(?: / |$)"
 
+_OPENING = re.compile(r"[{\[]")
 _STRUCTURE = re.compile(r'["\\{}\[\]]')
 
 
@@ -61,16 +64,26 @@ def balanced_end(text: str, start: int) -> int | None:
     return None
 
 
+@cache
+def _any_of(markers: tuple[str, ...]) -> re.Pattern:
+    """Any of the markers, longer ones first."""
+    return re.compile("|".join(map(re.escape, sorted(markers, key=len, reverse=True))))
+
+
 def assigned_blocks(text: str, markers: list[str]) -> list[tuple[str, int, int | None]]:
     """(marker, begin, end) of the block after each place of a marker, each begin once under its longest marker; end None where it is cut off."""
     found: dict[int, tuple[str, int | None]] = {}
-    for place in re.finditer("|".join(map(re.escape, sorted(markers, key=len, reverse=True))), text):
-        opening = re.compile(r"[{\[]").search(text, place.end())
+    for place in _any_of(tuple(markers)).finditer(text):
+        opening = _OPENING.search(text, place.end())
         if opening and opening.start() not in found:
             found[opening.start()] = (place[0], balanced_end(text, opening.start()))
     return [(marker, begin, end) for begin, (marker, end) in found.items()]
 
 
+#: Characters of blocks that a task sends at once; a longer block makes a batch of its own.
+_CHARACTERS = 1 << 20
+
+
 def script_blocks(pages: DataFrame, markers: list[str] = MARKERS) -> DataFrame:
     """page_id, marker, begin, end, complete, block: brackets assigned in a page (page_id, html), with their place in it.
 
@@ -79,16 +92,25 @@ def script_blocks(pages: DataFrame, markers: list[str] = MARKERS) -> DataFrame:
     """
     kind = dict(pages.dtypes)["page_id"]
 
+    names = ["page_id", "marker", "begin", "end", "complete", "block"]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, text in zip(batch.column("page_id"), batch.column("html").to_pylist()):
-                found = assigned_blocks(text or "", markers)
-                if found:
-                    n, ends = len(found), [e for _, _, e in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([page_id.as_py()] * n, page_id.type), pa.array([m for m, _, _ in found]), pa.array([b for _, b, _ in found], pa.int32()), pa.array(ends, pa.int32()), pa.array([e is not None for e in ends]), pa.array([text[b:e] if e else None for _, b, e in found], pa.string())],
-                        names=["page_id", "marker", "begin", "end", "complete", "block"],
-                    )
+            id_type, rows, size = batch.schema.field("page_id").type, [], 0
+
+            def packed() -> pa.RecordBatch:
+                types = (id_type, pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+            for page_id, text in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                for marker, begin, end in assigned_blocks(text or "", markers):
+                    rows.append((page_id, marker, begin, end, end is not None, text[begin:end] if end else None))
+                    size += (end or begin) - begin
+                    if size >= _CHARACTERS:
+                        yield packed()
+                        rows, size = [], 0
+            if rows:
+                yield packed()
 
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, marker string, begin int, end int, complete boolean, block string")
 
@@ -96,6 +118,15 @@ def script_blocks(pages: DataFrame, markers: list[str] = MARKERS) -> DataFrame:
 _JSON = re.compile(r'\s*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)(?=[\s,\]}]|\Z))')
 
 
+#: A string that may hold JSON itself.
+_INNER = re.compile(r"\s*[{\[]")
+
+
+def _unquoted(string: str) -> str:
+    """What a string of JSON says; only one with a backslash needs decoding."""
+    return json.loads(string, strict=False) if "\\" in string else string[1:-1]
+
+
 def read_json(text: str) -> list[dict]:
     """The nodes of a JSON text in document order; none where it isn't JSON. Strings that hold JSON objects or lists are opened in their place."""
     nodes: list[dict] = []
@@ -116,7 +147,7 @@ def read_json(text: str) -> list[dict]:
 
     def opened(value: str) -> bool:
         """Puts the nodes of a string that holds JSON below this place."""
-        if not re.match(r"\s*[{\[]", value):
+        if not _INNER.match(value):
             return False
         inner = read_json(value)
         if not inner:
@@ -149,9 +180,9 @@ def read_json(text: str) -> list[dict]:
         elif mark == ":" and expects == "colon":
             expects = "value"
         elif string and expects in ("key", "open"):
-            key, expects = json.loads(string, strict=False), "colon"
+            key, expects = _unquoted(string), "colon"
         elif (string or scalar) and expects in ("value", "first"):
-            value = json.loads(string, strict=False) if string else scalar
+            value = _unquoted(string) if string else scalar
             if not (string and opened(value)):
                 add("string" if string else "null" if scalar == "null" else "boolean" if scalar in ("true", "false") else "number", None if scalar == "null" else value)
             expects = "more"
@@ -190,30 +221,46 @@ def add_values(nodes: list[dict]) -> None:
             n["value"] = None if value is None else _with_unit(value, first(UNIT_KEYS))
         if n["parent"] is not None:
             below.setdefault(n["parent"], []).append(n)
-            n["parent_key"], n["parent_path"] = nodes[n["parent"]]["key"], nodes[n["parent"]]["path"]
+    for n in nodes:
+        n["lists"] = 0
+        if n["parent"] is not None:
+            above = nodes[n["parent"]]
+            n["parent_key"], n["parent_path"], n["top"] = above["key"], above["path"], above["parent"]
+            if above["kind"] == "list":
+                n["lists"] = above["lists"] + 1
 
 
-_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), **dict.fromkeys(("key", "path", "place", "kind", "text", "shape", "value", "parent_key", "parent_path"), pa.string())}
+_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), **dict.fromkeys(("key", "path", "place", "kind", "text", "shape", "value", "parent_key", "parent_path"), pa.string()), "top": pa.int32(), "lists": pa.int32()}
 
 
 def json_nodes(blocks: DataFrame) -> DataFrame:
     """JSON texts (page_id, ord, json) as rows of their nodes; texts that aren't JSON have none.
 
     page_id, ord, node, parent, depth, last, key, path, place, kind, text (of scalars), shape (scalar, object or list), value (of small records and
-    lists too), and the parent's key and path. A path has the keys from the root, a place also the numbers of lists' members. A key that repeats in one object
+    lists too), the parent's key and path, top (the parent's parent) and lists (how many lists directly enclose the node, one in another). A path has the keys from the root, a place also the numbers of lists' members. A key that repeats in one object
     keeps all its values.
     """
     types = dict(blocks.dtypes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, place, text in zip(batch.column("page_id"), batch.column("ord"), batch.column("json").to_pylist()):
+            id_type, ord_type, ids, places, some = batch.schema.field("page_id").type, batch.schema.field("ord").type, [], [], []
+
+            def packed(to: int) -> pa.RecordBatch:
+                made = [pa.array([v if v is None or v.isascii() else _whole(v) for v in (n.get(c) for n in some[:to])] if t == pa.string() else [n.get(c) for n in some[:to]], t) for c, t in _TYPES.items()]
+                return pa.RecordBatch.from_arrays([pa.array(ids[:to], id_type), pa.array(places[:to], ord_type), *made], names=["page_id", "ord", *_TYPES])
+
+            for page_id, place, text in zip(batch.column("page_id").to_pylist(), batch.column("ord").to_pylist(), batch.column("json").to_pylist()):
                 nodes = read_json(text or "")
                 add_values(nodes)
-                for at in range(0, len(nodes), _NODES):
-                    some = nodes[at : at + _NODES]
-                    columns = [pa.array([page_id.as_py()] * len(some), page_id.type), pa.array([place.as_py()] * len(some), place.type)]
-                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array([_whole(n.get(c)) for n in some], t) for c, t in _TYPES.items()]], names=["page_id", "ord", *_TYPES])
+                some += nodes
+                ids += [page_id] * len(nodes)
+                places += [place] * len(nodes)
+                while len(some) >= _NODES:
+                    yield packed(_NODES)
+                    ids, places, some = ids[_NODES:], places[_NODES:], some[_NODES:]
+            if some:
+                yield packed(len(some))
 
     columns = ", ".join(f"{c} {'int' if t == pa.int32() else 'string'}" for c, t in _TYPES.items())
     return blocks.select("page_id", "ord", "json").mapInArrow(run, f"page_id {types['page_id']}, ord {types['ord']}, {columns}")
@@ -223,18 +270,23 @@ def json_nodes(blocks: DataFrame) -> DataFrame:
 _NODES = 20_000
 
 
-def _whole(value):
+def _whole(value: str) -> str:
     """A text with a lone surrogate as the replacement character, as no column can hold one."""
-    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(value, str) and not value.isascii() else value
+    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 _BLOCK = ["page_id", "ord"]
 
 
+def _earliest(keys: list[str], shape: str) -> Column:
+    """Of a group's nodes of one shape, the one under the earliest of the keys, as a struct with its value."""
+    place = F.array_position(F.array(*map(F.lit, keys)), F.col("key"))
+    return F.min(F.when((place > 0) & (F.col("shape") == shape) & F.col("value").isNotNull(), F.struct(place, F.col("node"), F.col("value"))))
+
+
 def _first(keys: list[str], shape: str) -> Column:
     """Of a group's nodes of one shape, the value under the earliest of the keys."""
-    place = F.array_position(F.array(*map(F.lit, keys)), F.col("key"))
-    return F.min(F.when((place > 0) & (F.col("shape") == shape) & F.col("value").isNotNull(), F.struct(place, F.col("node"), F.col("value"))))["value"]
+    return _earliest(keys, shape)["value"]
 
 
 def _words(key: Column) -> Column:
@@ -251,7 +303,7 @@ def product_pairs(nodes: DataFrame) -> DataFrame:
     place. A site's own state and null, empty or unknown shapes give nothing.
     """
     entries = F.collect_list(F.when(F.col("parent_key").rlike(SPEC_MAPS) & F.col("key").isNotNull() & ~F.col("key").rlike(NO_SPECS) & F.col("value").isNotNull(), F.struct("node", F.col("key").alias("name"), "value")))
-    told = nodes.filter(F.col("parent").isNotNull() & ~F.coalesce("parent_path", F.lit("")).rlike(SYSTEM)).groupBy(*_BLOCK, "parent").agg(
+    told = nodes.filter(F.col("parent").isNotNull() & ~F.coalesce("parent_path", F.lit("")).rlike(SYSTEM)).repartition("page_id").groupBy(*_BLOCK, "parent").agg(
         _first(NAME_KEYS, "scalar").alias("name"), _first(MIN_KEYS, "scalar").alias("low"), _first(MAX_KEYS, "scalar").alias("high"), _first(VALUE_KEYS, "scalar").alias("plain"), _first(HOLDER_KEYS, "object").alias("held"),
         _first(LIST_KEYS, "list").alias("listed"), _first(UNIT_KEYS, "scalar").alias("unit"), entries.alias("entries"),
     )
@@ -273,14 +325,18 @@ def only_item(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     Where a list has two records or more that name a product, and at least one of these names the page's item, the list's other members go
     with all below them. Keys compare in compact form, without regard to case.
     """
-    named = nodes.filter(F.col("text").isNotNull()).groupBy(*_BLOCK, F.col("parent").alias("node")).agg(_first(IDENTITY_KEYS, "scalar").alias("identity")).filter("identity is not null")
-    lists = nodes.filter("kind = 'list'").select(*_BLOCK, F.col("node").alias("parent"))
-    members = nodes.filter(F.col("parent").isNotNull()).select(*_BLOCK, "node", "parent", "last", "kind").join(lists, [*_BLOCK, "parent"])
-    records = members.filter("kind = 'object'").join(named, [*_BLOCK, "node"]).join(keys.select("page_id", "item").distinct(), "page_id")
     compact = lambda c: F.lower(compact_key(c))
-    matched = F.contains(compact(F.col("identity")), compact(F.col("item"))) & (compact(F.col("item")) != "")
-    records = records.groupBy(*_BLOCK, "parent", "node").agg(F.max(matched).alias("matched"))
-    scoped = records.groupBy(*_BLOCK, "parent").agg(F.count(F.lit(1)).alias("n"), F.max("matched").alias("any")).filter("n >= 2 and any")
-    keeps = records.filter("matched").select(*_BLOCK, "parent", "node")
-    gone = members.join(scoped.select(*_BLOCK, "parent"), [*_BLOCK, "parent"]).join(keeps, [*_BLOCK, "parent", "node"], "left_anti").select(*_BLOCK, F.col("node").alias("_from"), F.col("last").alias("_to"))
-    return nodes.join(gone, [(nodes[c] == gone[c]) for c in _BLOCK] + [nodes["node"].between(gone["_from"], gone["_to"])], "left_anti")
+    items = keys.groupBy("page_id").agg(F.collect_set(compact(F.col("item"))).alias("_items")).hint("merge")
+    # a list's members, and the others with their parent: a member's own texts stand with it, as an object's members are no list's
+    is_member = F.col("lists") > 0
+    placed = nodes.repartition("page_id").withColumn("_of", F.when(is_member, F.col("node")).otherwise(F.col("parent")))
+    told = placed.withColumn("_identity", _earliest(IDENTITY_KEYS, "scalar").over(Window.partitionBy(*_BLOCK, "_of"))["value"])
+    named = told.join(items, "page_id", "left").withColumn("_record", is_member & (F.col("kind") == "object") & F.col("_identity").isNotNull() & F.col("_items").isNotNull())
+    identity = F.when(F.col("_record"), compact(F.col("_identity")))
+    matched = named.withColumn("_matched", F.coalesce(F.exists("_items", lambda i: F.contains(identity, i) & (i != "")), F.lit(False)))
+    of_list = Window.partitionBy(*_BLOCK, "parent")
+    scoped = (F.count(F.when(F.col("_record"), 1)).over(of_list) >= 2) & F.max("_matched").over(of_list)
+    gone = matched.withColumn("_to", F.when(is_member & ~F.col("_matched") & scoped, F.col("last")))
+    # spans of nodes lie in one another or apart, so the farthest end begun so far tells whether a node lies in one
+    reached = gone.withColumn("_reached", F.max("_to").over(Window.partitionBy(*_BLOCK).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return reached.filter("_reached is null or _reached < node").select(*nodes.columns)

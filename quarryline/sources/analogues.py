@@ -8,6 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows in as many parts as the session shuffles into: a narrow table is a file of few splits, and what is written over it is wide."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 LABELS = ["Rated voltage", "Rated current", "Net weight", "Width", "Operating temperature", "Housing material", "Degree of protection", "Approvals", "Colour", "Frobnication index"]
 
 
@@ -46,7 +52,7 @@ def spec_page(part: DataFrame) -> DataFrame:
         F.lit('</b></dd></dl><div data-part-number="'), key, F.lit('" data-weight=\''), size, F.lit(' kg\' hidden>Weight: '), size,
         F.lit(' kg</div><img src="/i/'), key, F.lit('.jpg" srcset="/i/'), key, F.lit('-1.webp 1x, /i/'), key, F.lit('-2.webp 2x"><a href="/files/'), key, F.lit('.pdf">Datasheet</a><p>Voltage: '), size, F.lit(" V</p></body></html>"),
     )
-    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return spread(part, "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 def nested_table_page(part: DataFrame) -> DataFrame:
@@ -56,7 +62,7 @@ def nested_table_page(part: DataFrame) -> DataFrame:
         F.lit("<body><script>var t='</p><table>';</script><div>Kind: <b>"), F.col("p_type"), F.lit("</b><p>Voltage: "), size, F.lit(" V<p>Weight: "), size, F.lit(" kg<ul><li>One<li>Two: "), key,
         F.lit("</ul>tail</div><table><tr><th>Outer<td>A "), F.col("p_brand"), F.lit("<table><tr><td>Inner<td>"), key, F.lit("</table> B<tr><td>Last</td><td>x &amp; y<br>z</table></body>"),
     )
-    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return spread(part, "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 def state_page(part: DataFrame) -> DataFrame:
@@ -67,7 +73,7 @@ def state_page(part: DataFrame) -> DataFrame:
         F.lit('<script>var a = "}"; window.__INITIAL_STATE__ = {"note":"} ] \\" {","deep":[[[{"product":{"list":['), record(key), F.lit(","), record(other),
         F.lit(']}}]]],"config":"{\\"attributes\\":{\\"mainColour\\":\\"'), F.col("p_brand"), F.lit('\\"}}"};</script><script>dataLayer.push({"cut":[1,{"a":"'), key, F.lit('"}]</script>'),
     )
-    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("p_"), key).alias("item"))
+    return spread(part, "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("p_"), key).alias("item"))
 
 
 def spec_prose(lineitem: DataFrame) -> DataFrame:
@@ -89,4 +95,4 @@ def offer_page(part: DataFrame) -> DataFrame:
         F.lit('window.productData = {"list":[{"name":"'), F.col("p_name"), F.lit('","sku":"P-'), key, F.lit('","url":"/p/'), key, F.lit('?a=1&amp;b=2"},{"href":"javascript:go()","name":"no"},{"link":"item-'), other, F.lit('.html","name":"next"}],"path":"x y"};</script>'),
         F.lit("<form action='/find'><input name=q value='"), key, F.lit("'><input type=HIDDEN name=lang value=en><input type=submit></form><div><form method=POST action='/cart'><select name=qty><option>1</select><textarea name=note></textarea></form></div>"),
     )
-    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("p "), key).alias("item"))
+    return spread(part, "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("p "), key).alias("item"))

@@ -1,8 +1,8 @@
 """Pages as trees: one row for each element and text, numbered in document order, so containment is a range and text is counted once.
 
 ``page_nodes`` reads a page's tags once with a stack. Node numbers rise in document order; ``last`` is a node's last descendant, so b lies
-in a exactly if a.node < b.node <= a.last. ``block``, ``cell``, ``row`` and ``grid`` are the nearest enclosing block, table cell, table row and
-table. What follows is joins and groups over these numbers.
+in a exactly if a.node < b.node <= a.last. ``block``, ``cell``, ``row``, ``grid`` and ``form`` are the nearest enclosing block, table cell, table row,
+table and form. What follows is joins and groups over these numbers.
 
 Elements whose end tag may be left out (p, li, dt, dd, tr, td, ...) end where the next one of their kind begins or what holds them ends; other
 open elements end with their parent. An end tag that matches nothing goes, and none but a table's own ends a cell. Scripts and styles hold one
@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -41,17 +41,17 @@ _P = frozenset(["p"])
 _HOLDS_P = frozenset("table td th caption template button object".split())
 
 
-_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), "tag": pa.string(), "attributes": pa.map_(pa.string(), pa.string()), "text": pa.string(), "begin": pa.int32(), "end": pa.int32(), "block": pa.int32(), "cell": pa.int32(), "row": pa.int32(), "grid": pa.int32(), "trail": pa.int64()}
-_KINDS = {**dict.fromkeys(BLOCKS, (0,)), **dict.fromkeys(_CELLS, (0, 1)), "tr": (0, 2), "table": (0, 3)}
+_TYPES = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "last": pa.int32(), "tag": pa.string(), "within": pa.string(), "attributes": pa.map_(pa.string(), pa.string()), "text": pa.string(), "begin": pa.int32(), "end": pa.int32(), "block": pa.int32(), "cell": pa.int32(), "row": pa.int32(), "grid": pa.int32(), "form": pa.int32(), "trail": pa.int64()}
+_KINDS = {**dict.fromkeys(BLOCKS, (0,)), "form": (0, 4), **dict.fromkeys(_CELLS, (0, 1)), "tr": (0, 2), "table": (0, 3)}
 
 
 def _node_columns(html: str) -> dict[str, list]:
     """The nodes of one page, in document order, column by column."""
     out: dict[str, list] = {name: [] for name in _TYPES}
-    numbers, parents, depths, lasts, tags, attributes, texts, begins, ends, *near, trails = out.values()
+    numbers, parents, depths, lasts, tags, withins, attributes, texts, begins, ends, *near, trails = out.values()
     stack: list[int] = []
-    #: The open blocks, cells, rows and tables.
-    open_ = ([], [], [], [])
+    #: The open blocks, cells, rows, tables and forms.
+    open_ = ([], [], [], [], [])
 
     def add(tag: str, begin: int, end: int, given: list | None, text: str | None) -> None:
         number = len(numbers)
@@ -60,6 +60,7 @@ def _node_columns(html: str) -> dict[str, list]:
         depths.append(len(stack))
         lasts.append(number)
         tags.append(tag)
+        withins.append(tags[stack[-1]] if stack else None)
         attributes.append(given)
         texts.append(text)
         begins.append(begin)
@@ -133,13 +134,13 @@ def read_nodes(html: str) -> list[dict]:
     return [dict(zip(columns, row)) for row in zip(*columns.values())]
 
 
-_SCHEMA = "node int, parent int, depth int, last int, tag string, attributes map<string,string>, text string, begin int, end int, block int, cell int, row int, grid int, trail long"
+_SCHEMA = "node int, parent int, depth int, last int, tag string, within string, attributes map<string,string>, text string, begin int, end int, block int, cell int, row int, grid int, form int, trail long"
 #: Characters of pages that a task turns into one Arrow batch; a longer page makes a batch of its own.
 _CHARACTERS = 1 << 20
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """page_id, node, parent, depth, last, tag, attributes, text, begin, end, block, cell, row, grid, trail of (page_id, html).
+    """page_id, node, parent, depth, last, tag, within (the parent's tag), attributes, text, begin, end, block, cell, row, grid, form, trail of (page_id, html).
 
     Texts are nodes with the tag ``#text``, as written; a line break is a text of one space. ``begin`` and ``end`` are places in the
     page; ``trail`` is a hash of the tags and classes from the root down to a node, so nodes of like place in pages of one layout share it.
@@ -172,32 +173,35 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 def inside(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Pairs of nodes of which the second lies in the first, as outer_node and the second's columns: a join by page with a range."""
     spans = outer.select("page_id", F.col("node").alias("outer_node"), F.col("last").alias("_to"))
-    return inner.join(spans, "page_id").filter((F.col("node") > F.col("outer_node")) & (F.col("node") <= F.col("_to"))).drop("_to")
+    # the planner takes pages for as small as their files, so it would hand all spans to every task
+    return inner.join(spans.hint("merge"), "page_id").filter((F.col("node") > F.col("outer_node")) & (F.col("node") <= F.col("_to"))).drop("_to")
 
 
-def _said(texts: DataFrame, by: str) -> DataFrame:
-    """page_id, node, text: the texts of each node ``by``, joined in document order and cleaned; empty ones go.
+def _holders(nodes: DataFrame, by: str, holds: Column, *columns: str) -> DataFrame:
+    """page_id, node, the columns of the node, text: for each node that ``holds`` the texts ``by`` it, joined in document order and cleaned.
 
-    Exploding an array of one keeps the joined text, and the cleaned one, from being computed anew by each use of it.
+    A node and its texts meet in one group, so a page is read once; ``page_id`` alone places them, so what groups by page next moves nothing.
+    Texts without such a node make a group of their own, whose node and columns are null. Exploding an array of one keeps the joined text
+    from being computed anew by each use of it.
     """
-    grouped = texts.groupBy("page_id", F.col(by).alias("of")).agg(F.array_sort(F.collect_list(F.struct("node", "text"))).alias("parts"))
-    joined = grouped.select("page_id", F.col("of").alias("node"), F.explode(F.array(F.array_join(F.transform("parts", lambda x: x["text"]), ""))).alias("raw"))
-    return joined.select("page_id", "node", F.explode(F.filter(F.array(clean_text(F.col("raw"))), lambda t: t != "")).alias("text"))
+    is_text = F.col("text").isNotNull()
+    of = F.when(is_text, F.col(by)).otherwise(F.col("node"))
+    placed = nodes.filter(is_text | holds).select("page_id", of.alias("of"), F.when(~is_text, F.struct("node", *columns)).alias("head"), F.when(is_text, F.struct("node", "text")).alias("part"))
+    grouped = placed.repartition("page_id").groupBy("page_id", "of").agg(F.max("head").alias("head"), F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = grouped.select("page_id", F.col("of").alias("node"), "head", F.explode(F.array(F.array_join(F.transform("parts", lambda x: x["text"]), ""))).alias("raw"))
+    return joined.select("page_id", "node", *[F.col("head")[c].alias(c) for c in columns], F.explode(F.array(clean_text(F.col("raw")))).alias("text"))
 
 
 def block_texts(nodes: DataFrame) -> DataFrame:
     """page_id, node, tag, text of each block's own text: what lies in a block within it counts there alone. Scripts, styles and empty blocks go."""
-    hidden = nodes.filter(F.col("tag").isin(*_RAW)).select("page_id", F.col("node").alias("parent"))
-    said = _said(nodes.filter(F.col("text").isNotNull()).join(hidden, ["page_id", "parent"], "left_anti"), "block")
-    tags = nodes.filter(F.col("tag").isin(*BLOCKS)).select("page_id", "node", "tag")
-    return said.join(tags, ["page_id", "node"], "left").select("page_id", "node", "tag", "text")
+    shown = nodes.filter(~F.coalesce(F.col("within"), F.lit("")).isin(*_RAW))
+    return _holders(shown, "block", F.col("tag").isin(*BLOCKS), "tag").filter("text <> ''").select("page_id", "node", "tag", "text")
 
 
 def tree_cells(nodes: DataFrame) -> DataFrame:
     """page_id, grid, row, node, tag, text of the cells of all tables; a nested table's text belongs to its own cells alone."""
-    said = _said(nodes.filter(F.col("text").isNotNull() & F.col("cell").isNotNull()), "cell")
-    cells = nodes.filter(F.col("tag").isin(*_CELLS) & F.col("row").isNotNull()).select("page_id", "grid", "row", "node", "tag")
-    return cells.join(said, ["page_id", "node"], "left").select("page_id", "grid", "row", "node", "tag", F.coalesce("text", F.lit("")).alias("text"))
+    inner = nodes.filter(F.col("text").isNull() | F.col("cell").isNotNull())
+    return _holders(inner, "cell", F.col("tag").isin(*_CELLS) & F.col("row").isNotNull(), "grid", "row", "tag").filter("row is not null").select("page_id", "grid", "row", "node", "tag", "text")
 
 
 def tree_rows(nodes: DataFrame) -> DataFrame:

@@ -221,3 +221,48 @@ def test_forms(spark):
     html = "<form method=PUT><input name=a><div><form action=/in><input name=b type=radio value=1></form></div><select name=c></select><input name=''></form><form></form>"
     got = page_forms(page_nodes(pages(spark, html, None))).orderBy("node").collect()
     assert [(r.action, r.method, [tuple(f) for f in r.fields]) for r in got] == [("", "get", [("a", "text", None), ("c", "select", None)]), ("/in", "get", [("b", "radio", "1")]), ("", "get", [])]
+
+
+# ---------------------------------------------------------------- growth
+
+
+def big_pages(spark, page, n=40):
+    from quarryline.sources import analogues
+
+    rows = [(k, f"part {k}", "Brand#1", "SMALL STEEL", k % 50, 1.0) for k in range(n)]
+    return getattr(analogues, page)(spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1))
+
+
+@pytest.mark.parametrize("page", ["spec_page", "nested_table_page", "state_page", "offer_page"])
+def test_pages_written_over_one_split_are_spread(spark, page):
+    assert big_pages(spark, page).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_page_goes_to_every_task_and_none_is_read_twice(spark):
+    nodes, offers = page_nodes(big_pages(spark, "nested_table_page")), big_pages(spark, "offer_page")
+    blocks = script_blocks(offers, ["productItemsTableData", "window.productData"]).filter("complete").selectExpr("page_id", "begin AS ord", "block AS json")
+    tables, keys = embedded_tables(json_nodes(blocks)), offers.select("page_id", "item")
+    made = [block_texts(nodes), tree_rows(nodes), tables, rows_of_items(tables, keys), structured_urls(json_nodes(blocks)), page_forms(page_nodes(offers)), product_pairs(only_item(json_nodes(blocks), keys))]
+    for frame in made:
+        assert "BroadcastHashJoin" not in plan_of(frame) and "BroadcastNestedLoopJoin" not in plan_of(frame)
+        assert plan_of(frame).count("MapInArrow") <= 2
+    assert "BroadcastHashJoin" not in plan_of(inside(nodes, nodes))
+
+
+def test_json_nodes_of_many_pages_keep_their_page(spark):
+    blocks = spark.createDataFrame([(k, k % 2, json.dumps(list(range(k % 7)) + ["\ud800"])) for k in range(9000)], "page_id long, ord int, json string").coalesce(1)
+    got = {(r.page_id, r.ord, r.n) for r in json_nodes(blocks).groupBy("page_id", "ord").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(k, k % 2, k % 7 + 2) for k in range(9000)}
+
+
+def test_records_in_lists_of_lists_and_several_blocks(spark):
+    text = json.dumps([[{"sku": "A1", "specs": {"for": "A1"}}, {"sku": "B2", "specs": {"for": "B2"}, "list": [{"sku": "C3", "specs": {"in": "B2"}}, {"sku": "A1", "specs": {"in": "B2 too"}}]}]])
+    blocks = spark.createDataFrame([(1, 0, text), (1, 1, text), (2, 0, text), (3, 0, text)], "page_id long, ord int, json string")
+    nodes = only_item(json_nodes(blocks), spark.createDataFrame([(1, "a1"), (2, "zz"), (2, "b2")], "page_id long, item string"))
+    got = sorted((r.page_id, r.ord, r.value) for r in product_pairs(nodes).collect())
+    everything = ["A1", "B2", "B2", "B2 too"]
+    assert got == [(1, 0, "A1"), (1, 1, "A1"), (2, 0, "B2"), (2, 0, "B2"), (2, 0, "B2 too"), *[(3, 0, v) for v in everything]]

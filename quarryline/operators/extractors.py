@@ -24,7 +24,8 @@ def placed_texts(pages: DataFrame) -> DataFrame:
     cleaned = kept.select("page_id", "node", "trail", F.explode(F.filter(F.array(clean_text(F.col("text"))), lambda t: (t != "") & (F.length(t) <= LONGEST))).alias("value"))
     before = F.lag("value").over(Window.partitionBy("page_id").orderBy("node"))
     labelled = cleaned.withColumn("label", F.coalesce(F.lower(before), F.lit("")))
-    return labelled.join(pages.select("page_id", "host").distinct(), "page_id").select("page_id", "host", "node", "trail", "label", "value")
+    # the planner takes pages for as small as their files, so it would hand all of them to every task; the same holds below
+    return labelled.join(pages.select("page_id", "host").distinct().hint("merge"), "page_id").select("page_id", "host", "node", "trail", "label", "value")
 
 
 def learned_extractors(texts: DataFrame, accepted: DataFrame, least_pages: int = 2, least_share: float = 0.8) -> DataFrame:
@@ -34,7 +35,7 @@ def learned_extractors(texts: DataFrame, accepted: DataFrame, least_pages: int =
     the smaller label and trail. Places on fewer than ``least_pages`` pages, or with a smaller share than ``least_share``, teach nothing.
     """
     taught = accepted.select("page_id", "field", F.lower(clean_text(F.col("value"))).alias("wanted")).filter("page_id is not null and field is not null and wanted <> ''").distinct()
-    met = texts.join(taught, "page_id").withColumn("right", F.lower("value") == F.col("wanted"))
+    met = texts.join(taught.hint("merge"), "page_id").withColumn("right", F.lower("value") == F.col("wanted"))
     by_page = met.groupBy("host", "field", "trail", "label", "page_id").agg(F.max("right").alias("right"))
     places = by_page.groupBy("host", "field", "trail", "label").agg(F.count(F.when(F.col("right"), 1)).alias("n_pages"), F.count(F.lit(1)).alias("n_seen"))
     sound = places.withColumn("share", F.col("n_pages") / F.col("n_seen")).filter((F.col("n_pages") >= least_pages) & (F.col("share") >= least_share))
@@ -51,5 +52,5 @@ def extracted(texts: DataFrame, extractors: DataFrame) -> DataFrame:
 def extractor_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     """field, n, found, right: on pages with a known value, how many gave a value and how many gave that one."""
     known = truth.select("page_id", "field", F.lower(clean_text(F.col("value"))).alias("wanted")).distinct()
-    met = known.join(found, ["page_id", "field"], "left")
+    met = known.join(found.hint("merge"), ["page_id", "field"], "left")
     return met.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("found"), F.count(F.when(F.lower("value") == F.col("wanted"), 1)).alias("right"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE
+from ..functions.text import SPACE, let
 
 _NUMBER = r"^[-+]?\d+(?:\.\d+)?"
 #: A legend that allows free text is no list of codes.
@@ -75,10 +75,13 @@ def parse_legend(description: Column) -> Column:
     text = F.trim(F.regexp_replace(description, f"[{SPACE}]+", " "))
     pattern = F.lit(r"(\d+)\s*[-–]\s*(.+?)(?=\s+\d+\s*[-–]\s|$)")
     made = F.transform(F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("c"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("l")), lambda x: F.struct(x["c"].alias("code"), F.trim(x["l"]).alias("label"), plain(x["l"]).alias("plain")))
-    named = F.filter(made, lambda x: x["plain"] != "")
-    names = F.transform(named, lambda x: x["plain"])
-    once = F.filter(named, lambda x, i: F.array_position(names, x["plain"]) == i + 1)
-    return F.when(~description.rlike(FREE_TEXT) & (F.size(made) >= 2) & (F.size(once) >= 2), once)
+
+    def options(made: Column) -> Column:
+        named = F.filter(made, lambda x: x["plain"] != "")
+        once = let(named, lambda n: let(F.transform(n, lambda x: x["plain"]), lambda names: F.filter(n, lambda x, i: F.array_position(names, x["plain"]) == i + 1)))
+        return F.when(F.size(made) >= 2, let(once, lambda o: F.when(F.size(o) >= 2, o)))
+
+    return F.when(~description.rlike(FREE_TEXT), let(made, options))
 
 
 def is_enum(description: Column) -> Column:
@@ -108,12 +111,21 @@ def _voltage_fits(label: Column, volts: Column) -> Column:
 
 def match_legend(description: Column, value: Column) -> Column:
     """The option that a raw value means: by its plain label, by volts, or (in legends without volts) by its code; else null."""
-    legend = parse_legend(description)
-    in_volts = F.exists(legend, lambda x: x["label"].rlike(r"(?i)\bV\b"))
     dotted = F.regexp_replace(value, "^([^,]*),", "$1.")
     tagged = F.regexp_extract(dotted, r"(?i)(-?\d+(?:\.\d+)?)\s*V\b", 1).try_cast("double")
-    volts = F.coalesce(tagged, F.when(in_volts, F.regexp_extract(F.trim(dotted), r"^(-?\d+(?:\.\d+)?)$", 1).try_cast("double")))
-    by_label = F.get(F.filter(legend, lambda x: x["plain"] == plain(value)), F.lit(0))
-    by_volts = F.get(F.filter(legend, lambda x: _voltage_fits(x["label"], volts)), F.lit(0))
-    by_code = F.when(~in_volts & F.trim(value).rlike(r"^\d+$"), F.get(F.filter(legend, lambda x: x["code"] == F.trim(value)), F.lit(0)))
-    return F.coalesce(by_label, by_volts, by_code)
+
+    def chosen(legend: Column) -> Column:
+        in_volts = F.exists(legend, lambda x: x["label"].rlike(r"(?i)\bV\b"))
+        volts = F.coalesce(tagged, F.when(in_volts, F.regexp_extract(F.trim(dotted), r"^(-?\d+(?:\.\d+)?)$", 1).try_cast("double")))
+        seen = F.struct(in_volts.alias("in_volts"), volts.alias("volts"), plain(value).alias("plain"), F.trim(value).alias("trimmed"))
+
+        def option(seen: Column) -> Column:
+            first = lambda fits: F.get(F.filter(legend, fits), F.lit(0))
+            by_volts = F.when(seen["volts"].isNotNull(), first(lambda x: _voltage_fits(x["label"], seen["volts"])))
+            by_code = F.when(~seen["in_volts"] & seen["trimmed"].rlike(r"^\d+$"), first(lambda x: x["code"] == seen["trimmed"]))
+            return F.coalesce(first(lambda x: x["plain"] == seen["plain"]), by_volts, by_code)
+
+        return let(seen, option)
+
+    # a legend is read once for a row, not anew for each use and each of its options
+    return let(parse_legend(description), chosen)

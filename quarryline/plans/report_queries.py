@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, devices, layout, normalize
 from ..sources import delimited
-from ..sources.analogues import spec_attributes
+from ..sources.analogues import spec_attributes, spread
 from ..sources.tables import read_table
 from .base import query
 from .product_queries import SPECS
@@ -57,7 +57,7 @@ def _(spark, d):
     volts = F.concat(F.col("p_size").cast("string"), F.when(key % 4 == 0, " V").otherwise(""))
     words = F.element_at(F.array(F.lit("ac?dc"), F.lit("AC, alternating current"), F.lit("3")), (key % 3 + 1).cast("int"))
     text = F.when(key % 2 == 0, F.lit("Range 1 - < 10 V 2 - 10 V to 25 V 3 - greater than 25 V")).otherwise(F.lit("Kind 1 - AC 2 - AC alternating current 3 - DC"))
-    return read_table(spark, d, "part").select("p_partkey", compare.match_legend(text, F.when(key % 2 == 0, volts).otherwise(words))["code"].alias("code"))
+    return spread(read_table(spark, d, "part"), "p_partkey").select("p_partkey", compare.match_legend(text, F.when(key % 2 == 0, volts).otherwise(words))["code"].alias("code"))
 
 
 # ---------------------------------------------------------------- layout

@@ -184,9 +184,10 @@ def field_conflicts(candidates: DataFrame) -> DataFrame:
     rows = candidates.withColumns({"points": priority, "why": reason, "key": comparable(F.col("value")), "sure": F.coalesce(F.col("confidence"), fallback)})
     values = rows.groupBy("item", "field", "key").agg(
         F.min_by("value", "ord").alias("value"), F.max("sure").alias("confidence"), F.max("points").alias("priority"), F.min_by("why", F.struct(-F.col("points"), "ord")).alias("reason"),
-        F.sort_array(F.collect_set("parser")).alias("parsers"), F.min("ord").alias("first_seen"), F.min(F.struct(-F.col("points"), "ord")).alias("best"),
+        F.sort_array(F.collect_set("parser")).alias("parsers"), F.min("ord").alias("first_seen"), F.min(F.struct(-F.col("points"), "ord", "key")).alias("best"),
     )
-    each, order = Window.partitionBy("item", "field"), Window.partitionBy("item", "field").orderBy(F.desc("selected"), F.desc("priority"), "first_seen")
+    # of values with equal points at one place only the smallest is selected
+    each, order = Window.partitionBy("item", "field"), Window.partitionBy("item", "field").orderBy(F.desc("selected"), F.desc("priority"), "first_seen", "key")
     marked = values.withColumn("n", F.count(F.lit(1)).over(each)).withColumn("selected", F.col("best") == F.min("best").over(each)).filter("n > 1")
     return marked.withColumn("rank", F.row_number().over(order)).select("item", "field", "rank", "value", "confidence", "priority", "reason", F.array_join("parsers", ",").alias("parsers"), "selected")
 

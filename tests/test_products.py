@@ -171,3 +171,20 @@ def test_issues_name_the_first_items(spark):
     rows = spark.createDataFrame([(i, "High" if i == 3 else "Low", "Gap: 5%; Other" if i == 7 else "Gap: 4%") for i in range(30)] + [(99, "Low", "")], "item int, priority string, reasons string")
     got = {r.issue: r for r in gates.issue_rows(rows).collect()}
     assert got["Gap"]["items"] == "; ".join(map(str, range(25))) + "; +5 more" and got["Gap"].severity == "High" and got["Other"]["items"] == "7" and set(got) == {"Gap", "Other"}
+
+
+def test_one_of_tied_values_is_selected(spark):
+    from quarryline.operators.attributes import field_conflicts
+
+    rows = [(1, "protection", "IP63", 7, "official", "generic", "scan", 0.95), (1, "protection", "IP37", 7, "official", "generic", "scan", 0.95), (1, "protection", "IP20", 9, "official", "generic", "scan", 0.95)]
+    candidates = spark.createDataFrame(rows, "item long, field string, value string, ord long, source_type string, parser string, stage string, confidence double")
+    got = field_conflicts(candidates).orderBy("rank").select("rank", "value", "selected").collect()
+    assert [tuple(r) for r in got] == [(1, "IP37", True), (2, "IP63", False), (3, "IP20", False)]
+
+
+def test_a_legend_is_read_once(spark):
+    from quarryline.operators.compare import match_legend
+
+    plan = spark.createDataFrame([("Kind 1 - AC 2 - DC", "dc")], "d string, v string").select(match_legend(F.col("d"), F.col("v"))["code"].alias("code"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("(.+?)(?=") <= 2
+    assert [r.code for r in plan.collect()] == ["2"]

@@ -87,9 +87,16 @@ def label_spans(texts: DataFrame, labels: DataFrame) -> DataFrame:
 def mined_specs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, begin, end, key, label, value: the first quantity of a label's kind between it and the next label, with its kind of current and condition.
 
-    A label that is ruled out by what stands before it or behind it, or that has no such quantity, gives nothing. Windows are read once
-    for each distinct one.
+    A label that is ruled out by what stands before it or behind it, or that has no such quantity, gives nothing. Texts, and windows in them,
+    are read once for each distinct one; texts meet their documents again by their digests.
     """
+    digest = F.sha2("text", 256)
+    told = texts.filter("text is not null")
+    mined = _mined(told.select(digest.alias("doc_id"), "text").distinct(), labels).withColumnRenamed("doc_id", "_digest")
+    return told.select("doc_id", digest.alias("_digest")).join(mined, "_digest").select("doc_id", "begin", "end", "key", "label", "value")
+
+
+def _mined(texts: DataFrame, labels: DataFrame) -> DataFrame:
     spans = label_spans(texts, labels)
     out_before = F.col("not_before").isNotNull() & F.expr("regexp_like(concat(before, ' ', label), concat('(?i)', coalesce(not_before, '')))")
     out_after = F.col("not_after").isNotNull() & F.expr("regexp_like(substring(after, 1, 40), concat('(?i)', coalesce(not_after, '')))")

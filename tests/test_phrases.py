@@ -78,3 +78,13 @@ def test_too_many_labels(spark, monkeypatch):
     with pytest.raises(ValueError):
         label_spans(texts(spark, "x"), labels(spark, ("a", None, "x", False), ("b", None, "y", False)))
     assert label_spans(texts(spark, "x"), labels(spark, ("a", None, "x", False))).select(F.max("end")).first()[0] == 1
+
+
+def test_equal_texts_are_mined_once(spark):
+    from quarryline.operators.spec_miner import default_labels, mined_specs
+
+    rows = [(k, "The net weight is 5 kg." if k % 2 else "Leakage current: 7 mA") for k in range(50)] + [(None, "The net weight is 5 kg."), (60, None), (1, "Leakage current: 7 mA")]
+    made = mined_specs(spark.createDataFrame(rows, "doc_id long, text string"), default_labels(spark))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Aggregate" in part for part in plan.split("MapInArrow")[1:])
+    assert sorted((str(r.doc_id), r.key, r.value) for r in made.collect()) == sorted((str(i), *(("Net weight", "5 kg") if "weight" in t else ("Leakage current", "7 mA"))) for i, t in rows if t)

@@ -34,17 +34,29 @@ def found_columns(placed: DataFrame, gap: float = 8.0) -> DataFrame:
     return numbered.groupBy(*_PAGE, "column").agg(F.min("x").alias("left"), F.max("x_end").alias("right"))
 
 
+def _with_columns(placed: DataFrame, gap: float) -> DataFrame:
+    """The items with ``columns``, the (column, left, right) of their page as in :func:`found_columns`: what full rows reach before a gap is the end of a column."""
+    order = Window.partitionBy(*_PAGE).orderBy("x", "x_end")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    end = F.when(F.col("full"), F.col("x_end"))
+    seen = placed.withColumn("_reached", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = F.col("full") & F.coalesce(F.col("x") > F.col("_reached") + gap, F.col("_reached").isNull())
+    met = seen.withColumns({"_lefts": F.collect_list(F.when(starts, F.col("x"))).over(whole), "_rights": F.collect_list(F.when(starts, F.col("_reached"))).over(whole), "_last": F.max(end).over(whole)})
+    columns = F.transform("_lefts", lambda left, i: F.struct(i.cast("int").alias("column"), left.alias("left"), F.coalesce(F.get("_rights", i), F.col("_last")).alias("right")))
+    return met.withColumn("columns", columns).drop("_reached", "_lefts", "_rights", "_last")
+
+
 def table_grid(items: DataFrame, line: float = 3.0, gap: float = 8.0) -> DataFrame:
     """doc, page, row, column, text: what stands in each row and column, items from left to right; an item over several columns stands in each."""
-    placed = placed_items(items, line)
-    columns = found_columns(placed, gap)
-    met = placed.join(columns, _PAGE).filter((F.col("x") <= F.col("right")) & (F.coalesce("x_end", "x") >= F.col("left")))
-    texts = F.array_sort(F.collect_list(F.struct("x", "y", "text")))
-    return met.groupBy(*_PAGE, "row", "column").agg(texts.alias("parts")).select(*_PAGE, "row", "column", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
+    placed = _with_columns(placed_items(items, line), gap)
+    touched = F.filter("columns", lambda c: (F.col("x") <= c["right"]) & (F.col("x_end") >= c["left"]))
+    met = placed.select(*_PAGE, "row", "x", "y", "text", F.explode(touched).alias("c"))
+    texts = F.sort_array(F.collect_list(F.struct("x", "y", "text")))
+    return met.groupBy(*_PAGE, "row", "c.column").agg(F.array_join(F.transform(texts, lambda p: p["text"]), " ").alias("text"))
 
 
 def _joined(parts: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), " ")
+    return F.array_join(F.transform(F.sort_array(parts), lambda p: p["text"]), " ")
 
 
 def key_rows(grid: DataFrame) -> DataFrame:
@@ -57,16 +69,19 @@ def key_rows(grid: DataFrame) -> DataFrame:
     keyed = grid.withColumn("_key", F.when((F.col("column") == 0) & looks_like_key(F.col("text")), F.col("row")))
     order = Window.partitionBy(*_PAGE).orderBy("row").rangeBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn("record", F.max("_key").over(order))
-    pages = placed.filter("record is not null").select(*_PAGE).distinct()
-    heads = placed.filter("record is null").groupBy(*_PAGE, "column").agg(_joined(F.collect_list(F.struct("row", "text"))).alias("header"))
-    own = pages.join(heads, _PAGE, "left").groupBy(*_PAGE).agg(F.map_from_entries(F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "header")))).alias("own"))
-    carried = F.last(F.when(F.size("own") > 0, F.col("own")), True).over(Window.partitionBy("doc").orderBy("page"))
-    headed = own.withColumn("headers", carried).select(*_PAGE, "headers")
-    cells = placed.filter("record is not null").groupBy(*_PAGE, "record", "column").agg(_joined(F.collect_list(F.struct("row", "text"))).alias("value"))
-    # the key is what its own row says; continued lines of the first column belong to its value alone
-    keys = placed.filter("_key is not null").select(*_PAGE, "record", F.col("text").alias("key"))
-    rows = cells.join(keys, [*_PAGE, "record"]).join(headed, _PAGE)
-    return rows.select(*_PAGE, "record", "key", "column", F.try_element_at("headers", F.col("column")).alias("header"), "value").filter("column > 0")
+    # the key is what its own row says; continued lines of the first column belong to its value alone; cells without a record are headers
+    said = F.max(F.when(F.col("_key").isNotNull(), F.col("text"))).alias("_said")
+    cells = placed.groupBy(*_PAGE, "record", "column").agg(_joined(F.collect_list(F.struct("row", "text"))).alias("value"), said)
+    within = Window.partitionBy(*_PAGE).orderBy("record", "column").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = cells.withColumn("_tabled", F.max("record").over(within).isNotNull()).filter("_tabled").drop("_tabled")
+    # in this order a page's headers come before its records, and a record's key before its other cells
+    on = Window.partitionBy("doc").orderBy("page", "record", "column").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.col("record").isNull()
+    marked = cells.withColumns({"key": F.last("_said", True).over(on), "_from": F.last(F.when(head, F.col("page")), True).over(on)})
+    above = Window.partitionBy("doc", "column").orderBy("page", "record").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.withColumn("_head", F.last(F.when(head, F.struct("page", "value")), True).over(above)).filter("record is not null and column > 0")
+    header = F.when(F.col("_head.page") == F.col("_from"), F.col("_head.value"))
+    return rows.select(*_PAGE, "record", "key", "column", header.alias("header"), "value")
 
 
 def key_columns(grid: DataFrame) -> DataFrame:

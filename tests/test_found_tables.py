@@ -48,3 +48,17 @@ def test_columns_by_key(spark):
     rows = [(1, 1, t, x, x + 20, y) for t, x, y in [("Type", 0.0, 90.0), ("AB-1", 50.0, 90.0), ("AB-2", 100.0, 90.0), ("ab-2", 150.0, 90.0), ("Weight", 0.0, 70.0), ("1 kg", 50.0, 70.0), ("2 kg", 100.0, 70.0), ("3 kg", 150.0, 70.0), ("(net)", 50.0, 60.0)]]
     rows += [(2, 1, t, x, x + 20, y) for t, x, y in [("Type", 0.0, 90.0), ("AB-1", 50.0, 90.0), ("Weight", 0.0, 70.0), ("1 kg", 50.0, 70.0)]]
     assert [(r.doc, r.key, r.label, r["value"]) for r in key_columns(table_grid(items(spark, rows))).collect()] == [(1, "AB-1", "Weight", "1 kg (net)")]
+
+
+def test_a_page_is_met_without_joins(spark):
+    rows = items(spark, [(1, 1, "AB-1", 10.0, 40.0, 80.0), (1, 1, "5 mm", 100.0, 120.0, 80.0)])
+    plan = key_rows(table_grid(rows.repartition(4, "doc")))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_headers_of_the_last_page_that_has_them(spark):
+    page = lambda p, top: [(1, p, t, x, x + 20, 100.0) for t, x in top] + [(1, p, t, x, x + 20, 50.0) for t, x in [(f"AB-{p}", 10.0), ("1", 100.0), ("2", 200.0)]]
+    # page 2 has no header in its third column and doesn't take that of page 1; page 4 has only a header, and no table
+    rows = page(1, [("No", 10.0), ("W", 100.0), ("H", 200.0)]) + page(2, [("No", 10.0), ("X", 100.0)]) + page(3, []) + [(1, 4, "Y", 100.0, 120.0, 100.0)] + page(5, [])
+    got = sorted((r.page, r.key, r.column, r.header, r["value"]) for r in key_rows(table_grid(items(spark, rows))).collect() if r.column == 2)
+    assert got == [(1, "AB-1", 2, "H", "2"), (2, "AB-2", 2, None, "2"), (3, "AB-3", 2, None, "2"), (5, "AB-5", 2, None, "2")]

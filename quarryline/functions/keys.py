@@ -61,17 +61,19 @@ def has_placeholder(template: Column) -> Column:
     return F.coalesce(template.rlike(PLACEHOLDER), F.lit(False))
 
 
-def fill_template(template: Column, key: Column) -> Column:
-    """The template with all ten placeholders filled in, url-encoded."""
+def fill_template(template: Column | str, key: Column) -> Column:
+    """The template with all ten placeholders filled in, url-encoded; of a text given as such only those that it has are worked out."""
     after = after_colon(key)
     values = {
         "{part}": encode_component(key), "{partUpper}": encode_component(F.upper(key)), "{partLower}": encode_component(F.lower(key)), "{partCompact}": encode_component(compact_key(key)),
         "{partSlashBraces}": slash_braces(key), "{partAfterColon}": encode_component(after), "{partAfterColonLower}": encode_component(F.lower(after)),
         "{partAfterColonCompact}": encode_component(compact_key(after)), "{partSnake}": encode_component(_joined(key, "_")), "{partDash}": encode_component(_joined(key, "-")),
     }
+    filled = F.lit(template) if isinstance(template, str) else template
     for name, value in values.items():
-        template = F.replace(template, F.lit(name), value)
-    return template
+        if not isinstance(template, str) or name in template:
+            filled = F.replace(filled, F.lit(name), value)
+    return filled
 
 
 def path_has_key(path: Column, key: Column) -> Column:

@@ -55,9 +55,12 @@ def learned_template(url: Column, key: Column) -> Column:
 
 def localized_urls(key: Column, templates: dict[str, str]) -> Column:
     """A map from en and de to the filled templates; de is left out where it is the same page as en."""
-    filled = {loc: fill_template(F.lit(t), key) for loc, t in templates.items() if loc in ("en", "de")}
-    known = {loc: F.when(has_placeholder(F.lit(templates[loc])), u) for loc, u in filled.items()}
-    if "en" in known and "de" in known:
-        known["de"] = F.when(~same_normalized_url(known["de"], known["en"]), known["de"])
-    entries = F.filter(F.array(*[F.when(u.isNotNull(), F.struct(F.lit(loc).alias("key"), u.alias("value"))) for loc, u in sorted(known.items())]), lambda e: e.isNotNull())
-    return F.map_from_entries(entries)
+    known = {loc: F.when(has_placeholder(F.lit(t)), fill_template(t, key)) for loc, t in templates.items() if loc in ("en", "de")}
+
+    def listed(urls: dict[str, Column]) -> Column:
+        return F.map_from_entries(F.filter(F.array(*[F.when(u.isNotNull(), F.struct(F.lit(loc).alias("key"), u.alias("value"))) for loc, u in sorted(urls.items())]), lambda e: e.isNotNull()))
+
+    if len(known) < 2:
+        return listed(known)
+    # both are filled once, however often the comparison reads them
+    return let(F.struct(*[u.alias(loc) for loc, u in known.items()]), lambda u: listed({"en": u["en"], "de": F.when(~same_normalized_url(u["de"], u["en"]), u["de"])}))

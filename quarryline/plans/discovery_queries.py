@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import is_official_url
 from ..operators import discovery, reports
+from ..sources.analogues import spread
 from ..sources.tables import read_table
 from .base import query
 
@@ -61,7 +62,7 @@ def _(spark, d):
 @query("localized_urls", "SELECT p_partkey, locale, 'https://' || CASE locale WHEN 'en' THEN 'a' ELSE 'b' END || '.example/' || lower(replace(p_name, ' ', '-')) AS url FROM part, (VALUES ('en'), ('de')) AS l(locale)")
 def _(spark, d):
     made = discovery.localized_urls(F.col("p_name"), {"en": "https://a.example/{partDash}", "de": "https://b.example/{partDash}", "fr": "https://c.example/{part}"})
-    return read_table(spark, d, "part").select("p_partkey", F.explode(made).alias("locale", "url"))
+    return spread(read_table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", F.explode(made).alias("locale", "url"))
 
 
 @query("value_counts", "SELECT p_type AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_type) AS INTEGER) AS rank FROM part GROUP BY 1")

@@ -45,6 +45,8 @@ CONFLICT_LADDER = [
     (None, None, "generated", r"(?i)pdf|document|datasheet|manual", 690, "parsed document priority"), (None, None, "generated", None, 620, "generated/normalized value priority"),
     (None, None, "cache", None, 520, "cached source priority"), (None, None, "distributor", None, 300, "distributor fallback priority"),
 ]
+#: Rows, and bytes of a row's texts, up to which a relation of distinct texts or rules is broadcast.
+FEW_ROWS, SHORT_TEXT = 20_000, 1_000
 _OPTIONAL = {"group": "string", "source_url": "string", "source_type": "string", "parser": "string", "stage": "string", "confidence": "double"}
 
 
@@ -56,15 +58,33 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def with_read(rows: DataFrame, text: str, read: Callable[[Column], Column], name: str) -> DataFrame:
+def broadcast_if_few(rows: DataFrame, most: int = FEW_ROWS, longest: int = SHORT_TEXT) -> DataFrame:
+    """The rows, marked for a broadcast where they are ``most`` at most and each of their texts has ``longest`` bytes at most; else as they are, for a join.
+
+    Looking takes a job over the rows, of which no more than ``most`` + 1 come to the driver, long ones as null. Without it both sides of a
+    join are dealt out by its key, and few keys are few tasks.
+    """
+    if rows.isStreaming:
+        return rows
+    texts = [c for c, kind in rows.dtypes if kind == "string"]
+    short = F.lit(True) if not texts else F.coalesce(sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in texts), F.lit(0)) <= longest, F.lit(True))
+    seen = rows.select(F.when(short, F.struct(*rows.columns)).alias("r")).limit(most + 1).collect()
+    if len(seen) > most or any(x.r is None for x in seen):
+        return rows
+    return F.broadcast(rows.sparkSession.createDataFrame([x.r for x in seen], rows.schema))
+
+
+def with_read(rows: DataFrame, text: str, read: Callable[[Column], Column], name: str, ahead: bool = True) -> DataFrame:
     """The rows with what ``read`` makes of a text column, computed once for each distinct text and joined back; null texts have null.
 
-    Worth it where reading costs more than a join and texts repeat, as values of attributes do.
+    Worth it where reading costs more than a join and texts repeat, as values of attributes do. Few short texts are found by a job ``ahead`` and
+    then broadcast, so that the rows stay where they are.
     """
     distinct = rows.filter(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct()
+    known = broadcast_if_few(distinct) if ahead else distinct
     # exploding an array of one keeps the result from being computed anew for each of its fields
-    made = distinct.select("_text", F.explode(F.array(read(F.col("_text")))).alias(name))
-    return rows.join(made, F.col(text) == F.col("_text"), "left").drop("_text")
+    made = known.select("_text", F.explode(F.array(read(F.col("_text")))).alias(name))
+    return rows.join(made if known is distinct else F.broadcast(made), F.col(text) == F.col("_text"), "left").drop("_text")
 
 
 def comparable(value: Column) -> Column:
@@ -72,10 +92,12 @@ def comparable(value: Column) -> Column:
 
 
 def first_of(rows: DataFrame, keys: list[Column], order: list[str | Column], within: list[str]) -> DataFrame:
-    """The first row of each key within a group, by grouped minimum (so repeats meet already before the shuffle)."""
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    best = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")
-    return rows.groupBy(*within, *named).agg(best).select("_row.*")
+    """The first row of each key within a group, by row numbers after one exchange by group.
+
+    Each row travels once, with the columns that are used later, and is sorted once; groups by ``within`` that follow need no exchange.
+    """
+    first = F.row_number().over(Window.partitionBy(*within, *keys).orderBy(*order))
+    return rows.repartition(*within).withColumn("_first", first).filter("_first = 1").drop("_first")
 
 
 def dedupe_attributes(attributes: DataFrame, with_source_url: bool = False) -> DataFrame:
@@ -163,7 +185,8 @@ def field_candidates(attributes: DataFrame) -> DataFrame:
     )
     # values are clean already, so case alone is left to compare
     key = F.lower(F.concat_ws("|", F.col("value"), _text("source_url"), _text("parser")))
-    return first_of(made, [key], ["ord"], ["item", "field"])
+    # an item's fields stay together, for what is asked of the whole item
+    return first_of(made, [F.col("field"), key], ["ord"], ["item"])
 
 
 def field_resolutions(candidates: DataFrame) -> DataFrame:
@@ -213,7 +236,7 @@ def field_health_summary(health: DataFrame) -> DataFrame:
 
 def fill_missing(normalized: DataFrame, resolutions: DataFrame, fields: list[str]) -> DataFrame:
     """Wide fields of each item, where empty filled from the resolutions; values that are there stay."""
-    wide = resolutions.groupBy("item").pivot("field", fields).agg(F.first("selected"))
+    wide = resolutions.filter(F.col("field").isin(*fields)).groupBy("item").pivot("field", fields).agg(F.first("selected"))
     renamed = wide.select(F.col("item"), *[F.col(f).alias(f"_{f}") for f in fields])
     joined = normalized.join(renamed, "item", "left")
     return joined.select("item", *[F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"_{f}")).alias(f) for f in fields])

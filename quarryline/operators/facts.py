@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import clean_text, compact_key
 from ..functions.units import max_in_unit
-from .attributes import first_of, with_read
+from .attributes import broadcast_if_few, first_of, with_read
 from .ontology import plain_label
 from .spec_miner import LABEL_SCHEMA, label_spans
 
@@ -41,9 +42,10 @@ def fact_index(facts: DataFrame) -> DataFrame:
     """
     rows = with_read(facts.filter("item is not null and key is not null"), "value", clean_text, "clean").filter("clean <> ''").withColumn("value", F.col("clean")).drop("clean")
     bare = compact_key(F.col("value"))
-    rows = rows.withColumns({"comparable": F.when(bare == "", F.col("value")).otherwise(bare), "rank": fact_rank(F.col("source_kind"), F.col("source_type"), F.col("confidence"))})
-    keys = [F.coalesce(F.col(c), F.lit("")) for c in ("comparable", "source_kind", "source_url", "rule")]
-    return first_of(rows, keys, ["ord"], ["item", "key"])
+    compared = F.when(bare == "", F.col("value")).otherwise(bare)
+    keys = [compared, *[F.coalesce(F.col(c), F.lit("")) for c in ("source_kind", "source_url", "rule")]]
+    # what is made of other columns is made after the exchange
+    return first_of(rows, keys, ["ord"], ["item", "key"]).withColumns({"comparable": compared, "rank": fact_rank(F.col("source_kind"), F.col("source_type"), F.col("confidence"))})
 
 
 def store_index(index: DataFrame, name: str, buckets: int = 64) -> DataFrame:
@@ -54,8 +56,8 @@ def store_index(index: DataFrame, name: str, buckets: int = 64) -> DataFrame:
 
 def best_facts(index: DataFrame) -> DataFrame:
     """The best fact of each item and key: the greatest rank, of equal ones the first (``ord``)."""
-    best = F.min_by(F.struct(*[c for c in index.columns if c not in ("item", "key")]), F.struct(-F.col("rank"), "ord")).alias("_best")
-    return index.groupBy("item", "key").agg(best).select("item", "key", "_best.*")
+    place = F.row_number().over(Window.partitionBy("item", "key").orderBy(-F.col("rank"), "ord"))
+    return index.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def facts_with_value(index: DataFrame, values: DataFrame) -> DataFrame:
@@ -79,10 +81,16 @@ def fact_words(index: DataFrame) -> DataFrame:
 
 def search_facts(words: DataFrame, questions: DataFrame) -> DataFrame:
     """question, item, key, ord, fact, hits, rank: facts that hold all the words of ``questions`` (question, text), through the inverted index."""
-    asked = questions.select("question", F.explode(F.array_distinct(F.filter(F.split(plain_label(F.col("text")), " "), lambda w: w != ""))).alias("word"))
-    needed = asked.groupBy("question").agg(F.count(F.lit(1)).alias("needed"))
-    met = words.join(asked, "word").groupBy("question", "item", "key", "ord", "fact").agg(F.count(F.lit(1)).alias("hits"), F.max("rank").alias("rank"))
-    return met.join(needed, "question").filter("hits = needed").drop("needed")
+    words_of = F.array_distinct(F.filter(F.split(plain_label(F.col("text")), " "), lambda w: w != ""))
+    asked = questions.select("question", F.explode(words_of).alias("word")).distinct()
+    needed = asked.groupBy("question").agg(F.collect_set("word").alias("needed"))
+    # a question is looked up by its word that fewest questions have
+    shared = asked.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(shared, "word").groupBy("question").agg(F.min_by("word", F.struct("n", "word")).alias("word")).join(needed, "question")
+    rarest, wanted = broadcast_if_few(rarest.select("question", "word", "needed")), broadcast_if_few(asked.select("word").distinct())
+    held = words.join(wanted, "word", "left_semi").groupBy("item", "key", "ord", "fact").agg(F.collect_set("word").alias("held"), F.max("rank").alias("rank"))
+    met = held.withColumn("word", F.explode("held")).join(rarest, "word").filter(F.size(F.array_except("needed", "held")) == 0)
+    return met.select("question", "item", "key", "ord", "fact", F.size("needed").cast("long").alias("hits"), "rank")
 
 
 def _label_rules(attributes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -112,10 +120,10 @@ def resolve_columns(attributes: DataFrame, index: DataFrame, rules: DataFrame) -
     of an attribute's label. ``reads`` is text, number, yes_no or unit. Of one priority the better fact counts, then the surer and earlier
     attribute. Cells keep where they come from. Rules without a column, and values that don't read, give nothing.
     """
-    rules = rules.filter("column is not null")
+    rules = broadcast_if_few(rules.filter("column is not null"))
     by_fact = rules.filter("source = 'fact'").join(best_facts(index).withColumnRenamed("key", "name"), "name")
     by_fact = by_fact.select("item", "column", "priority", "reads", "unit", F.concat(F.lit("fact "), "name").alias("rule"), "value", "source_kind", "source_url", "confidence", "rank", "ord")
-    labelled = _label_rules(attributes, rules)
+    labelled = broadcast_if_few(_label_rules(attributes, rules))
     rows = attributes.select("item", "ord", F.col("name").alias("label"), "value", "source_url", "confidence", "source_type").join(labelled, "label")
     rank = fact_rank(F.lit("attribute"), F.col("source_type"), F.col("confidence"))
     by_label = rows.select("item", "column", "priority", "reads", "unit", F.concat(F.lit("label "), "name").alias("rule"), "value", F.lit("attribute").alias("source_kind"), "source_url", "confidence", rank.alias("rank"), "ord")

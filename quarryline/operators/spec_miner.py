@@ -102,7 +102,7 @@ def _mined(texts: DataFrame, labels: DataFrame) -> DataFrame:
     out_after = F.col("not_after").isNotNull() & F.expr("regexp_like(substring(after, 1, 40), concat('(?i)', coalesce(not_after, '')))")
     digits = F.regexp_replace("after", r"(?i)^\s*(?:[):=|,;.]|-(?!\d)|\b(?:is|are|of|value|range|rated value)\b|\s)+", "")
     open_ = spans.filter(~out_before & ~out_after & F.col("after").rlike(r"\d")).withColumn("window", digits)
-    read = with_read(open_, "window", parse_quantities, "quantities")
+    read = with_read(open_, "window", parse_quantities, "quantities", ahead=False)
     first = F.get(F.filter("quantities", lambda q: q["kind"] == F.col("kind")), F.lit(0))
     found = read.select("doc_id", "begin", "end", "key", "label", F.explode(F.array(first)).alias("q")).filter("q is not null")
     flow = F.when(~F.col("q.raw").rlike(r"(?i)V\s*(?:AC|DC)\b"), F.col("q.current_type"))

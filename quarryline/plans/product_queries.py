@@ -100,9 +100,10 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = _specs(spark, d).filter("name in ('Rated voltage', 'Rated current', 'Net weight', 'Width', 'Degree of protection', 'Colour')")
-    value = F.regexp_replace("value", "( at .*| DC .*)$", "")
-    own = F.when(F.col("name").isin("Degree of protection", "Colour"), None).otherwise(units.max_in_unit(value, "lb"))
-    return rows.select("ord", own.alias("pounds"), units.max_in_unit(value, "inch").alias("inches"), units.max_in_unit(value, "mA").alias("milliamps"))
+    rows = rows.withColumn("value", F.regexp_replace("value", "( at .*| DC .*)$", ""))
+    read = attributes.with_read(rows, "value", lambda v: F.struct(*[units.max_in_unit(v, u).alias(name) for name, u in (("pounds", "lb"), ("inches", "inch"), ("milliamps", "mA"))]), "read")
+    own = F.when(F.col("name").isin("Degree of protection", "Colour"), None).otherwise(F.col("read.pounds"))
+    return read.select("ord", own.alias("pounds"), "read.inches", "read.milliamps")
 
 
 def _rules(spark):

@@ -65,7 +65,7 @@ def _(spark, d):
 
 def _positioned(spark, d):
     """Line items as a page's cells: an order is a page, lines are rows, three texts stand near three headers."""
-    rows = read_table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    rows = spread(read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     cells = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x"), t.cast("string").alias("text")) for x, t in ((52, F.col("l_partkey")), (148, F.col("l_suppkey")), (157, F.lit("kg")), (330, F.col("l_linenumber")))])).alias("c")
     y = 700 - F.col("l_linenumber") * 12 + F.when(F.col("l_suppkey") % 2 == 0, 0.4).otherwise(-0.4)
     items = rows.select(F.lit(1).alias("doc"), F.col("l_orderkey").alias("page"), cells, y.alias("y")).select("doc", "page", "c.text", "c.x", "y")

@@ -62,13 +62,14 @@ def broadcast_if_few(rows: DataFrame, most: int = FEW_ROWS, longest: int = SHORT
     """The rows, marked for a broadcast where they are ``most`` at most and each of their texts has ``longest`` bytes at most; else as they are, for a join.
 
     Looking takes a job over the rows, of which no more than ``most`` + 1 come to the driver, long ones as null. Without it both sides of a
-    join are dealt out by its key, and few keys are few tasks.
+    join are dealt out by its key, and few keys are few tasks. The rows are gathered by an aggregate: a plain take runs one part, then four, and so
+    on, which is slow where making the rows is dear and few are left.
     """
     if rows.isStreaming:
         return rows
     texts = [c for c, kind in rows.dtypes if kind == "string"]
     short = F.lit(True) if not texts else F.coalesce(sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in texts), F.lit(0)) <= longest, F.lit(True))
-    seen = rows.select(F.when(short, F.struct(*rows.columns)).alias("r")).limit(most + 1).collect()
+    seen = rows.select(F.struct(F.when(short, F.struct(*rows.columns)).alias("r")).alias("x")).limit(most + 1).agg(F.collect_list("x")).first()[0]
     if len(seen) > most or any(x.r is None for x in seen):
         return rows
     return F.broadcast(rows.sparkSession.createDataFrame([x.r for x in seen], rows.schema))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.quantities import is_plausible_celsius, temperature_range
 from ..functions.text import clean_text, compact_key, let
 from ..functions.urls import host_of, origin_of
-from .attributes import FIELDS, _text, _whole, with_read
+from .attributes import FIELDS, _text, _whole, broadcast_if_few
 from .normalize import ELECTRICAL, WEIGHTS, colour_text, material_text, short_number
 
 #: Points of evidence by its source, for documents, and for words of its label.
@@ -38,6 +38,7 @@ _N = r"\d+(?:[.,]\d+)?"
 _RANGE = rf"{_N}(?:\s*(?:\.{{2,3}}|-|to)\s*{_N})?"
 _PATTERNS = {key: pattern for key, _, pattern, _ in FIELDS}
 _IMAGE = r"(?i)((?:https?://|/)[^\s\"'<>]+\.(?:png|jpe?g|webp)(?:\?[^\s\"'<>]*)?)"
+_IMAGE_END = r"(?i)\.(?:png|jpe?g|webp)"
 
 
 def _spelled(spellings: list[str]) -> str:
@@ -118,27 +119,49 @@ def _readings(label: Column, value: Column) -> Column:
     return F.filter(F.array(*[of(key, name, pattern) for key, name, pattern, _ in FIELDS if key in READERS]), lambda r: F.coalesce(r["value"] != "", F.lit(False)))
 
 
-def _points(field: Column, label: Column) -> Column:
+def _clean(text: Column) -> Column:
+    """:func:`clean_text` of a column; what has only ASCII, no entity and no run of spaces is clean but for its ends."""
+    return F.when(~text.rlike("[^ -~]|&|  "), F.trim(text)).otherwise(clean_text(text))
+
+
+def _says(label: Column, value: Column) -> Column:
+    """Whether :func:`_readings` of a clean label and value can find anything: one pattern of all labels, plain materials and marks, each of which begins a word with a letter.
+
+    It may be true of a text that is then read in vain, but is never false of one that says something.
+    """
+    words = [p for key, _, p, _ in FIELDS if key in READERS] + PLAIN_MATERIALS + [mark for mark, _ in CERTIFICATES]
+    return F.concat(label, F.lit(" "), value).rlike(rf"(?i)\b(?=[a-z])(?:{'|'.join(words)})")
+
+
+def _source_points() -> Column:
     source = F.coalesce(F.create_map(*[F.lit(x) for p in SOURCES.items() for x in p])[F.col("source_type")], F.lit(OTHER_SOURCE))
-    of_document = F.lower(F.concat_ws(" ", "parser", "stage", "group")).rlike("pdf|document")
-    out = source + F.when(of_document, DOCUMENT_POINTS).otherwise(0) + F.coalesce(F.floor(F.col("confidence") * 10 + 0.5), F.lit(0))
+    place = F.lower(F.concat_ws(" ", "parser", "stage", "group"))
+    of_document = F.contains(place, F.lit("pdf")) | F.contains(place, F.lit("document"))
+    return source + F.when(of_document, DOCUMENT_POINTS).otherwise(0) + F.coalesce(F.floor(F.col("confidence") * 10 + 0.5), F.lit(0))
+
+
+def _label_points(field: Column, label: Column) -> Column:
+    out = F.lit(0)
     for key, pattern, points in LABEL_POINTS:
         out = out + F.when((field == key) & F.lower(label).rlike(pattern), points).otherwise(0)
-    return out.cast("int")
+    return out
 
 
 def evidence_values(evidence: DataFrame) -> DataFrame:
     """item, field, label, value, source_url, confidence, points, ord: of each item and field the reading with most points, then the earliest (of one place the smallest value, then source).
 
     A field is read where its label or value names it; materials and certificates are read from any attribute. Distinct pairs of label and
-    value are read once. Null labels and values count as empty, rows without item go; attributes that say nothing leave no row.
+    value are read once, and only those that name something: others, such as texts that differ in each row, end at one pattern. Null labels and
+    values count as empty, rows without item go; attributes that say nothing leave no row.
     """
-    rows = _whole(evidence).filter(F.col("item").isNotNull()).withColumns({"_label": F.trim(F.concat(_text("group"), F.lit(" "), _text("name")))})
-    rows = rows.withColumn("_said", F.to_json(F.struct(F.col("_label").alias("l"), _text("value").alias("v"))))
-    # the pair travels as one text, so that equal pairs meet once
-    parsed = lambda said: F.from_json(said, "l string, v string")
-    rows = with_read(rows, "_said", lambda said: let(parsed(said), lambda p: let(F.struct(clean_text(p["l"]).alias("l"), clean_text(p["v"]).alias("v")), lambda c: _readings(c["l"], c["v"]))), "_readings")
-    each = rows.withColumn("r", F.explode("_readings")).withColumn("points", _points(F.col("r.field"), F.col("_label")))
+    rows = _whole(evidence).filter(F.col("item").isNotNull()).withColumns({"_label": F.trim(F.concat(_text("group"), F.lit(" "), _text("name"))), "_value": _text("value")})
+    # exploding an array of one keeps the clean texts from being made anew for each use
+    cleaned = lambda pairs: pairs.select("_label", "_value", F.explode(F.array(F.struct(_clean(F.col("_label")).alias("l"), _clean(F.col("_value")).alias("v")))).alias("c"))
+    pairs = cleaned(rows.select("_label", "_value").distinct()).filter(_says(F.col("c.l"), F.col("c.v"))).select("_label", "_value")
+    known = broadcast_if_few(pairs)
+    read = cleaned(known).select("_label", "_value", F.explode(_readings(F.col("c.l"), F.col("c.v"))).alias("r"))
+    read = read.withColumn("_more", _label_points(F.col("r.field"), F.col("_label")))
+    each = rows.join(read if known is pairs else F.broadcast(read), ["_label", "_value"]).withColumn("points", (_source_points() + F.col("_more")).cast("int"))
     sure = F.least(F.coalesce("confidence", F.lit(UNKNOWN)), F.lit(MOST_CONFIDENCE))
     best = F.min_by(F.struct(F.col("r.name").alias("label"), F.col("r.value").alias("value"), "source_url", sure.alias("confidence"), "points", "ord"), F.struct(-F.col("points"), "ord", "r.value", "source_url")).alias("best")
     return each.groupBy("item", F.col("r.field").alias("field")).agg(best).select("item", "field", "best.*")
@@ -150,11 +173,16 @@ def image_values(evidence: DataFrame, items: DataFrame) -> DataFrame:
     ``items``: item, key, hosts (array of the maker's hosts; null or empty where unknown). The url holds the item's key, or lies on the maker's
     host under a telling word; where hosts are known it must lie on one of them or below. Relative urls are completed from the source's.
     """
-    rows = _whole(evidence).join(items.select("item", "key", F.coalesce("hosts", F.array().cast("array<string>")).alias("hosts")), "item")
-    found = F.regexp_extract_all(F.concat_ws(" ", "name", "value", "source_url"), F.lit(_IMAGE), F.lit(1))
-    whole = lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/"), F.concat(F.nullif(origin_of(F.col("source_url")), F.lit("")), u)).otherwise(u)
-    each = rows.select("item", "key", "hosts", "ord", "source_url", F.posexplode(found).alias("place", "raw")).withColumn("url", whole(F.col("raw"))).filter("url is not null")
-    host, bare = host_of(F.col("url")), compact_key(F.col("key"))
+    said = F.concat_ws(" ", "name", "value", "source_url")
+    # rows that name no image, and images that can't be the product's, go before anything meets
+    rows = _whole(evidence).filter(said.rlike(_IMAGE_END)).select("item", "ord", "source_url", F.posexplode(F.regexp_extract_all(said, F.lit(_IMAGE), F.lit(1))).alias("place", "raw")).filter(~F.lower("raw").rlike(NO_IMAGE))
+    raw = F.col("raw")
+    whole = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).when(raw.startswith("/"), F.concat(F.nullif(origin_of(F.col("source_url")), F.lit("")), raw)).otherwise(raw)
+    # exploding an array of one keeps a url and its host from being made anew for each use
+    urls = rows.select("item", "ord", "source_url", "place", F.explode(F.array(whole)).alias("url")).filter("url is not null")
+    urls = urls.select("item", "ord", "source_url", "place", "url", F.explode(F.array(host_of(F.col("url")))).alias("host"))
+    each = urls.join(items.select("item", "key", F.coalesce("hosts", F.array().cast("array<string>")).alias("hosts")), "item")
+    host, bare = F.col("host"), compact_key(F.col("key"))
     own = F.exists("hosts", lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h)))
     known = F.size("hosts") > 0
     keyed = (bare != "") & F.contains(compact_key(F.col("url")), bare)
@@ -175,6 +203,40 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+#: What is known of a field; an item's records travel together, as an array.
+_RECORD = ["field", "label", "value", "source_url", "confidence", "points", "from_item"]
+#: Fields that evidence can have: an item's wanted ones of these are bits of a number until they meet what is known.
+_READ = [*READERS, "image"]
+
+
+def _wanted_fields(missing: DataFrame) -> DataFrame:
+    """item, _wanted: arrays of fields, one array for those in _READ and one for each other."""
+    place = F.create_map(*[F.lit(x) for n, key in enumerate(_READ) for x in (key, 1 << n)])[F.col("field")]
+    rows = missing.select("item", "field").dropna().withColumn("_bit", place)
+    bits = rows.filter("_bit is not null").groupBy("item").agg(F.bit_or("_bit").alias("_bits"))
+    of_bits = F.filter(F.array(*[F.when(F.col("_bits").bitwiseAND(1 << n) != 0, key) for n, key in enumerate(_READ)]), lambda f: f.isNotNull())
+    return bits.select("item", of_bits.alias("_wanted")).unionByName(rows.filter("_bit is null").select("item", F.array("field").alias("_wanted")))
+
+
+def _known_and_wanted(missing: DataFrame, values: DataFrame, held: DataFrame | None) -> DataFrame:
+    """item, known (a record for each field that it has), wanted (array of fields), after one exchange by item. What an item holds counts more than what its evidence says."""
+    record = F.struct(*[F.col("item").alias(c) if c == "from_item" else F.col(c) for c in _RECORD])
+    rows = values.select("item", record.alias("_said")).unionByName(_wanted_fields(missing), allowMissingColumns=True)
+    if held is None:
+        rows = rows.withColumn("_held", F.lit(None).cast("struct<field:string,value:string>"))
+    else:
+        rows = rows.unionByName(held.filter((F.col("value") != "") & F.col("item").isNotNull() & F.col("field").isNotNull()).select("item", F.struct("field", "value").alias("_held")), allowMissingColumns=True)
+    packed = rows.groupBy("item").agg(F.collect_list("_said").alias("_said"), F.array_distinct(F.flatten(F.collect_set("_wanted"))).alias("wanted"), F.sort_array(F.collect_set("_held")).alias("_held"))
+    # in order a field's first value is the smallest
+    smallest = let(F.col("_held"), lambda all_: F.filter(all_, lambda h, i: (i == 0) | (F.get(all_, i - 1)["field"] != h["field"])))
+    of_held = {"field": "field", "label": "field", "value": "value"}
+    fixed = {"source_url": F.lit(None).cast("string"), "confidence": F.lit(MOST_CONFIDENCE), "points": F.lit(1000), "from_item": F.col("item")}
+    own = F.transform(smallest, lambda h: F.struct(*[(h[of_held[c]] if c in of_held else fixed[c]).alias(c) for c in _RECORD]))
+    taken = F.col("_held.field")
+    # evidence has a field of an item once
+    return packed.select("item", F.concat(F.filter("_said", lambda r: ~F.array_contains(taken, r["field"])), own).alias("known"), "wanted")
+
+
 def repair_from_evidence(missing: DataFrame, evidence: DataFrame, items: DataFrame | None = None, bases: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """item, field, label, value, source_url, confidence, from_item, round: what fills the ``missing`` (item, field) fields.
 
@@ -183,37 +245,41 @@ def repair_from_evidence(missing: DataFrame, evidence: DataFrame, items: DataFra
     a value comes from the nearest base that has it; of several equally near the one with most points, then the smallest item it comes from, then
     the smallest value. Cycles of bases end, as a filled field isn't filled again. ``items`` (item, and where known key, hosts, conflict) adds images
     and leaves out items whose identity is in conflict: these are neither repaired nor a source for others. Rows may repeat; null items and fields meet nothing.
+
+    Rounds go over one row for an item or base, with all its fields, not over one for each field.
     """
-    wanted, values = missing.select("item", "field").dropna().distinct(), evidence_values(evidence)
-    own = None if held is None else held.filter(F.coalesce("value", F.lit("")) != "").groupBy("item", "field").agg(F.min("value").alias("value"))
-    if items is not None:
-        if {"key", "hosts"} <= set(items.columns):
-            values = values.unionByName(image_values(evidence, items.select("item", "key", "hosts").dropDuplicates(["item"])))
-        if "conflict" in items.columns:
-            barred = items.filter("conflict").select("item").distinct()
-            wanted, values = wanted.join(barred, "item", "left_anti"), values.join(barred, "item", "left_anti")
-            own = own if own is None else own.join(barred, "item", "left_anti")
-    known = values.select("item", "field", "label", "value", "source_url", "confidence", "points", F.col("item").alias("from_item"))
+    values = evidence_values(evidence)
+    if items is not None and {"key", "hosts"} <= set(items.columns):
+        values = values.unionByName(image_values(evidence, items))
+    whole = _known_and_wanted(missing, values, held if bases is not None else None)
+    if items is not None and "conflict" in items.columns:
+        whole = whole.join(items.filter("conflict").select("item").distinct(), "item", "left_anti")
+    of_fields = lambda fields: F.inline(F.filter("known", lambda k: F.array_contains(F.col(fields), k["field"])))
+    columns = ["item", "field", "label", "value", "source_url", "confidence", "from_item"]
     if bases is None:
-        return known.join(wanted, ["item", "field"]).select("item", "field", "label", "value", "source_url", "confidence", "from_item", F.lit(0).alias("round"))
-    if own is not None:
-        # what an item holds counts more than what its evidence says
-        nothing = {"label": F.col("field"), "source_url": F.lit(None).cast("string"), "confidence": F.lit(MOST_CONFIDENCE), "points": F.lit(1000), "from_item": F.col("item")}
-        known = known.join(own, ["item", "field"], "left_anti").unionByName(own.withColumns(nothing).select(*known.columns))
-    known = _kept(known)
-    filled, still = known.join(wanted, ["item", "field"]).withColumn("round", F.lit(0)), wanted.join(known, ["item", "field"], "left_anti")
-    links, news, at = bases.select("item", F.col("base").alias("_base")).dropna().distinct(), known, 0
-    still = _kept(still.join(links, "item", "left_semi"))  # without a base there is nothing to wait for
+        return whole.select("item", of_fields("wanted")).select(*columns, F.lit(0).alias("round"))
+    whole = _kept(whole)
+    filled = whole.select("item", of_fields("wanted")).withColumn("round", F.lit(0))
+    links = bases.select("item", F.col("base").alias("_base")).dropna().distinct()
+    links = links.join(links.groupBy("item").agg((F.count(F.lit(1)) == 1).alias("_single")), "item")
+    # without a base there is nothing to wait for
+    still = _kept(whole.select("item", F.array_except("wanted", "known.field").alias("still")).filter(F.size("still") > 0).join(links, "item"))
+    news, at = whole.select("item", "known"), 0
     while not still.isEmpty():
         at += 1
-        offered = still.join(links, "item").join(news.withColumnRenamed("item", "_base"), ["_base", "field"])
-        best = F.min_by(F.struct("label", "value", "source_url", "confidence", "points", "from_item"), F.struct(-F.col("points"), "from_item", "value")).alias("best")
-        news = _kept(offered.groupBy("item", "field").agg(best).select("item", "field", "best.*"))
+        had = news.filter(F.size("known") > 0).withColumnRenamed("item", "_base")
+        offered = lambda asking: asking.join(had, "_base").select("item", F.filter("known", lambda k: F.array_contains(F.col("still"), k["field"])).alias("known")).filter(F.size("known") > 0)  # noqa: B023, E731
+        # an item with a single base takes what that has; of several bases the best is found for each field
+        best = F.min_by(F.struct(*_RECORD), F.struct(-F.col("points"), "from_item", "value")).alias("best")
+        several = offered(still.filter("not _single")).select("item", F.inline("known")).groupBy("item", "field").agg(best)
+        news = _kept(offered(still.filter("_single")).unionByName(several.groupBy("item").agg(F.collect_list("best").alias("known"))))
         if news.isEmpty():
             break
-        filled = filled.unionByName(news.withColumn("round", F.lit(at)))
-        still = _kept(still.join(news, ["item", "field"], "left_anti"))
-    return filled.drop("points")
+        filled = filled.unionByName(news.select("item", F.inline("known")).withColumn("round", F.lit(at)))
+        met = still.join(news.select("item", F.col("known.field").alias("_got")), "item", "left")
+        left = F.array_except("still", F.coalesce("_got", F.array().cast("array<string>")))
+        still = _kept(met.select("item", left.alias("still"), "_base", "_single").filter(F.size("still") > 0))
+    return filled.select(*columns, "round")
 
 
 #: Fields for which no page is fetched again, and the one that is never retried.

@@ -30,6 +30,30 @@ def test_what_labels_and_values_say(spark):
     assert all(item is not None for item, _ in got)
 
 
+def test_texts_that_say_nothing_are_not_read(spark, monkeypatch):
+    """Many texts that differ in each row go at one pattern; they don't keep the others from being broadcast, and none that says something goes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(repair.broadcast_if_few, "__defaults__", (20, 1_000))
+    noise = [(i, 2, None, "Gallery", f"see /img/p-{i}.png", "u", "official") for i in range(100)]
+    found = repair.evidence_values(evidence(spark, [(1, 1, None, "Weight", "1 kg", "u", "official"), *noise]))
+    assert best(found) == {(1, "weight"): "1 kg"} and "Exchange hashpartitioning(_label" not in found._jdf.queryExecution().executedPlan().toString()
+    said = ["weight 1 kg", "Mat\u00e9riau: x", "a\u00a0steel", "in CE", "IEC\t60947-1", "&#119;eight 1 kg", "type  code AB", "IP65", "ambient&nbsp;temperature -20 to 60 \u00b0C", "(RAL 7035)", "x\u212aweight 2 kg", "made of pvc", "nothing", "", "steelworks", "ULx", "overall 1 x 2 mm"]
+    rows = spark.createDataFrame([(a, b) for a in said for b in said], "l string, v string").select(repair._clean(F.col("l")).alias("l"), repair._clean(F.col("v")).alias("v"), repair.clean_text(F.col("v")).alias("plain"))
+    got = rows.select("v", "plain", repair._says(F.col("l"), F.col("v")).alias("says"), (F.size(repair._readings(F.col("l"), F.col("v"))) > 0).alias("read")).collect()
+    assert all(r.v == r.plain and (r.says or not r.read) for r in got) and {r.says for r in got} == {True, False}
+
+
+def test_rounds_take_fields_of_any_name_and_smallest_held_values(spark):
+    missing = spark.createDataFrame([(i, f) for i in (1, 2, 3, 4) for f in ("weight", "grip", "image")], "item int, field string")
+    held = spark.createDataFrame([(1, "grip", "b"), (1, "grip", "a"), (1, "grip", "a"), (5, "grip", "0"), (5, "weight", "9 kg"), (2, None, "x"), (None, "grip", "x")], "item int, field string, value string")
+    bases = spark.createDataFrame([(2, 1), (3, 2), (4, 1), (4, 5)], "item int, base int")
+    got = repair.repair_from_evidence(missing, evidence(spark, [(1, 1, None, "Weight", "1 kg", "u", "official"), (5, 1, None, "Weight", "5 kg", "u", "official")]), None, bases, held).collect()
+    assert sorted((r["item"], r["field"], r["value"], r["from_item"], r["round"]) for r in got) == [
+        (1, "grip", "a", 1, 0), (1, "weight", "1 kg", 1, 0), (2, "grip", "a", 1, 1), (2, "weight", "1 kg", 1, 1), (3, "grip", "a", 1, 2), (3, "weight", "1 kg", 1, 2), (4, "grip", "a", 1, 1), (4, "weight", "9 kg", 5, 1),
+    ]
+
+
 def test_points_choose_the_reading(spark):
     rows = [
         (1, 1, None, "Gross weight", "3 kg", "u", "official", "pdf", None, 1.0), (1, 2, None, "Net weight", "2 kg", "u", "official", "pdf", None, 0.9), (2, 2, None, "Weight", "5 kg", "u", "official"), (2, 1, None, "Weight", "4 kg", "u", "official"),

@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """The rows in as many parts as the session shuffles into: a narrow table is a file of few splits, and what is written over it is wide."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+#: Rows of a part at most, on average: the sorts of pages of as many lines take about 670 MB of a task.
+ROWS_OF_PART = 250_000
+
+
+def spread(rows: DataFrame, key: str, most: int = ROWS_OF_PART) -> DataFrame:
+    """The rows in as many parts as the session shuffles into: a narrow table is a file of few splits, and what is written over it is wide.
+
+    Larger tables get more parts, of ``most`` rows on average, so that what a task sorts doesn't grow with the table. Counting a table's rows reads only its files' footers.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, -(-rows.count() // most)), key)
 
 
 LABELS = ["Rated voltage", "Rated current", "Net weight", "Width", "Operating temperature", "Housing material", "Degree of protection", "Approvals", "Colour", "Frobnication index"]

@@ -3,6 +3,7 @@
 import random
 
 from quarryline.operators.found_tables import found_columns, key_columns, key_rows, placed_items, table_grid
+from quarryline.sources.analogues import spread
 
 ITEM = "doc int, page int, text string, x double, x_end double, y double, row string"
 
@@ -56,6 +57,12 @@ def test_a_page_is_met_without_joins(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_parts_follow_the_tables_size(spark):
+    rows = spark.range(1_000)
+    assert spread(rows, "id", most=30).rdd.getNumPartitions() == 34 and spread(rows, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread(rows.limit(0), "id", most=30).count() == 0
+
+
 def test_headers_of_the_last_page_that_has_them(spark):
     page = lambda p, top: [(1, p, t, x, x + 20, 100.0) for t, x in top] + [(1, p, t, x, x + 20, 50.0) for t, x in [(f"AB-{p}", 10.0), ("1", 100.0), ("2", 200.0)]]
     # page 2 has no header in its third column and doesn't take that of page 1; page 4 has only a header, and no table

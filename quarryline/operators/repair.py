@@ -5,6 +5,7 @@ Evidence is an attribute relation (item, ord, name, value and the optional colum
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -130,7 +131,13 @@ def _says(label: Column, value: Column) -> Column:
     It may be true of a text that is then read in vain, but is never false of one that says something.
     """
     words = [p for key, _, p, _ in FIELDS if key in READERS] + PLAIN_MATERIALS + [mark for mark, _ in CERTIFICATES]
-    return F.concat(label, F.lit(" "), value).rlike(rf"(?i)\b(?=[a-z])(?:{'|'.join(words)})")
+    return F.concat(label, F.lit(" "), value).rlike(rf"(?i)\b(?={'|'.join(_beginnings(words))})(?:{'|'.join(words)})")
+
+
+def _beginnings(patterns: list[str]) -> list[str]:
+    """The first two letters, or the one before anything else, of all alternatives: most words are none of them, and a look at these is cheap."""
+    parts = [re.sub(r"^\?i?:", "", part) for p in patterns for part in re.split(r"[|()]", p.replace(r"\b", ""))]
+    return sorted({m[0].lower() for part in parts if (m := re.match(r"[A-Za-z](?:[A-Za-z](?![?*{]))?", part))})
 
 
 def _source_points() -> Column:

@@ -54,6 +54,17 @@ def test_rounds_take_fields_of_any_name_and_smallest_held_values(spark):
     ]
 
 
+def test_completeness_meets_each_field_once(spark):
+    from quarryline.operators import devices
+
+    need = spark.createDataFrame([(i, "weight", "preferred") for i in (1, 2, 3, 4, None, 1)], "item int, field string, requirement string")
+    rows = lambda *xs: spark.createDataFrame([(*x[:1], "weight", *x[1:]) for x in xs], "item int, field string, value string")
+    got = devices.completeness(need, rows((1, "a"), (1, "b"), (2, ""), (2, None)), rows((1, "a"), (2, "c"), (3, "d"), (None, "x")), rows((2, "c"), (2, "c"), (None, "x")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
+    assert sorted((r["item"] or 0, r["status"]) for r in got.collect()) == [(0, "missing"), (1, "present"), (1, "present"), (2, "found-after-repair"), (3, "found-after-retry"), (4, "missing")]
+
+
 def test_points_choose_the_reading(spark):
     rows = [
         (1, 1, None, "Gross weight", "3 kg", "u", "official", "pdf", None, 1.0), (1, 2, None, "Net weight", "2 kg", "u", "official", "pdf", None, 0.9), (2, 2, None, "Weight", "5 kg", "u", "official"), (2, 1, None, "Weight", "4 kg", "u", "official"),

@@ -186,8 +186,9 @@ def field_candidates(attributes: DataFrame) -> DataFrame:
     )
     # values are clean already, so case alone is left to compare
     key = F.lower(F.concat_ws("|", F.col("value"), _text("source_url"), _text("parser")))
-    # an item's fields stay together, for what is asked of the whole item
-    return first_of(made, [F.col("field"), key], ["ord"], ["item"])
+    # an item's fields stay together, for what is asked of the whole item; of repeats at one place the best source stays, whatever the order of the rows
+    best = [F.desc("priority"), F.desc_nulls_last("confidence"), "value", "source_url", "parser", "source_type", "stage"]
+    return first_of(made, [F.col("field"), key], ["ord", *best], ["item"])
 
 
 def field_resolutions(candidates: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def field_conflicts(candidates: DataFrame) -> DataFrame:
     fallback = F.when(F.col("source_type") == "official", 0.85).when(F.col("source_type") == "distributor", 0.5).otherwise(0.7)
     rows = candidates.withColumns({"points": priority, "why": reason, "key": comparable(F.col("value")), "sure": F.coalesce(F.col("confidence"), fallback)})
     values = rows.groupBy("item", "field", "key").agg(
-        F.min_by("value", "ord").alias("value"), F.max("sure").alias("confidence"), F.max("points").alias("priority"), F.min_by("why", F.struct(-F.col("points"), "ord")).alias("reason"),
+        F.min(F.struct("ord", "value"))["value"].alias("value"), F.max("sure").alias("confidence"), F.max("points").alias("priority"), F.min(F.struct(-F.col("points"), "ord", "why"))["why"].alias("reason"),
         F.sort_array(F.collect_set("parser")).alias("parsers"), F.min("ord").alias("first_seen"), F.min(F.struct(-F.col("points"), "ord", "key")).alias("best"),
     )
     # of values with equal points at one place only the smallest is selected

@@ -182,6 +182,16 @@ def test_one_of_tied_values_is_selected(spark):
     assert [tuple(r) for r in got] == [(1, "IP37", True), (2, "IP63", False), (3, "IP20", False)]
 
 
+def test_repeats_at_one_place_do_not_go_by_the_order_of_rows(spark):
+    from quarryline.operators.attributes import field_candidates, field_conflicts
+
+    rows = [(1, 7, "Net weight", "5 kg", "u", kind, "generic", 0.95) for kind in ("distributor", "official")] + [(1, 8, "Net weight", "6 kg", "u", "official-fallback", "generic", 0.95)]
+    for given in (rows, rows[::-1]):
+        attributes = spark.createDataFrame(given, "item long, ord long, name string, value string, source_url string, source_type string, parser string, confidence double").coalesce(1)
+        got = field_conflicts(field_candidates(attributes)).orderBy("rank").select("rank", "value", "priority", "selected").collect()
+        assert [tuple(r) for r in got] == [(1, "5 kg", 869, True), (2, "6 kg", 739, False)]
+
+
 def test_a_legend_is_read_once(spark):
     from quarryline.operators.compare import match_legend
 

@@ -74,13 +74,12 @@ def completeness(requirements: DataFrame, before: DataFrame, after: DataFrame, r
     ``before`` and ``after`` (item, field, value) hold what was there at either time (null and empty values count as missing), ``repaired`` (item, field) what a
     repair filled. ``retried`` is a column of ``requirements``: true where a retry ran, false where it was skipped, null where there was none.
     """
-    kinds = ("_b", "_a", "_r")
     filled = F.coalesce("value", F.lit("")) != ""
-    marks = [rows.select("item", "field", *[F.lit(k == kind).alias(k) for k in kinds]) for rows, kind in ((before.filter(filled), "_b"), (after.filter(filled), "_a"), (repaired, "_r"))]
-    # what is known of a field meets in one group and then its requirement, instead of three joins
-    seen = marks[0].unionByName(marks[1]).unionByName(marks[2]).groupBy("item", "field").agg(*[F.bool_or(k).alias(k) for k in kinds])
+    marks = [rows.select("item", "field", F.lit(1 << n).alias("_seen")) for n, rows in enumerate((before.filter(filled), after.filter(filled), repaired))]
+    # what is known of a field meets in one group, as bits of one number, and then its requirement, instead of three joins
+    seen = marks[0].unionByName(marks[1]).unionByName(marks[2]).groupBy("item", "field").agg(F.bit_or("_seen").alias("_seen"))
     joined = requirements.withColumn("_retried", F.lit(None).cast("boolean") if retried is None else retried).join(seen, ["item", "field"], "left")
-    b, a, r = (F.coalesce(c, F.lit(False)) for c in ("_b", "_a", "_r"))
+    b, a, r = (F.coalesce(F.col("_seen").bitwiseAND(1 << n) != 0, F.lit(False)) for n in range(3))
     status = (
         F.when(F.col("requirement") == "not-applicable", "not-applicable").when(b & a, "present").when(~b & a, F.when(r, "found-after-repair").otherwise("found-after-retry"))
         .when(F.col("_retried"), "not-published").when(~F.col("_retried"), "retry-skipped").otherwise("missing")

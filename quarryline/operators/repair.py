@@ -154,6 +154,17 @@ def _label_points(field: Column, label: Column) -> Column:
     return out
 
 
+def _with_said(evidence: DataFrame, of_pair: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of the evidence with what ``of_pair`` makes of their label and value, once for each distinct pair (_label, _value, c: both clean) that names something; rows without item go."""
+    rows = _whole(evidence).filter(F.col("item").isNotNull()).withColumns({"_label": F.trim(F.concat(_text("group"), F.lit(" "), _text("name"))), "_value": _text("value")})
+    # exploding an array of one keeps the clean texts from being made anew for each use
+    cleaned = lambda pairs: pairs.select("_label", "_value", F.explode(F.array(F.struct(_clean(F.col("_label")).alias("l"), _clean(F.col("_value")).alias("v")))).alias("c"))
+    pairs = cleaned(rows.select("_label", "_value").distinct()).filter(_says(F.col("c.l"), F.col("c.v"))).select("_label", "_value")
+    known = broadcast_if_few(pairs)
+    read = of_pair(cleaned(known))
+    return rows.join(read if known is pairs else F.broadcast(read), ["_label", "_value"])
+
+
 def evidence_values(evidence: DataFrame) -> DataFrame:
     """item, field, label, value, source_url, confidence, points, ord: of each item and field the reading with most points, then the earliest (of one place the smallest value, then source).
 
@@ -161,14 +172,8 @@ def evidence_values(evidence: DataFrame) -> DataFrame:
     value are read once, and only those that name something: others, such as texts that differ in each row, end at one pattern. Null labels and
     values count as empty, rows without item go; attributes that say nothing leave no row.
     """
-    rows = _whole(evidence).filter(F.col("item").isNotNull()).withColumns({"_label": F.trim(F.concat(_text("group"), F.lit(" "), _text("name"))), "_value": _text("value")})
-    # exploding an array of one keeps the clean texts from being made anew for each use
-    cleaned = lambda pairs: pairs.select("_label", "_value", F.explode(F.array(F.struct(_clean(F.col("_label")).alias("l"), _clean(F.col("_value")).alias("v")))).alias("c"))
-    pairs = cleaned(rows.select("_label", "_value").distinct()).filter(_says(F.col("c.l"), F.col("c.v"))).select("_label", "_value")
-    known = broadcast_if_few(pairs)
-    read = cleaned(known).select("_label", "_value", F.explode(_readings(F.col("c.l"), F.col("c.v"))).alias("r"))
-    read = read.withColumn("_more", _label_points(F.col("r.field"), F.col("_label")))
-    each = rows.join(read if known is pairs else F.broadcast(read), ["_label", "_value"]).withColumn("points", (_source_points() + F.col("_more")).cast("int"))
+    of_pair = lambda pairs: pairs.select("_label", "_value", F.explode(_readings(F.col("c.l"), F.col("c.v"))).alias("r")).withColumn("_more", _label_points(F.col("r.field"), F.col("_label")))
+    each = _with_said(evidence, of_pair).withColumn("points", (_source_points() + F.col("_more")).cast("int"))
     sure = F.least(F.coalesce("confidence", F.lit(UNKNOWN)), F.lit(MOST_CONFIDENCE))
     best = F.min_by(F.struct(F.col("r.name").alias("label"), F.col("r.value").alias("value"), "source_url", sure.alias("confidence"), "points", "ord"), F.struct(-F.col("points"), "ord", "r.value", "source_url")).alias("best")
     return each.groupBy("item", F.col("r.field").alias("field")).agg(best).select("item", "field", "best.*")
@@ -289,6 +294,63 @@ def repair_from_evidence(missing: DataFrame, evidence: DataFrame, items: DataFra
     return filled.select(*columns, "round")
 
 
+#: Fields at most that are the bits of one number; with more names among the missing ones, fields go with their values.
+MOST_BITS = 63
+
+
+def _fields_of_bits(missing: DataFrame) -> list[str] | None:
+    """The fields that can be wanted, by the bit that each is: those of _READ, then others by name; null where they are more than a number's bits. Looking takes a job over the names."""
+    others = missing.select("field").filter(F.col("field").isNotNull() & ~F.col("field").isin(*_READ)).distinct().limit(MOST_BITS - len(_READ) + 1).collect()
+    return [*_READ, *sorted(r["field"] for r in others)] if len(_READ) + len(others) <= MOST_BITS else None
+
+
+def repaired_fields(missing: DataFrame, evidence: DataFrame, items: DataFrame | None = None, bases: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """item, field, round of what :func:`repair_from_evidence` fills, without the values that fill it.
+
+    Whether a field is filled, and in which round, doesn't hang on values or points. An item's fields are bits of a number here, in all that is
+    exchanged and kept: texts end at what their distinct pairs say, and records of values, which take most of the disk, aren't made.
+    """
+    fields = _fields_of_bits(missing)
+    if fields is None:
+        return repair_from_evidence(missing, evidence, items, bases, held).select("item", "field", "round")
+    bit_of = F.create_map(*[x for n, key in enumerate(fields) for x in (F.lit(key), F.lit(1 << n).cast("long"))])
+    none = F.lit(0).cast("long")
+    of_pair = lambda pairs: pairs.select("_label", "_value", F.aggregate(_readings(F.col("c.l"), F.col("c.v")), none, lambda bits, r: bits.bitwiseOR(bit_of[r["field"]])).alias("_known"))
+    rows = _with_said(evidence, of_pair).select("item", "_known").unionByName(missing.select("item", bit_of[F.col("field")].alias("_wanted")), allowMissingColumns=True)
+    if items is not None and {"key", "hosts"} <= set(items.columns):
+        rows = rows.unionByName(image_values(evidence, items).select("item", bit_of[F.lit("image")].alias("_known")), allowMissingColumns=True)
+    if held is not None and bases is not None:
+        rows = rows.unionByName(held.filter(F.col("value") != "").select("item", bit_of[F.col("field")].alias("_known")), allowMissingColumns=True)
+    conflict = F.col("item").isNull()
+    if items is not None and "conflict" in items.columns:
+        rows = rows.unionByName(items.filter("conflict").select("item", F.lit(True).alias("_conflict")), allowMissingColumns=True)
+        conflict = F.coalesce(F.bool_or("_conflict"), F.lit(False))
+    bits = [F.coalesce(F.bit_or(f"_{c}"), none).alias(c) for c in ("known", "wanted")]
+    whole = rows.filter("item is not null").groupBy("item").agg(*bits, conflict.alias("_out")).filter("not _out").select("item", "known", "wanted")
+    of_bits = F.filter(F.array(*[F.when(F.col("known").bitwiseAND(1 << n) != 0, key) for n, key in enumerate(fields)]), lambda f: f.isNotNull())
+    named = lambda got, at: got.select("item", F.explode(of_bits).alias("field"), F.lit(at).alias("round"))
+    own = F.col("known").bitwiseAND(F.col("wanted")).alias("known")
+    if bases is None:
+        return named(whole.select("item", own), 0)
+    whole = _kept(whole)
+    filled = named(whole.select("item", own), 0)
+    # dealt out by item once, for the removal of repeats and for the join
+    links = bases.select("item", F.col("base").alias("_base")).dropna().repartition("item").distinct()
+    still = _kept(whole.select("item", F.col("wanted").bitwiseAND(F.bitwise_not("known")).alias("still")).filter("still <> 0").join(links, "item"))
+    news, at = whole.select("item", "known"), 0
+    while not still.isEmpty():
+        at += 1
+        had = news.filter("known <> 0").withColumnRenamed("item", "_base")
+        offered = still.join(had, "_base").select("item", F.col("still").bitwiseAND(F.col("known")).alias("known")).filter("known <> 0")
+        news = _kept(offered.groupBy("item").agg(F.bit_or("known").alias("known")))
+        if news.isEmpty():
+            break
+        filled = filled.unionByName(named(news, at))
+        met = still.join(news, "item", "left").withColumn("still", F.col("still").bitwiseAND(F.bitwise_not(F.coalesce("known", none))))
+        still = _kept(met.select("item", "still", "_base").filter("still <> 0"))
+    return filled
+
+
 #: Fields for which no page is fetched again, and the one that is never retried.
 FINAL_ONLY, NEVER = ("image", "typeCode"), "certificates"
 

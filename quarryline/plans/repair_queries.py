@@ -47,7 +47,7 @@ def _held(grid):
     return grid.filter("not wanted").select("item", "field", F.concat(F.lit("held "), F.col("item").cast("string")).alias("value"))
 
 
-def _repairs(spark, d):
+def _repairs(spark, d, repaired=repair.repair_from_evidence):
     """Lines' evidence and a gallery for each order; the base of an order is the one before it, in chains of up to six."""
     orders = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("item"))
     key = F.col("item").cast("string")
@@ -58,7 +58,7 @@ def _repairs(spark, d):
     items = orders.select("item", F.concat(F.lit("Part-"), key).alias("key"), F.array(F.lit("s0.example"), F.lit("s1.example"), F.lit("s2.example")).alias("hosts"), (F.col("item") % 11 == 0).alias("conflict"))
     bases = orders.filter("item % 6 <> 0").select("item", (F.col("item") - 1).alias("base"))
     grid = _grid(spark, d)
-    return repair.repair_from_evidence(grid.filter("wanted"), _evidence(spark, d).unionByName(gallery, allowMissingColumns=True), items, bases, _held(grid))
+    return repaired(grid.filter("wanted"), _evidence(spark, d).unionByName(gallery, allowMissingColumns=True), items, bases, _held(grid))
 
 
 @query("evidence_repairs", f"WITH {REPAIRS} SELECT * FROM repairs")
@@ -73,11 +73,10 @@ def _(spark, d):
     FROM need n LEFT JOIN repairs r ON n.item = r.item AND n.field = r.field""",
 )
 def _(spark, d):
-    grid, repairs = _grid(spark, d), _repairs(spark, d)
+    grid, filled = _grid(spark, d), _repairs(spark, d, repair.repaired_fields).select("item", "field")
     need = grid.select("item", "field", F.when((F.col("field") == "color") & (F.col("item") % 4 == 0), "not-applicable").otherwise("preferred").alias("requirement"))
     retried = F.when(F.col("item") % 5 == 0, True).when(F.col("item") % 5 == 1, False)
-    filled = repairs.select("item", "field", "value")
-    return devices.completeness(need, _held(grid), _held(grid).unionByName(filled), filled, retried)
+    return devices.completeness(need, _held(grid), _held(grid).unionByName(filled.withColumn("value", F.lit("repaired"))), filled, retried)
 
 
 @query(

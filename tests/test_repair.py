@@ -116,6 +116,35 @@ def test_the_fixed_point_equals_plain_rounds(spark, seed):
     assert max(r["round"] for r in rows) > 1
 
 
+def test_fields_alone_are_those_that_values_fill(spark, monkeypatch):
+    """Fields of any name, images, conflicts, several bases, cycles and null items; more names than bits take the way of the values."""
+    rng, n = random.Random(1), 40
+    said = [("Weight", "1 kg"), ("Note", "made of steel, CE"), ("Rated voltage", "24 V"), ("g", "/img/AB-{}.jpg"), ("Fuse", "none"), (None, None)]
+    rows = [(rng.choice([None, *range(n)]), k, None, *(x and x.format(k % n) for x in rng.choice(said)), "https://a.example/p", "official") for k in range(60)]
+    rows += [(i, 99, None, "g", f"/img/AB-{i}.jpg", "https://a.example/p") for i in range(0, n, 7)]
+    names = ["weight", "material", "certificates", "voltage", "image", "grip", "length of cord", None]
+    missing = spark.createDataFrame([(rng.choice([None, *range(n)]), rng.choice(names)) for _ in range(150)] * 2, "item int, field string")
+    held = spark.createDataFrame([(rng.choice([None, *range(n)]), rng.choice([*names, "unasked"]), rng.choice(["x", "y", "", None])) for _ in range(30)], "item int, field string, value string")
+    items = spark.createDataFrame([(i, f"AB-{i}", ["a.example"], rng.choice([None, False, False, i % 9 == 0])) for i in range(n)], "item int, key string, hosts array<string>, conflict boolean")
+    bases = spark.createDataFrame([(rng.choice([None, *range(n)]), rng.randrange(n)) for _ in range(50)] * 2 + [(5, 6), (6, 7), (7, 5), (3, None)], "item int, base int")
+    found = lambda frame: sorted((r["item"], r["field"], r["round"]) for r in frame.collect())
+    want = found(repair.repair_from_evidence(missing, evidence(spark, rows), items, bases, held))
+    assert {r[2] for r in want} > {0, 1, 2} and found(repair.repaired_fields(missing, evidence(spark, rows), items, bases, held)) == want
+    monkeypatch.setattr(repair, "MOST_BITS", len(repair._READ) + 1)
+    monkeypatch.setattr(repair, "repair_from_evidence", lambda *given: spark.createDataFrame([(len(given), "by values", 0)], "item int, field string, round int"))
+    assert found(repair.repaired_fields(missing, evidence(spark, rows), items, bases, held)) == [(5, "by values", 0)]
+
+
+def test_completeness_keeps_no_values_of_repairs(spark, monkeypatch):
+    """Rounds of the query exchange and keep one short row for an item: its number, its base and bits."""
+    from quarryline.plans import registry
+
+    kept, keep = [], repair._kept
+    monkeypatch.setattr(repair, "_kept", lambda rows: kept.append(dict(rows.dtypes)) or keep(rows))
+    assert registry.queries()["repaired_completeness"](spark, "/root/testdata/sf0.001").filter("status = 'found-after-repair'").count() > 0
+    assert kept and all(len(row) <= 3 and set(row.values()) == {"bigint"} for row in kept)
+
+
 def test_nothing_to_repair(spark):
     none, rows = evidence(spark, []), evidence(spark, [(1, 1, None, "Weight", "1 kg")])
     pairs, bases = spark.createDataFrame([(1, "weight")], "item int, field string"), spark.createDataFrame([(1, 1)], "item int, base int")
